@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_ngram_jaccard_join": "near_dup",
     "op2_benchmark_decontamination": "decontaminate",
+    "op3_warc": "warc",
+    "op4_packing": "packing",
+    "op5_toxicity": "toxicity",
+    "op6_language_id": "language",
+    "op7_token_file": "token_file",
+    "op8_token_counts": "token_counts",
+    "op9_exact_top_k": "topk",
+    "op10_chat_formatting": "chat",
 }
 
 

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow hand over few rows at a time, so that long texts fit the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors reach.
 
     Only where the setting is absent (tests on one machine) a local one is made.
     """
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="gridloom-")
@@ -58,6 +64,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

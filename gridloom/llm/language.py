@@ -261,7 +261,7 @@ def label_words(m: Model, text: str) -> list[tuple[str, str, float]]:
 def _predict(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
-            for b in W.pieces(big, "text", 1 << 20):
+            for b in W.pieces(big, "text", 1 << 19):
                 lang, score = label(shared.value, b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -299,7 +299,7 @@ def filter_rows(docs: DataFrame, shared, least: float) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
-            for b in W.pieces(big, "text", 1 << 20):
+            for b in W.pieces(big, "text", 1 << 19):
                 lang, score = label(shared.value, b.column(text).to_pylist())
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 

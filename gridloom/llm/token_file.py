@@ -262,8 +262,9 @@ def _write(path: str, end: int):
 
         for big in it:
             for b in W.pieces(big, "text", 1 << 20):
-                for d, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    ids = enc.encode(x or "") + tail
+                coded = enc.encode([x or "" for x in b.column("text").to_pylist()])
+                for d, ids in zip(b.column("doc_id").to_pylist(), coded, strict=True):
+                    ids += tail
                     if held and total + len(ids) // 4 > SEGMENT:
                         yield close()
                     docs.append(NULL_ID if d is None else d)

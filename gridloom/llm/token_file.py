@@ -261,7 +261,7 @@ def _write(path: str, end: int):
             return out
 
         for big in it:
-            for b in W.pieces(big, "text", 1 << 20):
+            for b in W.pieces(big, "text", 1 << 22):
                 coded = enc.encode([x or "" for x in b.column("text").to_pylist()])
                 for d, ids in zip(b.column("doc_id").to_pylist(), coded, strict=True):
                     ids += tail

@@ -3,10 +3,11 @@
 The tokenizer splits a text into pieces by a pattern and encodes each by itself. Where a
 text holds only characters on which Python's classes agree with the pattern's, its pieces
 are found here, looked up in a cache of two generations, so memory is bounded, and only the
-unseen ones go to the tokenizer. Where words stand between single spaces, whole words are
-looked up first, in a cache of their own, each distinct one of a batch once. Other texts are first cut at single spaces flanked by
-characters that aren't white space, over which no piece reaches, and a chunk with any other
-character goes to the tokenizer whole. ``test_token_ids`` holds this against whole texts.
+unseen ones go to the tokenizer. Where words stand between single spaces, words with the
+space or line end before them and without a point or comma after them are looked up first,
+in a cache of their own, each distinct one of a batch once. Other texts are first cut at
+single spaces flanked by characters that aren't white space, over which no piece reaches,
+and a chunk with any other character goes to the tokenizer whole. ``test_token_ids`` holds this against whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,19 @@ _DOUBLE = ("  ", " \t", "\t ", " \n", "\n ", " \r", "\r ")
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 
 
+_WHITE, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[9, 10, 13, 32]] = True
+_ALNUM[[i for i in range(128) if chr(i).isalnum()]] = True
+
+
+def _after_alnum(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each ``at`` is an ASCII letter or digit, or one of U+00C0 to
+    U+024F but the two signs among them, all others of which are letters."""
+    b, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    two = (b >= 0x80) & (b < 0xC0) & (lead >= 0xC3) & (lead <= 0xC9)
+    return _ALNUM[b] | (two & ~((lead == 0xC3) & ((b == 0x97) | (b == 0xB7))))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -68,9 +82,11 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.parts, self.words = Cache(parts // 4), Cache(parts)
-        self.spaced = np.zeros(self.t.get_vocab_size(), bool)
+        self.opens, self.single = np.zeros(self.t.get_vocab_size(), bool), np.full(256, -1, np.int64)
         for token, i in self.t.get_vocab().items():
-            self.spaced[i] = token[0] == "\u0120"  # as which the byte-level vocabulary writes a space
+            self.opens[i] = token[0] in "\u0120\u010a"  # as which the byte-level vocabulary writes a space and a line end
+        for c in ".,":
+            self.single[ord(c)] = self.t.token_to_id(c)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids, straight from the tokenizer."""
@@ -91,49 +107,73 @@ class Encoder:
         return out
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        """Of regular texts: distinct words are looked up, then ids gathered for all at once."""
+        """Of regular texts: distinct words are looked up, then ids gathered for all at once.
+
+        A word begins at a space, or at a line end after a character that isn't white space, and
+        keeps it; a point or comma after a letter or digit is a piece of its own and is set apart.
+        """
         if not texts:
             return []
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        edge = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.dictionary_encode()
+        raw = (" " + " ".join(texts)).encode()
+        data = np.frombuffer(raw, np.uint8)
+        heads = np.cumsum([0, *(len(t.encode()) + 1 for t in texts[:-1])])
+        cut = data == 32
+        cut[1:] |= (data[1:] == 10) & ~_WHITE[data[:-1]]
+        edge = np.append(np.flatnonzero(cut), len(data))
+        first = np.searchsorted(edge, heads)
+        last = edge[1:] - 1
+        apart = (self.single[data[last]] >= 0) & (last - edge[:-1] > 1) & _after_alnum(data, last)
+        apart[first] = False
+        keep = np.ones(len(data), bool)
+        keep[last[apart]] = False
+        offsets = edge - np.append(0, np.cumsum(apart))
+        array = pa.LargeStringArray.from_buffers(len(last), pa.py_buffer(offsets), pa.py_buffer(data[keep]))
+        words = array.dictionary_encode()
         keys = words.dictionary.to_pylist()
+        # A text's first word has no space before it.
+        opening = [raw[edge[i] + 1 : edge[i + 1]].decode() for i in first.tolist()]
+        table = self._looked_up(keys) + self._known([_PIECE.findall(t) for t in opening], set())
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids = np.frombuffer(b"".join(table) + bytes(4), "<u4")
+        code = words.indices.to_numpy().astype(np.int64)
+        code[first] = len(keys) + np.arange(len(texts))
+        n = size[code] + apart
+        end = np.cumsum(n)
+        source = np.repeat((np.cumsum(size) - size)[code] - end + n, n)
+        source += np.arange(len(source))
+        out = ids[source]
+        out[end[apart] - 1] = self.single[data[last[apart]]]
+        out_bytes = out.tobytes()
+        stop = (4 * end[np.append(first[1:], len(end)) - 1]).tolist()
+        return [out_bytes[i:j] for i, j in zip([0, *stop], stop, strict=False)]
+
+    def _looked_up(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct words with the space or line end before them."""
         got = list(map(self.words.young.get, keys))
         missing = [i for i, x in enumerate(got) if x is None]
         asked = [keys[i] for i in missing]
         found = list(map(self.words.old.get, asked))
-        letters = [k for k, x in zip(asked, found, strict=True) if x is None and k.isalpha()]
-        fresh = dict(zip(letters, self._letters(letters), strict=True))
-        mixed = [k for k, x in zip(asked, found, strict=True) if x is None and k not in fresh]
-        fresh |= zip(mixed, self._known([_PIECE.findall(" " + k) for k in mixed], set()), strict=True)
-        fresh |= {k: x for k, x in zip(asked, found, strict=True) if x is not None}
+        fresh = {k: x for k, x in zip(asked, found, strict=True) if x is not None}
+        new = [k for k in asked if k not in fresh]
+        letters = [k for k in new if k[1:].isalpha()]
+        fresh.update(zip(letters, self._letters(letters), strict=True))
+        mixed = [k for k in new if k not in fresh]
+        fresh.update(zip(mixed, self._known([_PIECE.findall(k) for k in mixed], set()), strict=True))
         for i, k in zip(missing, asked, strict=True):
             got[i] = fresh[k]
         self.words.add(fresh)
-        # A text's first word has no space before it.
-        table = got + self._known([_PIECE.findall(t.partition(" ")[0]) for t in texts], set())
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        ids = np.frombuffer(b"".join(table), "<u4")
-        code = words.indices.to_numpy().astype(np.int64)
-        code[edge[:-1]] = len(keys) + np.arange(len(texts))
-        n = size[code]
-        end = np.cumsum(n)
-        source = np.repeat((np.cumsum(size) - size)[code] - end + n, n)
-        source += np.arange(len(source))
-        raw = ids[source].tobytes()
-        stop = (4 * end[edge[1:] - 1]).tolist()
-        return [raw[i:j] for i, j in zip([0, *stop], stop, strict=False)]
+        return got
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each with a space before it: they are encoded in a row, and
-        as a word is one piece, its ids begin where an id's bytes begin with a space."""
+        """Ids of words of letters, each with a space or line end before it: they are encoded in a
+        row, and as a word is one piece, its ids begin where an id's bytes begin with those."""
         if not words:
             return []
-        rows = [" " + " ".join(words[a : a + 2000]) for a in range(0, len(words), 2000)]
+        rows = ["".join(words[a : a + 2000]) for a in range(0, len(words), 2000)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.t.encode_batch_fast(rows, add_special_tokens=False)), "<u4")
-        start = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+        start = (4 * np.flatnonzero(self.opens[ids])).tolist()
         if len(start) != len(words):
-            return self.whole([" " + w for w in words])
+            return self.whole(words)
         raw = ids.tobytes()
         return [raw[i:j] for i, j in zip(start, [*start[1:], len(raw)], strict=True)]
 

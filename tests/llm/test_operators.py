@@ -106,6 +106,10 @@ def test_token_ids_equal_those_of_whole_texts():
     e = token_ids.Encoder(token_ids.default_tokenizer(), parts=50)
     t = STRANGE + [x or "" for x in texts()]
     assert e.encode(t) == e.whole(t) == e.encode(t)
+    r = random.Random(3)
+    marks = ["abc", "Zé", "ña", "×", "÷", "ɏ", "»", "ª", ".", ",", ";", "'s", " ", " x", "\n", "\nQ", "9", "_"]
+    t = ["".join(r.choice(marks) for _ in range(r.randrange(30))) for _ in range(3000)]
+    assert e.encode(t) == e.whole(t)
 
 
 def test_packing_counts_and_files(spark):

@@ -41,63 +41,78 @@ SEGMENT = 1024 * BLOCK
 MAGIC = b"GLTI1\0\0\0"
 NULL_ID = -(2**63)
 _SLOTS, _HITS, _SYMBOLS = 2048, 4, 21
-_U, _FULL = np.uint64, np.uint64(0xFFFFFFFF)
+#: Counts start at, grow by, and are halved when their sum is beyond.
+_START, _STEP, _LIMIT = 8, 32, 1 << 13
+#: Bit lengths of ids.
+_BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int64)
 
 
 class _Model:
-    """Predictions and mixed frequencies of ``g`` lanes, the same when coding and decoding."""
+    """Predictions and mixed frequencies of ``g`` lanes, the same when coding and decoding.
+
+    Tables of counts have a column per context and lane, so that all steps go along lanes.
+    """
 
     def __init__(self, g: int) -> None:
         self.g, self.lane = g, np.arange(g)
         self.row = self.lane * _SLOTS
-        self.t = [np.zeros(g * _SLOTS, np.int32) for _ in range(2)]
-        self.hits = [np.zeros(g * _SLOTS, np.int8) for _ in range(2)]
+        self.t = [np.zeros(g * _SLOTS, np.int32) for _ in range(2)]  # an id and, in its last two bits, hits
         self.a = self.b = np.zeros(g, np.int64)  # the id before, and before that
-        self.major, self.votes = np.zeros(g, np.int64), np.zeros(g, np.int64)
-        self.f = [np.full((g * k, _SYMBOLS), (1 << 15) // _SYMBOLS, np.int32) for k in (1, _HITS, _HITS)]
+        self.major, self.votes = np.zeros(g, np.int32), np.zeros(g, np.int32)
+        self.f = [np.full((_SYMBOLS, g * k), _START, np.int32) for k in (1, _HITS, _HITS)]
+        self.total = [np.full(f.shape[1], _START * _SYMBOLS, np.int32) for f in self.f]
         self.w = np.full((3, g), 1 << 10, np.int64)
+        self.cum = np.zeros((_SYMBOLS + 1, g), np.int32)
 
     def predict(self) -> np.ndarray:
-        """Cumulative frequencies (g, symbols + 1)."""
+        """Cumulative frequencies (symbols + 1, g), good until the next call."""
         h1 = (self.a * 40503 >> 4) & (_SLOTS - 1)
         h2 = ((self.a * 30011 + self.b * 52361) >> 5) & (_SLOTS - 1)
         self.at = [self.row + h1, self.row + h2]
-        self.p1, self.p2 = self.t[0][self.at[0]], self.t[1][self.at[1]]
-        self.n1, self.n2 = self.hits[0][self.at[0]], self.hits[1][self.at[1]]
-        self.ctx = [self.lane, self.lane * _HITS + self.n1, self.lane * _HITS + self.n2]
-        self.rows = [self.f[i][c] for i, c in enumerate(self.ctx)]
-        w = self.w.astype(np.int32)
-        mixed = self.rows[0] * w[0][:, None] >> 12
-        for i in (1, 2):
-            mixed += self.rows[i] * w[i][:, None] >> 12
-        cum = np.zeros((self.g, _SYMBOLS + 1), np.int64)
-        np.cumsum(mixed + 1, axis=1, out=cum[:, 1:])
-        return cum
+        got = [t[at] for t, at in zip(self.t, self.at, strict=True)]
+        self.p1, self.p2 = (e >> 2 for e in got)
+        self.n = [e & 3 for e in got]
+        self.ctx = [self.lane, *(self.lane + self.g * n for n in self.n)]
+        self.scale = [((w << 12) // t[c]).astype(np.int32) for w, t, c in zip(self.w, self.total, self.ctx, strict=True)]
+        mixed = self.f[0] * self.scale[0]
+        for f, c, w in zip(self.f[1:], self.ctx[1:], self.scale[1:], strict=True):
+            row = f.take(c, axis=1)
+            row *= w
+            mixed += row
+        mixed >>= 9
+        mixed += 1
+        for i in range(_SYMBOLS):
+            np.add(self.cum[i], mixed[i], out=self.cum[i + 1])
+        return self.cum
 
     def symbol(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of ids x, and its count of bits that follow."""
-        bits = np.frexp(x.astype(np.float64))[1]
+        bits = _BITS[x]
         s = np.where(x == self.p2, 0, np.where(x == self.p1, 1, np.where(x == self.major, 2, 3 + bits)))
         return s, np.where(s >= 3, np.maximum(bits - 1, 0), 0)
 
     def update(self, x: np.ndarray, s: np.ndarray) -> None:
-        got = np.stack([r[self.lane, s] for r in self.rows]).astype(np.int64) + 1
-        share = got * self.w
+        share = np.empty((3, self.g), np.int64)
+        for i, (f, total, c) in enumerate(zip(self.f, self.total, self.ctx, strict=True)):
+            flat, at = f.reshape(-1), s * f.shape[1] + c
+            had = flat[at]
+            share[i] = had * self.scale[i] + 1
+            flat[at] = had + _STEP
+            sums = total[c] + _STEP
+            total[c] = sums
+            full = np.flatnonzero(sums > _LIMIT)
+            if len(full):
+                full = c[full]
+                f[:, full] -= f[:, full] >> 1
+                total[full] = f[:, full].sum(0)
         self.w = (self.w * 15 + (share << 12) // share.sum(0)) >> 4
-        self.w = np.maximum(self.w, 16)
-        self.w = np.minimum(self.w, 1 << 12)
-        for i, r in enumerate(self.rows):
-            r -= r >> 5
-            r[self.lane, s] += 1 << 10
-            self.f[i][self.ctx[i]] = r
+        np.clip(self.w, 16, 1 << 12, out=self.w)
         for k, p in ((0, self.p1), (1, self.p2)):
-            hit, n = x == p, self.hits[k][self.at[k]]
-            self.hits[k][self.at[k]] = np.where(hit, np.minimum(n + 1, _HITS - 1), np.maximum(n - 1, 0))
-            self.t[k][self.at[k]] = np.where(hit | (n == 0), x, p)
-        same = x == self.major
-        self.votes = np.where(same, self.votes + 1, self.votes - 1)
+            n = self.n[k]
+            self.t[k][self.at[k]] = np.where(x == p, p << 2 | np.minimum(n + 1, 3), np.where(n == 0, x << 2, p << 2 | (n - 1)))
+        self.votes += np.where(x == self.major, 1, -1).astype(np.int32)
         self.major = np.where(self.votes < 0, x, self.major)
-        self.votes = np.maximum(self.votes, 0)
+        np.maximum(self.votes, 0, out=self.votes)
         self.b, self.a = self.a, x.astype(np.int64)
 
 
@@ -128,7 +143,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 
 def _encode(x: np.ndarray) -> list[bytes]:
     g, n = x.shape
-    x = np.ascontiguousarray(x.T).astype(np.int64)
+    x = np.ascontiguousarray(x.T.astype(np.int32))
     m, low, rng = _Model(g), np.zeros(g, np.int64), np.full(g, 0xFFFFFFFF, np.int64)
     out, pos, lane = np.zeros((g, n * 5 + 16), np.uint8), np.zeros(g, np.int64), np.arange(g)
 
@@ -139,10 +154,10 @@ def _encode(x: np.ndarray) -> list[bytes]:
     for t in range(n):
         cum = m.predict()
         s, extra = m.symbol(x[t])
-        r = rng // cum[:, -1]
-        lo = cum[lane, s]
+        r = rng // cum[-1]
+        lo = cum[s, lane]
         low += r * lo
-        rng = r * (cum[lane, s + 1] - lo)
+        rng = r * (cum[s + 1, lane] - lo)
         over = low >> 32
         if over.any():
             raise ArithmeticError("carry")
@@ -187,15 +202,15 @@ def _decode(codes: list[bytes], n: int) -> np.ndarray:
 
     for t in range(n):
         cum = m.predict()
-        r = rng // cum[:, -1]
-        v = np.minimum(((code - low) & 0xFFFFFFFF) // np.maximum(r, 1), cum[:, -1] - 1)
-        s = (cum[:, 1:] <= v[:, None]).sum(1)
-        lo = cum[lane, s]
+        r = rng // cum[-1]
+        v = np.minimum(((code - low) & 0xFFFFFFFF) // np.maximum(r, 1), cum[-1] - 1)
+        s = (cum[1:] <= v.astype(np.int32)).view(np.int8).sum(0, dtype=np.int8).astype(np.int64)
+        lo = cum[s, lane]
         low += r * lo
-        rng = r * (cum[lane, s + 1] - lo)
+        rng = r * (cum[s + 1, lane] - lo)
         _settle(low, rng, lane, take)
         bits = s - 3
-        x = np.where(s == 0, m.p2, np.where(s == 1, m.p1, m.major)).astype(np.int64)
+        x = np.where(s == 0, m.p2, np.where(s == 1, m.p1, m.major))
         long = s >= 3
         x[long] = np.where(bits[long] > 0, 1 << np.maximum(bits[long] - 1, 0), 0)
         at = np.flatnonzero(bits > 1)
@@ -203,7 +218,7 @@ def _decode(codes: list[bytes], n: int) -> np.ndarray:
             e = bits[at] - 1
             r = rng[at] >> e
             low_bits = np.minimum(((code[at] - low[at]) & 0xFFFFFFFF) // np.maximum(r, 1), (1 << e) - 1)
-            x[at] |= low_bits
+            x[at] |= low_bits.astype(np.int32)
             low[at] += r * low_bits
             rng[at] = r
             _settle(low, rng, at, take)

@@ -37,8 +37,8 @@ _both("name_problems", """select page_id, case when s is null or s = '' then 'em
 _both("dedup_content", "select doc_id, digest, rk = 1 as kept from (select doc_id, md5(text) as digest, row_number() over (partition by md5(text) order by source, doc_id) as rk from documents) t")
 _both("manifest_join", """select p.page_id, p.key8, coalesce(m.description, p.key8) as description from (select page_id, substr(upper(url), 8, 8) as key8 from pages) p
    left join (select key8, description from (select key8, description, row_number() over (partition by key8 order by page_id desc) as rk from
-     (select page_id, substr(upper(url), 8, 8) as key8, substr(html, 1, 75) as description from pages where page_id % 2 = 0) a) b where rk = 1) m on p.key8 = m.key8""")
-_both("description_fallback", """select d.doc_id, coalesce(nullif(trim(case when d.doc_id % 3 = 0 then '' else d.source end), ''), nullif(trim(substr(b.text, 1, 20)), ''), cast(d.doc_id as varchar(20))) as description
+     (select page_id, substr(upper(url), 8, 8) as key8, substr(html, 1, 75) as description from pages where html like '%nav%') a) b where rk = 1) m on p.key8 = m.key8""")
+_both("description_fallback", """select d.doc_id, coalesce(nullif(trim(case when d.doc_id % 3 = 0 then '' else d.source end), ''), nullif(trim(b.text), ''), cast(d.doc_id as varchar(20))) as description
    from documents d left join benchmark b on b.item_id = d.doc_id""")
 _both("clean_descriptions", r"select doc_id, trim(substr(regexp_replace_all(text, '[ \n\t]+', ' '), 1, 75)) as description, length(trim(regexp_replace_all(text, '[ \n\t]+', ' '))) <= 75 as fits from documents")
 _both("settings_budget", """select event_id, slots - 1 as usable, palettes * (slots - 1) as budget, least(1.0e0, greatest(0.0e0, case when event_id % 5 = 0 then 1.0e0 else value / 100.0e0 end)) as effective_bias
@@ -51,15 +51,28 @@ _both("snapshot_numbers", """select user_id, coalesce(max(n), 0) + 1 as next_num
 _both("snapshot_order", "select user_id, event_id, cast(row_number() over (partition by user_id order by event_id % 37, event_id) as int) as position from events")
 _both("newest_file", "select user_id, max(event_id) as event_id from (select user_id, event_id, ts, max(ts) over (partition by user_id) as newest from events) t where ts = newest group by user_id")
 _both("source_lookup", """select d.doc_id, coalesce(a.page_id, b.page_id) as page_id, case when a.page_id is not null then 'recorded' when b.page_id is not null then 'index' else 'none' end as how
-   from documents d left join pages a on a.page_id = d.doc_id and d.doc_id % 2 = 0 left join (select page_id % 97 as k, min(page_id) as page_id from pages group by page_id % 97) b on b.k = d.doc_id % 97""")
+   from documents d left join pages a on a.page_id = d.doc_id and d.lang = 'en' left join (select page_id % 97 as k, min(page_id) as page_id from pages group by page_id % 97) b on b.k = d.doc_id % 97""")
 _both("recovery_priority", """select doc_id, case when q = 3 then 'exact' when q = 2 then 'preview' when q = 1 then 'verified' else 'guess' end as confidence from
    (select d.doc_id, max(case when l.toxic = 1 then 3 when l.quality = 1 then 2 when l.doc_id is not null then 1 else 0 end) as q from documents d left join labels l on l.doc_id = d.doc_id group by d.doc_id) t""")
 _both("orphans", "select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 _both("preview_match", """select doc_id, text_hash, latest from (select doc_id, md5(text) as text_hash, max(doc_id) over (partition by md5(text), length(text)) as latest, count(*) over (partition by md5(text), length(text)) as k from documents) t where k > 1""")
 _both("classify_errors", """select page_id, case when html like '%script%' and html like '%track%' then 'input' when html like '%nav%' then 'memory' else 'error' end as kind from pages""")
-_both("listing_order", "select page_id, cast(row_number() over (order by case when page_id % 7 = 0 then 0 else 1 end, substr(url, 8, 8), page_id) as int) as position from pages where page_id < 5000")
+_both("listing_order", "select page_id, cast(row_number() over (order by case when page_id % 7 = 0 then 0 else 1 end, substr(url, 8, 8), page_id) as int) as position from pages")
 _both("manifest_records", "select page_id, rpad(substr(upper(url), 8, 8), 8, ' ') || substr(html, 1, 75) as record from pages")
-_both("retarget_queue", "select u.user_id, e.item_id, count(*) as n from (select distinct user_id from events where user_id < 20) u join benchmark e on e.item_id < 10 group by u.user_id, e.item_id")
+# every job is pointed at the image that its user names; name and results are cleared
+_both("retarget_queue", "select e.event_id, e.event_type as label, b.item_id as image, cast(null as varchar(20)) as name, cast(null as int) as colours from events e join benchmark b on b.item_id = e.user_id")
+_both("description_export", """select page_id, case when length(url) >= w then url else rpad(url, cast(w as int), ' ') end || ' = ' || substr(regexp_replace_all(coalesce(html, ''), '[^ -~]', ' '), 1, 75) as line
+   from (select page_id, url, html, (select least(24, max(length(url))) from pages) as w from pages) t""")
+# a queue file has labels and settings, not results; a preset has its name and no input, out, name or description
+_JOB = "select event_id, event_type, user_id, cast(2 + event_id % 255 as int) as slots, cast(1 + event_id % 4 as int) as palettes from events"
+SQL["queue_records"] = (
+    f"select event_id, to_json(named_struct('label', event_type, 'settings', named_struct('input', cast(user_id as string), 'palettes', palettes, 'slots', slots)), map('ignoreNullFields', 'false')) as job from ({_JOB}) t",
+    f"select event_id, cast(to_json({{'label': event_type, 'settings': {{'input': cast(user_id as varchar), 'palettes': palettes, 'slots': slots}}}}) as varchar) as job from ({_JOB}) t",
+)
+SQL["preset_records"] = (
+    f"select event_type as name, to_json(named_struct('_name', event_type, 'palettes', max(palettes), 'slots', max(slots)), map('ignoreNullFields', 'false')) as preset from ({_JOB}) t group by event_type",
+    f"select event_type as name, cast(to_json({{'_name': event_type, 'palettes': max(palettes), 'slots': max(slots)}}) as varchar) as preset from ({_JOB}) t group by event_type",
+)
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

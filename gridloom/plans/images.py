@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import kernels as K
+from ..sources import sinks
 from ..sources.grids import vector_grid, vector_grid_sql
 from . import sql
 
@@ -202,7 +203,20 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("stats_json", F.to_json(F.struct("*")))
 
 
+def preview_pngs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.previews(vector_grid(spark, sf_dir, 64))
+
+
+def swatch_pngs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of the palettes of a fixed assignment of cells."""
+    px = vector_grid(spark, sf_dir, 64)
+    slots = sql.step(spark, px, "slots").join(sql.step(spark, px, "colours"), ["image_id", "cid"])
+    return sinks.swatch_sheets(slots)
+
+
 QUERIES = {
+    "preview_pngs": preview_pngs,
+    "swatch_pngs": swatch_pngs,
     "cooccurrence_components": cooccurrence_components,
     "component_sizes": component_sizes,
     "phase_a_packing": phase_a_packing,

@@ -105,6 +105,16 @@ for _n in (2, 4, 8):
          from {{px}} p join tile{_n} t on t.ty = p.y % {_n} and t.tx = p.x % {_n} join colours c on c.image_id = p.image_id and c.cid % 32 = 0 group by p.image_id, p.y, p.x) q""")
 
 
+QUERIES["shades_by_luma"] = (64, "select image_id, cid, luma, cast(row_number() over (partition by image_id order by luma desc, cid) as int) as shade from (select image_id, cid, 299 * r + 587 * g + 114 * b as luma from colours) t")
+# a label in 21 columns, a colon and a value that begins with a capital
+QUERIES["report_rows"] = (64, """select image_id, line_no, rpad(label, 21, ' ') || ': ' || upper(substr(value, 1, 1)) || substr(value, 2) as line from
+    (select image_id, 1 as line_no, 'Dimensions' as label, cast(max(x) + 1 as varchar(20)) || ' x ' || cast(max(y) + 1 as varchar(20)) || '  (' || cast(count(*) as varchar(20)) || ' px)' as value from {px} group by image_id
+     union all select image_id, 2, 'Resampled', 'none (native ' || cast(max(x) + 1 as varchar(20)) || 'x' || cast(max(y) + 1 as varchar(20)) || ')' from {px} group by image_id
+     union all select image_id, 3, 'Transparent px', cast(count(*) as varchar(20)) || ' letterbox/pillarbox -> index 0' from {px} where transparent group by image_id
+     union all select image_id, 4, 'Master colours', cast(count(*) as varchar(20)) from colours group by image_id
+     union all select image_id, 5, 'Identical pixels', cast(sum(case when r = r2 and g = g2 and b = b2 then 1 else 0 end) as varchar(20)) || ' / ' || cast(count(*) as varchar(20)) from pairs where not transparent group by image_id) t""")
+
+
 def _with(body: str) -> str:
     """``body`` behind the steps it needs, in order."""
     import re

@@ -72,33 +72,32 @@ def crc32_of_id(c: str) -> Column:
     return F.crc32(F.col(c).cast("string").cast("binary"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(src, dst)``: rows (node, comp), comp the least node.
 
-    Each round takes the least label among neighbours, then jumps to the label's
-    own label, so chains halve. Every round is written to the shared folder.
+    Alternating large-star and small-star on edges (hi, lo): first each edge takes the
+    least node below its lower end, then each node's lower neighbours link to their least.
+    Both keep components and never add edges, and rounds grow with a power of the logarithm
+    of the nodes at most, whatever the diameter; they end when no edge moves. Every round is
+    written to the shared folder, and least nodes apart, so that joins by a hot node can be split.
     An empty edge table gives an empty result; repeated edges and loops do no harm.
     """
     e = materialize(
-        edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct()
+        edges.filter("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct().withColumn("moved", F.lit(True))
     )
-    lab = materialize(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("comp"), F.lit(True).alias("moved")))
-    for _ in range(rounds):
-        near = (
-            e.join(lab.select(F.col("node").alias("dst"), "comp"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("comp").alias("near"))
+    while e.filter("moved").head(1):
+        low = materialize(e.groupBy("hi").agg(F.min("lo").alias("least")))
+        up = small_side(low.withColumnRenamed("hi", "lo"))
+        large = materialize(e.join(up, "lo", "left").select("hi", F.coalesce("least", "lo").alias("lo"), F.col("least").isNotNull().alias("moved")))
+        drop(e, low)
+        low = materialize(large.groupBy("hi").agg(F.min("lo").alias("least")))
+        linked = large.join(small_side(low), "hi").select(
+            F.when(F.col("lo") == F.col("least"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
+            F.col("least").alias("lo"),
+            (F.col("moved") | (F.col("lo") != F.col("least"))).alias("moved"),
         )
-        got = lab.select("node", "comp").join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        up = lab.select(F.col("node").alias("mid"), F.col("comp").alias("jump"))
-        new = materialize(
-            got.join(up, "mid").select("node", F.least("mid", "jump").alias("comp"), (F.least("mid", "jump") != F.col("old")).alias("moved"))
-        )
-        drop(lab)
-        lab = new
-        if not lab.filter("moved").head(1):
-            break
-    else:
-        raise RuntimeError("components did not settle")
+        e = materialize(linked.groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
+        drop(large, low)
+    out = materialize(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(e.select("lo", "lo").distinct()))
     drop(e)
-    return lab.select("node", "comp")
+    return out

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridloom.llm import chat, decontaminate, language, near_dup, packing, token_counts, token_file, token_ids, topk, toxicity, warc
+from gridloom.llm import chat, common, decontaminate, language, near_dup, packing, token_counts, token_file, token_ids, topk, toxicity, warc
 from gridloom.llm import words as W
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, n int"
@@ -54,6 +54,18 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (1, None)])).count() == 3
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(5)
+    name = rng.sample(range(10**9), 6100)
+    links = [(name[i], name[i + 1]) for i in range(3000) if i != 2000]
+    links += [(name[i], name[i + k]) for i in range(3100, 6000) for k in range(1, 5)]
+    links += [(7, 7), links[0], links[0][::-1], (None, 3)]
+    got = {r.node: r.comp for r in common.components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    parts = [name[:2001], name[2001:3001], name[3100:6004]]
+    assert got == {x: min(p) for p in parts for x in p}
+    assert common.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_compare_by_product_and_by_pair_agree():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)

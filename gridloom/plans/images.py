@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import components as C
 from ..operators import kernels as K
 from ..sources import sinks
-from ..sources.grids import vector_grid, vector_grid_sql
+from ..sources.grids import HEIGHT, vector_grid, vector_grid_sql
 from . import sql
 
 NP, CAP = 4, 255
@@ -68,6 +68,38 @@ def median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return median_cut_map(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("mapped_colours"), (F.countDistinct("entry") <= 32).alias("within_k"))
 
 
+def _entries(img: np.ndarray, pal: np.ndarray, method: str, strength: float) -> np.ndarray:
+    """Palette index of each pixel under an error-diffusion kernel or ``blue``."""
+    if method != "blue":
+        return K.diffuse(img, pal, method, strength)
+    h, w, _ = img.shape
+    m = K.blue_noise()
+    gap = np.sqrt(np.sort(((pal[:, None] - pal[None]) ** 2).sum(2), 1)[:, 1:2]).mean() if len(pal) > 1 else 0.0
+    t = ((m + 0.5) / m.size - 0.5)[np.arange(h)[:, None] % len(m), np.arange(w)[None] % len(m)]
+    return K.nearest((img + 1.5 * strength * gap * t[..., None]).reshape(-1, 3), pal).reshape(h, w)
+
+
+def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, most: int = NP * CAP) -> DataFrame:
+    """The grid, with images of more than ``most`` colours (padding included) cut to a
+    median-cut palette of that many and dithered to it; other images stay as they are."""
+    grid = grid.select("image_id", "y", "x", "r", "g", "b", "transparent")
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        rgb = pdf[["r", "g", "b"]].to_numpy()
+        c, of, n = np.unique(rgb, axis=0, return_inverse=True, return_counts=True)
+        if len(c) <= most:
+            return pdf
+        pal, entry = K.median_cut(c, n, most)
+        at = entry[of.reshape(-1)]
+        if method != "none":
+            img = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1, 3))
+            img[pdf.y, pdf.x] = rgb
+            at = _entries(img, pal, method, strength)[pdf.y, pdf.x]
+        return pdf.assign(r=pal[at, 0], g=pal[at, 1], b=pal[at, 2])
+
+    return grid.groupBy("image_id").applyInPandas(kernel, grid.schema)
+
+
 def dither(grid: DataFrame, method: str, k: int = 32, strength: float = 1.0) -> DataFrame:
     """Pixels with palette entries: an error-diffusion kernel or ``blue``, per image."""
 
@@ -79,14 +111,7 @@ def dither(grid: DataFrame, method: str, k: int = 32, strength: float = 1.0) ->
         c, n = np.unique(pdf[["r", "g", "b"]].to_numpy(), axis=0, return_counts=True)
         pal, _ = K.median_cut(c, n, k)
         pal = np.unique(pal, axis=0)
-        if method == "blue":
-            m = K.blue_noise()
-            gap = np.sqrt(np.sort(((pal[:, None] - pal[None]) ** 2).sum(2), 1)[:, 1:2]).mean() if len(pal) > 1 else 0.0
-            t = ((m + 0.5) / m.size - 0.5)[np.arange(h)[:, None] % len(m), np.arange(w)[None] % len(m)]
-            idx = K.nearest((img + 1.5 * strength * gap * t[..., None]).reshape(-1, 3), pal).reshape(h, w)
-        else:
-            idx = K.diffuse(img, pal, method, strength)
-        at = idx[pdf.y, pdf.x]
+        at = _entries(img, pal, method, strength)[pdf.y, pdf.x]
         return pdf[["image_id", "y", "x"]].assign(entry=at, r=pal[at, 0], g=pal[at, 1], b=pal[at, 2])
 
     return _per_image(grid.select("image_id", "y", "x", "r", "g", "b"), kernel, "image_id int, y int, x int, entry int, r int, g int, b int")
@@ -104,7 +129,8 @@ def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence:
     """Cells with palettes and entries: (image_id, y, cx, palette, entries, strategy).
 
     ``auto`` takes lossless packing where components fit, else fidelity for a bias of 0 and
-    balanced otherwise; ``clusters`` deals cells out by capacity-bounded k-means.
+    balanced otherwise; ``clusters`` deals cells out by capacity-bounded k-means. An image of
+    more colours than all palettes hold is one that ``prequantize`` hasn't seen, an error.
     """
     cells = sql.step(grid.sparkSession, grid, "cells")
     colours = sql.step(grid.sparkSession, grid, "colours").select("image_id", "cid", "r", "g", "b")
@@ -113,6 +139,8 @@ def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence:
         img = int(pdf.image_id.iloc[0])
         rgb = pdf.drop_duplicates("cid").sort_values("cid")
         ids = rgb.cid.to_numpy()
+        if len(ids) > bins * cap:
+            raise ValueError(f"image {img} has {len(ids)} colours, prequantize it first")
         lab = K.oklab(rgb[["r", "g", "b"]].to_numpy() / 63.0)
         pdf = pdf.assign(c=np.searchsorted(ids, pdf.cid)).sort_values(["y", "cx", "c"])
         keys, sets, weights = [], [], []
@@ -177,9 +205,9 @@ def packed_pixels(grid: DataFrame, packed: DataFrame) -> DataFrame:
     return px.join(best, ["image_id", "palette", "cid"]).select("image_id", "y", "x", "cx", "palette", "r", "g", "b", "cid", "o.slot", "o.out_cid", "o.r2", "o.g2", "o.b2", (F.col("o.d2") > 0).alias("recoloured"))
 
 
-def _packed(strategy: str, levels: int):
+def _packed(strategy: str, levels: int, height: int = HEIGHT):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        grid = vector_grid(spark, sf_dir, levels)
+        grid = prequantize(vector_grid(spark, sf_dir, levels, height))
         p = pack(grid, strategy)
         px = packed_pixels(grid, p)
         cap = p.groupBy("image_id").agg((F.max(F.size("entries")) <= CAP).alias("within_cap"))
@@ -189,9 +217,18 @@ def _packed(strategy: str, levels: int):
     return query
 
 
-def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quantized_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of images of 200 vectors, which exceed all palettes' colours: how many there were, and are."""
+    source = vector_grid(spark, sf_dir, 64, 200).groupBy("image_id").agg(F.countDistinct("r", "g", "b").alias("source_colours"))
+    left = prequantize(vector_grid(spark, sf_dir, 64, 200)).groupBy("image_id").agg((F.countDistinct("r", "g", "b") <= NP * CAP).alias("within_budget"))
+    q = _packed("auto", 64, 200)(spark, sf_dir).join(source, "image_id").join(left, "image_id")
+    return q.withColumn("prequantized", F.col("source_colours") > NP * CAP)
+
+
+def stats(spark: SparkSession, sf_dir: str, height: int = HEIGHT) -> DataFrame:
     """One row of figures per image, and its JSON."""
-    grid = vector_grid(spark, sf_dir, 64)
+    source = vector_grid(spark, sf_dir, 64, height)
+    grid = prequantize(source)
     px = packed_pixels(grid, pack(grid))
     s = px.groupBy("image_id").agg(
         F.count("*").alias("compared_pixels"),
@@ -199,6 +236,8 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct("r2", "g2", "b2").alias("output_colours"),
         F.countDistinct("palette").alias("palettes_used"),
     )
+    s = s.join(source.groupBy("image_id").agg(F.countDistinct("r", "g", "b").alias("source_colours")), "image_id")
+    s = s.withColumn("prequantized", F.col("source_colours") > NP * CAP)
     s = s.withColumn("lossless", F.col("recoloured_pixels") == 0)
     return s.withColumn("stats_json", F.to_json(F.struct("*")))
 
@@ -228,6 +267,7 @@ QUERIES = {
     "balanced_pack": _packed("balanced", 16),
     "cluster_pack": _packed("clusters", 16),
     "auto_pack": _packed("auto", 64),
+    "quantized_pack": quantized_pack,
     "conversion_stats": stats,
 }
 
@@ -251,4 +291,6 @@ ORACLE = {
     "ordered_dither_blue": _DITHER,
     **{f"{k}_pack": _INVARIANT.format(vector_grid_sql(16)) for k in ("fidelity", "balanced", "cluster")},
     "auto_pack": _INVARIANT.format(vector_grid_sql(64)),
+    "quantized_pack": f"""select q.*, source_colours, true as within_budget, source_colours > {NP * CAP} as prequantized from ({_INVARIANT.format(vector_grid_sql(64, 200))}) q
+    join (select image_id, count(distinct r * 4096 + g * 64 + b) as source_colours from ({vector_grid_sql(64, 200)}) s group by image_id) c on c.image_id = q.image_id""",
 }

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 HEIGHT, WIDTH, CELL = 40, 21, 8
 
 
-def vector_grid(spark: SparkSession, sf_dir: str, levels: int = 64) -> DataFrame:
-    """Grid view of ``embeddings``: 40 vectors an image, three components a pixel, quantised.
+def vector_grid(spark: SparkSession, sf_dir: str, levels: int = 64, height: int = HEIGHT) -> DataFrame:
+    """Grid view of ``embeddings``: ``height`` vectors an image, three components a pixel, quantised.
 
     The first four lines of an image count as padding (transparent).
     """
@@ -22,20 +22,20 @@ def vector_grid(spark: SparkSession, sf_dir: str, levels: int = 64) -> DataFrame
         return F.least(F.lit(levels - 1), F.greatest(F.lit(0), F.floor((v + 0.55) * levels / 1.1).cast("int")))
 
     return e.select(
-        F.expr(f"cast(vec_id div {HEIGHT} as int)").alias("image_id"),
-        F.expr(f"cast(vec_id % {HEIGHT} as int)").alias("y"),
+        F.expr(f"cast(vec_id div {height} as int)").alias("image_id"),
+        F.expr(f"cast(vec_id % {height} as int)").alias("y"),
         "x",
         *[channel(k).alias(c) for k, c in enumerate("rgb")],
-        F.expr(f"vec_id % {HEIGHT} < 4").alias("transparent"),
+        F.expr(f"vec_id % {height} < 4").alias("transparent"),
     )
 
 
-def vector_grid_sql(levels: int = 64) -> str:
+def vector_grid_sql(levels: int = 64, height: int = HEIGHT) -> str:
     """The same view for an SQL engine with 1-based arrays."""
     ch = ", ".join(
         f"least({levels - 1}, greatest(0, cast(floor((cast(embedding[3*x+{k}] as double)+cast(0.55 as double))*{levels}/cast(1.1 as double)) as int))) as {c}" for k, c in ((1, "r"), (2, "g"), (3, "b"))
     )
-    return f"select cast(vec_id // {HEIGHT} as int) as image_id, cast(vec_id % {HEIGHT} as int) as y, cast(x as int) as x, {ch}, vec_id % {HEIGHT} < 4 as transparent from embeddings, range(0, {WIDTH}) t(x)"
+    return f"select cast(vec_id // {height} as int) as image_id, cast(vec_id % {height} as int) as y, cast(x as int) as x, {ch}, vec_id % {height} < 4 as transparent from embeddings, range(0, {WIDTH}) t(x)"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

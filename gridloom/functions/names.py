@@ -35,16 +35,23 @@ def preview_number(c: Column) -> Column:
     return F.when(n != "", n.cast("int"))
 
 
-def unique_name(name: str, taken: set[str]) -> str:
-    """A short name not taken yet: its tail is overwritten by 01, 02, ..."""
+def unique_name(name: str, taken: set[str], last: dict[str, int] | None = None) -> str:
+    """A short name not taken yet: its tail is overwritten by 01, 02, ...
+
+    ``last`` keeps each name's last counter for calls in a row over a ``taken`` that only
+    grows, so that lower counters aren't tried again. After 9,999,999 the counter would
+    take the first character's place, and a name can't begin with a digit.
+    """
     if name not in taken:
         return name
-    for i in range(1, 10_000):
+    last = {} if last is None else last
+    for i in range(last.get(name, 0) + 1, 10_000_000):
         tail = f"{i:02d}"
         new = name[: 8 - len(tail)] + tail
         if new not in taken:
+            last[name] = i
             return new
-    raise ValueError("no name is left")
+    raise ValueError("no name of 8 characters is left")
 
 
 def wrap(text: str, width: int = 57) -> list[str]:
@@ -57,9 +64,13 @@ def wrap(text: str, width: int = 57) -> list[str]:
     return out
 
 
+#: Most lines of an .nfo file.
+NFO_LINES = 127
+
+
 def nfo_encode(lines: list[str], attr: int = 0) -> bytes:
     """Records of 80 {glyph, attribute} pairs, then one of zeros; 127 lines at most."""
-    if len(lines) > 127:
+    if len(lines) > NFO_LINES:
         raise ValueError("too many lines")
     return b"".join(bytes(v for ch in line[:80].ljust(80).encode("latin-1", "replace") for v in (ch, attr)) for line in lines) + bytes(160)
 

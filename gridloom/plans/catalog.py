@@ -86,34 +86,42 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names in page order, each made unique within its directory (here the host)."""
+    """Short names in page order, each made unique within its directory (here the host).
+
+    A counter never takes a name's first character, so names that begin alike are a task of
+    their own; those of one host that begin alike (say, all of IMG) stay in one task.
+    """
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("folder"), N.short_name(F.regexp_extract("url", "([^/]*)$", 1)).alias("short"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
+        last: dict[str, int] = {}
         out = []
         for name in pdf.sort_values("page_id").short:
-            out.append(N.unique_name(name, taken))
+            out.append(N.unique_name(name, taken, last))
             taken.add(out[-1])
         return pdf.sort_values("page_id").assign(unique_name=out)[["page_id", "folder", "unique_name"]]
 
-    return p.groupBy("folder").applyInPandas(kernel, "page_id long, folder string, unique_name string")
+    return p.groupBy("folder", F.substring("short", 1, 1)).applyInPandas(kernel, "page_id long, folder string, unique_name string")
 
 
 def nfo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapped text as fixed-width records and back: lines, bytes and whether they agree."""
+    """Wrapped text as fixed-width records and back: lines, bytes and whether they agree.
+
+    Text of more than 127 lines is rejected whole: its lines are counted, and there are no bytes."""
     d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
 
     def kernel(it):
         for pdf in it:
             rows = []
             for i, t in zip(pdf.item_id, pdf.text, strict=True):
-                lines = N.wrap((t or "").encode("latin-1", "replace").decode("latin-1"))[:127]
-                raw = N.nfo_encode(lines)
-                rows.append((i, len(lines), len(raw), N.nfo_decode(raw) == lines))
-            yield pd.DataFrame(rows, columns=["item_id", "n_lines", "n_bytes", "same"])
+                lines = N.wrap((t or "").encode("latin-1", "replace").decode("latin-1"))
+                rejected = len(lines) > N.NFO_LINES
+                raw = b"" if rejected else N.nfo_encode(lines)
+                rows.append((i, len(lines), len(raw), not rejected and N.nfo_decode(raw) == lines, rejected))
+            yield pd.DataFrame(rows, columns=["item_id", "n_lines", "n_bytes", "same", "rejected"])
 
-    return d.mapInPandas(kernel, "item_id long, n_lines int, n_bytes int, same boolean")
+    return d.mapInPandas(kernel, "item_id long, n_lines int, n_bytes int, same boolean, rejected boolean")
 
 
 QUERIES = {"unique_names": unique_names, "nfo_roundtrip": nfo_roundtrip}

@@ -68,12 +68,16 @@ def median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return median_cut_map(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("mapped_colours"), (F.countDistinct("entry") <= 32).alias("within_k"))
 
 
-def _entries(img: np.ndarray, pal: np.ndarray, method: str, strength: float) -> np.ndarray:
-    """Palette index of each pixel under an error-diffusion kernel or ``blue``."""
-    if method != "blue":
+def _mask(method: str) -> np.ndarray | None:
+    """Ranks of an ordered dither's tile, made once a query: bayer2, bayer4, bayer8 or blue."""
+    return K.blue_noise() if method == "blue" else K.bayer(int(method[5:])) if method.startswith("bayer") else None
+
+
+def _entries(img: np.ndarray, pal: np.ndarray, method: str, strength: float, m: np.ndarray | None) -> np.ndarray:
+    """Palette index of each pixel under an error-diffusion kernel, or with the ranks ``m`` of a tile."""
+    if m is None:
         return K.diffuse(img, pal, method, strength)
     h, w, _ = img.shape
-    m = K.blue_noise()
     gap = np.sqrt(np.sort(((pal[:, None] - pal[None]) ** 2).sum(2), 1)[:, 1:2]).mean() if len(pal) > 1 else 0.0
     t = ((m + 0.5) / m.size - 0.5)[np.arange(h)[:, None] % len(m), np.arange(w)[None] % len(m)]
     return K.nearest((img + 1.5 * strength * gap * t[..., None]).reshape(-1, 3), pal).reshape(h, w)
@@ -83,6 +87,7 @@ def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, mo
     """The grid, with images of more than ``most`` colours (padding included) cut to a
     median-cut palette of that many and dithered to it; other images stay as they are."""
     grid = grid.select("image_id", "y", "x", "r", "g", "b", "transparent")
+    mask = _mask(method) if method != "none" else None
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         rgb = pdf[["r", "g", "b"]].to_numpy()
@@ -94,14 +99,15 @@ def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, mo
         if method != "none":
             img = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1, 3))
             img[pdf.y, pdf.x] = rgb
-            at = _entries(img, pal, method, strength)[pdf.y, pdf.x]
+            at = _entries(img, pal, method, strength, mask)[pdf.y, pdf.x]
         return pdf.assign(r=pal[at, 0], g=pal[at, 1], b=pal[at, 2])
 
     return grid.groupBy("image_id").applyInPandas(kernel, grid.schema)
 
 
 def dither(grid: DataFrame, method: str, k: int = 32, strength: float = 1.0) -> DataFrame:
-    """Pixels with palette entries: an error-diffusion kernel or ``blue``, per image."""
+    """Pixels with palette entries: an error-diffusion kernel, ``blue`` or ``bayer2``, ``bayer4``, ``bayer8``, per image."""
+    mask = _mask(method)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
@@ -111,7 +117,7 @@ def dither(grid: DataFrame, method: str, k: int = 32, strength: float = 1.0) ->
         c, n = np.unique(pdf[["r", "g", "b"]].to_numpy(), axis=0, return_counts=True)
         pal, _ = K.median_cut(c, n, k)
         pal = np.unique(pal, axis=0)
-        at = _entries(img, pal, method, strength)[pdf.y, pdf.x]
+        at = _entries(img, pal, method, strength, mask)[pdf.y, pdf.x]
         return pdf[["image_id", "y", "x"]].assign(entry=at, r=pal[at, 0], g=pal[at, 1], b=pal[at, 2])
 
     return _per_image(grid.select("image_id", "y", "x", "r", "g", "b"), kernel, "image_id int, y int, x int, entry int, r int, g int, b int")
@@ -263,6 +269,7 @@ QUERIES = {
     "median_cut": median_cut,
     **{f"error_diffusion_{k}": _dithered(k) for k in K.DIFFUSION},
     "ordered_dither_blue": _dithered("blue"),
+    **{f"palette_dither_bayer{n}": _dithered(f"bayer{n}") for n in (2, 4, 8)},
     "fidelity_pack": _packed("fidelity", 16),
     "balanced_pack": _packed("balanced", 16),
     "cluster_pack": _packed("clusters", 16),
@@ -289,6 +296,7 @@ ORACLE = {
     "median_cut": _GRID.replace("recursive ", "") + " select image_id, count(distinct r * 4096 + g * 64 + b) as mapped_colours, true as within_k from px group by image_id",
     **{f"error_diffusion_{k}": _DITHER for k in K.DIFFUSION},
     "ordered_dither_blue": _DITHER,
+    **{f"palette_dither_bayer{n}": _DITHER for n in (2, 4, 8)},
     **{f"{k}_pack": _INVARIANT.format(vector_grid_sql(16)) for k in ("fidelity", "balanced", "cluster")},
     "auto_pack": _INVARIANT.format(vector_grid_sql(64)),
     "quantized_pack": f"""select q.*, source_colours, true as within_budget, source_colours > {NP * CAP} as prequantized from ({_INVARIANT.format(vector_grid_sql(64, 200))}) q

@@ -30,7 +30,7 @@ def _encode(path: str, end: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail, part, at = encoder(path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for big in it:
-            for b in W.pieces(big, "text", 1 << 22):
+            for b in W.pieces(big, "text", 1 << 21):
                 ids = [x + tail for x in enc.encode([x or "" for x in b.column("text").to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 off = at + np.cumsum(n) - n

@@ -31,7 +31,7 @@ def _lengths(path: str):
         enc = encoder(path)
         for big in it:
             n: list[int] = []
-            for b in W.pieces(big, "text", 1 << 22):
+            for b in W.pieces(big, "text", 1 << 21):
                 n += [len(x) // 4 for x in enc.encode([x or "" for x in b.column("text").to_pylist()])]
             length, docs = np.unique(np.array(n, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(docs.astype(np.int64))], ["length", "n_docs"])

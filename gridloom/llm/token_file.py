@@ -1,22 +1,24 @@
 """Operator 7: token ids in binary files by an adaptive context-mixing range coder.
 
 Ids are cut into blocks of ``BLOCK``, each coded by itself from a reset model and kept with
-a CRC-32 of its ids, so a block can be read alone and damage is found. For each id three
-contexts predict: order 2 (the two ids before) and order 1 by hashed tables of the id that
-last followed, with a count of hits, and order 0 by a running majority. The coded symbol
-says which prediction holds, else the bit length of the id, whose lower bits follow evenly.
-Its distribution is a mix of three adaptive ones, chosen by the hit counts of order 0, 1
-and 2, under weights that follow how well each did. A carry-less range coder of 32 bits
-codes it. All is integer arithmetic, and blocks run side by side in NumPy, a lane each.
+a CRC-32 of its ids, so a block can be read alone and damage is found. For each id, order 2
+(the two ids before) and order 1 name the id that last followed, with a confidence; whether
+they are right is coded first. Any other id goes bit by bit down a tree of adaptive chances:
+order 0 throughout, mixed with those of order 1 in the first bits. Chances of two contexts are
+mixed in the logistic domain under weights that follow which did better, and a binary range
+coder of 32 bits codes each decision. Ids must lie below 2^17.
 
-A segment is a byte string: magic, counts, ids' offset in its partition, the index of
-documents (doc_id, length), the table of blocks (bytes, checksum) and their code. Segments
-hold whole documents. They are rows of Parquet files, as executors have no other shared
-writer; ``read_segments`` needs nothing but those bytes.
+The coder is integer Java (``id_coder``), as an id takes some 20 decisions and Python's would
+take microseconds each; ``jvm`` compiles it. Python runs the tokenizer alone.
+
+A segment is a byte string: magic, counts, ids' offset in its partition, a checksum, the index
+of documents (doc_id, length), then the table of blocks (bytes, checksum) and their code.
+Segments hold whole documents. They are rows of Parquet files, as executors have no other shared
+writer; ``read_segments`` and ``read_ids`` need nothing but those bytes.
 
 Cases: null and empty texts have the end id alone; null doc_ids come first and stay null;
 rows with equal doc_id are in the order of their text; an empty table gives no rows; extra
-columns are ignored; ids must lie below 2^17.
+columns are ignored; a damaged segment is an error.
 """
 
 from __future__ import annotations
@@ -31,288 +33,81 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import id_coder, jvm
 from . import words as W
 from .common import materialize, read
 from .packing import with_offsets
 from .token_ids import default_tokenizer, encoder
 
-BLOCK = 4096
-SEGMENT = 1024 * BLOCK
-MAGIC = b"GLTI1\0\0\0"
+BLOCK = 65536
+#: Ids of a segment, about; a longer document is a segment by itself.
+SEGMENT = 16 * BLOCK
+MAGIC = b"GLTI2\0\0\0"
 NULL_ID = -(2**63)
-_SLOTS, _HITS, _SYMBOLS = 2048, 4, 21
-#: Counts start at, grow by, and are halved when their sum is beyond.
-_START, _STEP, _LIMIT = 8, 32, 1 << 13
-#: Bit lengths of ids.
-_BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int64)
-
-
-class _Model:
-    """Predictions and mixed frequencies of ``g`` lanes, the same when coding and decoding.
-
-    Tables of counts have a column per context and lane, so that all steps go along lanes.
-    """
-
-    def __init__(self, g: int) -> None:
-        self.g, self.lane = g, np.arange(g)
-        self.row = self.lane * _SLOTS
-        self.t = [np.zeros(g * _SLOTS, np.int32) for _ in range(2)]  # an id and, in its last two bits, hits
-        self.a = self.b = np.zeros(g, np.int64)  # the id before, and before that
-        self.major, self.votes = np.zeros(g, np.int32), np.zeros(g, np.int32)
-        self.f = [np.full((_SYMBOLS, g * k), _START, np.int32) for k in (1, _HITS, _HITS)]
-        self.total = [np.full(f.shape[1], _START * _SYMBOLS, np.int32) for f in self.f]
-        self.w = np.full((3, g), 1 << 10, np.int64)
-        self.cum = np.zeros((_SYMBOLS + 1, g), np.int32)
-
-    def predict(self) -> np.ndarray:
-        """Cumulative frequencies (symbols + 1, g), good until the next call."""
-        h1 = (self.a * 40503 >> 4) & (_SLOTS - 1)
-        h2 = ((self.a * 30011 + self.b * 52361) >> 5) & (_SLOTS - 1)
-        self.at = [self.row + h1, self.row + h2]
-        got = [t[at] for t, at in zip(self.t, self.at, strict=True)]
-        self.p1, self.p2 = (e >> 2 for e in got)
-        self.n = [e & 3 for e in got]
-        self.ctx = [self.lane, *(self.lane + self.g * n for n in self.n)]
-        self.scale = [((w << 12) // t[c]).astype(np.int32) for w, t, c in zip(self.w, self.total, self.ctx, strict=True)]
-        mixed = self.f[0] * self.scale[0]
-        for f, c, w in zip(self.f[1:], self.ctx[1:], self.scale[1:], strict=True):
-            row = f.take(c, axis=1)
-            row *= w
-            mixed += row
-        mixed >>= 9
-        mixed += 1
-        for i in range(_SYMBOLS):
-            np.add(self.cum[i], mixed[i], out=self.cum[i + 1])
-        return self.cum
-
-    def symbol(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol of ids x, and its count of bits that follow."""
-        bits = _BITS[x]
-        s = np.where(x == self.p2, 0, np.where(x == self.p1, 1, np.where(x == self.major, 2, 3 + bits)))
-        return s, np.where(s >= 3, np.maximum(bits - 1, 0), 0)
-
-    def update(self, x: np.ndarray, s: np.ndarray) -> None:
-        share = np.empty((3, self.g), np.int64)
-        for i, (f, total, c) in enumerate(zip(self.f, self.total, self.ctx, strict=True)):
-            flat, at = f.reshape(-1), s * f.shape[1] + c
-            had = flat[at]
-            share[i] = had * self.scale[i] + 1
-            flat[at] = had + _STEP
-            sums = total[c] + _STEP
-            total[c] = sums
-            full = np.flatnonzero(sums > _LIMIT)
-            if len(full):
-                full = c[full]
-                f[:, full] -= f[:, full] >> 1
-                total[full] = f[:, full].sum(0)
-        self.w = (self.w * 15 + (share << 12) // share.sum(0)) >> 4
-        np.clip(self.w, 16, 1 << 12, out=self.w)
-        for k, p in ((0, self.p1), (1, self.p2)):
-            n = self.n[k]
-            self.t[k][self.at[k]] = np.where(x == p, p << 2 | np.minimum(n + 1, 3), np.where(n == 0, x << 2, p << 2 | (n - 1)))
-        self.votes += np.where(x == self.major, 1, -1).astype(np.int32)
-        self.major = np.where(self.votes < 0, x, self.major)
-        np.maximum(self.votes, 0, out=self.votes)
-        self.b, self.a = self.a, x.astype(np.int64)
-
-
-def _settle(low: np.ndarray, rng: np.ndarray, at: np.ndarray, move) -> None:
-    """Shift out bytes on the lanes ``at`` until their ranges are wide enough."""
-    while len(at):
-        lo, r = low[at], rng[at]
-        top = (lo ^ (lo + r)) < 1 << 24
-        thin = ~top & (r < 1 << 16)
-        go = top | thin
-        if not go.any():
-            return
-        at, lo, r, thin = at[go], lo[go], r[go], thin[go]
-        r = np.where(thin, -lo & 0xFFFF, r)
-        move(at, lo >> 24)
-        low[at], rng[at] = (lo << 8) & 0xFFFFFFFF, (r << 8) & 0xFFFFFFFF
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Code of each block of ``BLOCK`` ids, the last maybe shorter."""
-    if len(ids) and ids.max() >= 1 << 17:
-        raise ValueError("ids of 17 bits at most")
-    full = len(ids) // BLOCK
-    out = _encode(ids[: full * BLOCK].reshape(full, BLOCK)) if full else []
-    rest = ids[full * BLOCK :]
-    return out + (_encode(rest.reshape(1, -1)) if len(rest) else [])
-
-
-def _encode(x: np.ndarray) -> list[bytes]:
-    g, n = x.shape
-    x = np.ascontiguousarray(x.T.astype(np.int32))
-    m, low, rng = _Model(g), np.zeros(g, np.int64), np.full(g, 0xFFFFFFFF, np.int64)
-    out, pos, lane = np.zeros((g, n * 5 + 16), np.uint8), np.zeros(g, np.int64), np.arange(g)
 
-    def put(at: np.ndarray, byte: np.ndarray) -> None:
-        out[at, pos[at]] = byte
-        pos[at] += 1
 
-    for t in range(n):
-        cum = m.predict()
-        s, extra = m.symbol(x[t])
-        r = rng // cum[-1]
-        lo = cum[s, lane]
-        low += r * lo
-        rng = r * (cum[s + 1, lane] - lo)
-        over = low >> 32
-        if over.any():
-            raise ArithmeticError("carry")
-        _settle(low, rng, lane, put)
-        at = np.flatnonzero(extra)
-        if len(at):
-            e = extra[at]
-            r = rng[at] >> e
-            low[at] += r * (x[t][at] & ((1 << e) - 1))
-            rng[at] = r
-            _settle(low, rng, at, put)
-        m.update(x[t], s)
-    for _ in range(4):
-        put(lane, (low >> 24) & 0xFF)
-        low = (low << 8) & 0xFFFFFFFF
-    return [out[i, : pos[i]].tobytes() for i in range(g)]
+def head(doc_ids: list[int | None], lengths: list[int], base: int) -> bytes:
+    """What comes before the code in a segment."""
+    index = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes()
+    return MAGIC + struct.pack("<QQI", len(doc_ids), base, zlib.crc32(index)) + index
 
 
-def decode_blocks(codes: list[bytes], n_ids: int) -> np.ndarray:
-    """The ids of blocks as ``encode_blocks`` coded ``n_ids`` of them."""
-    full = n_ids // BLOCK
-    parts = [_decode(codes[:full], BLOCK)] if full else []
-    if n_ids % BLOCK:
-        parts.append(_decode(codes[full:], n_ids % BLOCK))
-    return np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.uint32)
-
-
-def _decode(codes: list[bytes], n: int) -> np.ndarray:
-    g, lane = len(codes), np.arange(len(codes))
-    size = np.array([len(c) for c in codes])
-    data = np.frombuffer(b"".join(codes) + bytes(8), np.uint8).astype(np.int64)
-    pos, end = np.cumsum(size) - size, len(data) - 1
-    m, low, rng, code = _Model(g), np.zeros(g, np.int64), np.full(g, 0xFFFFFFFF, np.int64), np.zeros(g, np.int64)
-    for _ in range(4):
-        code = code << 8 | data[pos]
-        pos += 1
-    out = np.zeros((n, g), np.uint32)
-
-    def take(at: np.ndarray, _: np.ndarray) -> None:
-        code[at] = (code[at] << 8 | data[np.minimum(pos[at], end)]) & 0xFFFFFFFF
-        pos[at] += 1
-
-    for t in range(n):
-        cum = m.predict()
-        r = rng // cum[-1]
-        v = np.minimum(((code - low) & 0xFFFFFFFF) // np.maximum(r, 1), cum[-1] - 1)
-        s = (cum[1:] <= v.astype(np.int32)).view(np.int8).sum(0, dtype=np.int8).astype(np.int64)
-        lo = cum[s, lane]
-        low += r * lo
-        rng = r * (cum[s + 1, lane] - lo)
-        _settle(low, rng, lane, take)
-        bits = s - 3
-        x = np.where(s == 0, m.p2, np.where(s == 1, m.p1, m.major))
-        long = s >= 3
-        x[long] = np.where(bits[long] > 0, 1 << np.maximum(bits[long] - 1, 0), 0)
-        at = np.flatnonzero(bits > 1)
-        if len(at):
-            e = bits[at] - 1
-            r = rng[at] >> e
-            low_bits = np.minimum(((code[at] - low[at]) & 0xFFFFFFFF) // np.maximum(r, 1), (1 << e) - 1)
-            x[at] |= low_bits.astype(np.int32)
-            low[at] += r * low_bits
-            rng[at] = r
-            _settle(low, rng, at, take)
-        out[t] = x
-        m.update(x, s)
-    return np.ascontiguousarray(out.T)
-
-
-def segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, base: int) -> bytes:
-    codes = encode_blocks(ids)
-    sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
-    head = MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), base)
-    body = doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes()
-    body += np.array([len(c) for c in codes], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
-    return head + struct.pack("<I", zlib.crc32(body)) + body + b"".join(codes)
-
-
-def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """doc_ids, lengths, ids and base of a segment; ValueError if a checksum fails."""
-    if raw[:8] != MAGIC:
-        raise ValueError("no segment of token ids")
-    docs, n, base = struct.unpack_from("<QQQ", raw, 8)
-    (want,) = struct.unpack_from("<I", raw, 32)
-    blocks = -(-n // BLOCK)
-    at = 36 + 12 * docs + 8 * blocks
-    if zlib.crc32(raw[36:at]) != want:
-        raise ValueError("the index of a segment is damaged")
-    doc_ids = np.frombuffer(raw, "<i8", docs, 36)
-    lengths = np.frombuffer(raw, "<u4", docs, 36 + 8 * docs)
-    sizes = np.frombuffer(raw, "<u4", blocks, 36 + 12 * docs)
-    sums = np.frombuffer(raw, "<u4", blocks, 36 + 12 * docs + 4 * blocks)
-    edge = at + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    ids = decode_blocks([raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], n)
-    for i, s in enumerate(sums):
-        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != s:
-            raise ValueError(f"block {i} of a segment is damaged")
-    return doc_ids, lengths, ids, base
-
-
-def _write(path: str, end: int):
+def _segments(path: str, end: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail, part, base, no = encoder(path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         held: list[bytes] = []
         total = 0
 
         def close() -> pa.RecordBatch:
             nonlocal base, no, total
-            ids = np.frombuffer(b"".join(held), "<u4")
-            raw = segment(np.array(docs, np.int64), np.array([len(x) // 4 for x in held]), ids, base)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([raw], pa.binary())], ["part", "segment", "data"])
-            base, no, total = base + len(ids), no + 1, 0
+            lengths = [len(x) // 4 for x in held]
+            row = [[part], [no], [head(docs, lengths, base)], [b"".join(held)]]
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "segment", "head", "ids"])
+            base, no, total = base + sum(lengths), no + 1, 0
             docs.clear()
             held.clear()
             return out
 
         for big in it:
-            for b in W.pieces(big, "text", 1 << 22):
+            for b in W.pieces(big, "text", 1 << 21):
                 coded = enc.encode([x or "" for x in b.column("text").to_pylist()])
                 for d, ids in zip(b.column("doc_id").to_pylist(), coded, strict=True):
-                    ids += tail
-                    if held and total + len(ids) // 4 > SEGMENT:
+                    if held and total + len(ids) // 4 >= SEGMENT:
                         yield close()
-                    docs.append(NULL_ID if d is None else d)
-                    held.append(ids)
-                    total += len(ids) // 4
+                    docs.append(d)
+                    held.append(ids + tail)
+                    total += len(ids) // 4 + 1
         if held:
             yield close()
 
     return run
 
 
-def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for part, raw in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
-            docs, n, ids, base = read_segment(raw.as_py())
-            end = np.cumsum(n, dtype=np.int64)
-            flat = ids.astype("<u4")
-            crc = np.array([zlib.crc32(flat[e - k : e].tobytes()) for e, k in zip(end.tolist(), n.tolist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), part, np.int32)), pa.array(docs, mask=docs == NULL_ID), pa.array(base + end - n), pa.array(n.astype(np.int64)), pa.array(crc)], ["part", "doc_id", "off", "n", "crc"])
-
-
-def write_ids(docs: DataFrame, end: int = 2, tokenizer: str | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, end: int = 2, tokenizer: str | None = None, block: int = BLOCK) -> DataFrame:
     """Segments (part, segment, data) of all documents in ascending doc_id, written."""
+    java = jvm.register(docs.sparkSession, id_coder.SOURCE, id_coder.FUNCTIONS)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(d.mapInArrow(_write(tokenizer or default_tokenizer(), end), "part int, segment int, data binary"), "uncompressed")
+    x = d.mapInArrow(_segments(tokenizer or default_tokenizer(), end), "part int, segment int, head binary, ids binary")
+    code = F.call_function(java["gridloom_encode_ids"], "ids", F.lit(block))
+    return materialize(x.select("part", "segment", F.concat("head", code).alias("data")), "uncompressed")
 
 
 def read_segments(files: DataFrame) -> DataFrame:
     """Per document, from segments: doc_id, start, n_tokens, ids_crc32."""
-    x = files.select("part", "data").mapInArrow(_read, "part int, doc_id long, off long, n long, crc long")
+    java = jvm.register(files.sparkSession, id_coder.SOURCE, id_coder.FUNCTIONS)
+    x = files.select("part", F.call_function(java["gridloom_read_docs"], "data").alias("v"))
+    row = F.transform(F.sequence(F.lit(0), F.size("v") - 1, F.lit(4)), lambda i: F.struct(*[F.get("v", i + k).alias(n) for k, n in enumerate(("doc_id", "off", "n", "crc"))]))
+    x = x.filter(F.size("v") > 0).select("part", F.inline(row))
     x = with_offsets(materialize(x))
-    return x.select("doc_id", F.col("begin").alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return x.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("begin").alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+def read_ids(files: DataFrame) -> DataFrame:
+    """Per segment: part, segment, ids (binary, little-endian unsigned 32-bit)."""
+    java = jvm.register(files.sparkSession, id_coder.SOURCE, id_coder.FUNCTIONS)
+    return files.select("part", "segment", F.call_function(java["gridloom_read_ids"], "data").alias("ids"))
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

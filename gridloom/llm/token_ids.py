@@ -4,10 +4,13 @@ The tokenizer splits a text into pieces by a pattern and encodes each by itself.
 text holds only characters on which Python's classes agree with the pattern's, its pieces
 are found here, looked up in a cache of two generations, so memory is bounded, and only the
 unseen ones go to the tokenizer. Where words stand between single spaces, words with the
-space or line end before them and without a point or comma after them are looked up first,
-in a cache of their own, each distinct one of a batch once. Other texts are first cut at
-single spaces flanked by characters that aren't white space, over which no piece reaches,
-and a chunk with any other character goes to the tokenizer whole. ``test_token_ids`` holds this against whole texts.
+space or line end before them, cut where letters, digits and other marks meet, are looked up first,
+by a hash of 63 bits in a table of NumPy arrays (a new word meets an entry's hash by chance
+once in 10^13), all words of a batch at once. Other texts are first cut at single spaces
+flanked by characters that aren't white space, over which no piece reaches, and a chunk with
+any other character goes to the tokenizer whole. So does a text that holds the string of a
+special token, which the tokenizer makes that token's id unless ``special`` is false; then it is
+ordinary text. Tests hold all this against the tokenizer's plain call on whole texts.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import re
 from itertools import accumulate, chain
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+
+from . import words as W
 
 _BY_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of the byte-level pattern, for text in the range where Python's classes agree with it.
@@ -27,17 +30,22 @@ _DOUBLE = ("  ", " \t", "\t ", " \n", "\n ", " \r", "\r ")
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 
 
-_WHITE, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 13, 32]] = True
-_ALNUM[[i for i in range(128) if chr(i).isalnum()]] = True
+#: Kinds of bytes between which pieces end: letters 1, digits 2, other marks 3; at the rest, 0, nothing is certain.
+_KIND = np.array([1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 3 if 32 < i < 127 and i != 39 else 0 for i in range(128)] + [1] * 128, np.uint8)
 
 
-def _after_alnum(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the character before each ``at`` is an ASCII letter or digit, or one of U+00C0 to
-    U+024F but the two signs among them, all others of which are letters."""
-    b, lead = data[at - 1], data[np.maximum(at - 2, 0)]
-    two = (b >= 0x80) & (b < 0xC0) & (lead >= 0xC3) & (lead <= 0xC9)
-    return _ALNUM[b] | (two & ~((lead == 0xC3) & ((b == 0x97) | (b == 0xB7))))
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte of text in the plain range, where characters from U+00C0 are letters but for
+    two signs, and those below aren't sorted here."""
+    out = _KIND[data]
+    lead = np.flatnonzero(data == 0xC2)
+    out[lead] = out[lead + 1] = 0
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)]
+    out[lead] = out[lead + 1] = 0
+    return out
 
 
 def default_tokenizer() -> str:
@@ -74,19 +82,90 @@ class Cache:
         self.young.update((k, v) for k, v in found.items() if len(k) <= 64)
 
 
+class Table:
+    """Ids by hash in open addressing: at most ``most`` entries and ``PER`` ids for each on average.
+
+    Hash 0 marks a free slot, so hashes are odd. When full, entries met since the last time
+    stay, half of the table at most.
+    """
+
+    PER = 6
+
+    def __init__(self, most: int) -> None:
+        self.most, self.slots = most, 1 << (3 * most // 2).bit_length()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key = np.zeros(self.slots, np.uint64)
+        self.start, self.size = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        self.met = np.zeros(self.slots, bool)
+        self.n, self.used, self.pool = 0, 0, np.zeros(1 << 16, "<u4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        mask = np.uint64(self.slots - 1)
+        at = ((h >> np.uint64(1)) & mask).astype(np.int64)
+        got = self.key[at]
+        out = np.where(got == h, at, -1)
+        left = np.flatnonzero((got != h) & (got != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (self.slots - 1)
+            got = self.key[at[left]]
+            same = got == h[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same & (got != 0)]
+        self.met[out[out >= 0]] = True
+        return out
+
+    def add(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """New distinct hashes with the counts of their ids, and these."""
+        if self.n + len(h) > self.most or self.used + len(ids) > self.most * self.PER:
+            self._sweep()
+        if len(h) > self.most // 2 or len(ids) > self.most * self.PER // 2:
+            return
+        at = ((h >> np.uint64(1)) & np.uint64(self.slots - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            p = at[left]
+            free = self.key[p] == 0
+            self.key[p[free]] = h[left[free]]
+            left = left[self.key[p] != h[left]]
+            at[left] = (at[left] + 1) & (self.slots - 1)
+        self.start[at], self.size[at] = self.append(ids) + np.cumsum(size) - size, size
+        self.n += len(h)
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids at the pool's end; returns where they begin."""
+        begin, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool) // 2, self.used - len(self.pool)), "<u4")])
+        self.pool[begin : self.used] = ids
+        return begin
+
+    def _sweep(self) -> None:
+        at = np.flatnonzero(self.met & (self.key != 0))[: self.most // 2]
+        key, size, start, pool = self.key[at], self.size[at].astype(np.int64), self.start[at], self.pool
+        end = np.cumsum(size)
+        fits = end <= self.most * self.PER // 2
+        key, size, start, end = key[fits], size[fits], start[fits], end[fits]
+        source = np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+        self._clear()
+        if len(key):
+            self.add(key, size, pool[source])
+
+
 class Encoder:
-    def __init__(self, path: str, parts: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 700_000, parts: int = 40_000, special: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
-        self.parts, self.words = Cache(parts // 4), Cache(parts)
-        self.opens, self.single = np.zeros(self.t.get_vocab_size(), bool), np.full(256, -1, np.int64)
+        self.t.encode_special_tokens = not special
+        self.marks = [x.content for x in self.t.get_added_tokens_decoder().values()] if special else []
+        self.parts, self.words = Cache(parts), Table(words)
+        self.opens = np.zeros(self.t.get_vocab_size(), bool)
         for token, i in self.t.get_vocab().items():
             self.opens[i] = token[0] in "\u0120\u010a"  # as which the byte-level vocabulary writes a space and a line end
-        for c in ".,":
-            self.single[ord(c)] = self.t.token_to_id(c)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids, straight from the tokenizer."""
@@ -98,71 +177,70 @@ class Encoder:
             out += [raw[i:j] for i, j in zip([0, *end], end, strict=False)]
         return out
 
+    def _kind(self, t: str) -> int:
+        return 2 if any(m in t for m in self.marks) else 0 if _regular(t) else 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, by_words = [b""] * len(texts), list(map(_regular, texts))
-        for encode, regular in ((self._words, True), (self._parts, False)):
-            at = [i for i, x in enumerate(by_words) if x == regular]
+        out, kinds = [b""] * len(texts), list(map(self._kind, texts))
+        for kind, encode in enumerate((self._words, self._parts, self.whole)):
+            at = [i for i, x in enumerate(kinds) if x == kind]
             for i, ids in zip(at, encode([texts[i] for i in at]), strict=True):
                 out[i] = ids
         return out
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        """Of regular texts: distinct words are looked up, then ids gathered for all at once.
+        """Of regular texts: words are looked up by hash, then ids gathered for all at once.
 
         A word begins at a space, or at a line end after a character that isn't white space, and
-        keeps it; a point or comma after a letter or digit is a piece of its own and is set apart.
+        keeps it, but for a text's first; and where letters, digits and other marks meet.
         """
         if not texts:
             return []
-        raw = (" " + " ".join(texts)).encode()
+        coded = [t.encode() for t in texts]
+        raw = b" " + b" ".join(coded)
         data = np.frombuffer(raw, np.uint8)
-        heads = np.cumsum([0, *(len(t.encode()) + 1 for t in texts[:-1])])
-        cut = data == 32
+        heads = np.cumsum([0, *(len(t) + 1 for t in coded[:-1])])
+        cut, kind = data == 32, _kinds(data)
         cut[1:] |= (data[1:] == 10) & ~_WHITE[data[:-1]]
-        edge = np.append(np.flatnonzero(cut), len(data))
-        first = np.searchsorted(edge, heads)
-        last = edge[1:] - 1
-        apart = (self.single[data[last]] >= 0) & (last - edge[:-1] > 1) & _after_alnum(data, last)
-        apart[first] = False
-        keep = np.ones(len(data), bool)
-        keep[last[apart]] = False
-        offsets = edge - np.append(0, np.cumsum(apart))
-        array = pa.LargeStringArray.from_buffers(len(last), pa.py_buffer(offsets), pa.py_buffer(data[keep]))
-        words = array.dictionary_encode()
-        keys = words.dictionary.to_pylist()
-        # A text's first word has no space before it.
-        opening = [raw[edge[i] + 1 : edge[i + 1]].decode() for i in first.tolist()]
-        table = self._looked_up(keys) + self._known([_PIECE.findall(t) for t in opening], set())
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        ids = np.frombuffer(b"".join(table) + bytes(4), "<u4")
-        code = words.indices.to_numpy().astype(np.int64)
-        code[first] = len(keys) + np.arange(len(texts))
-        n = size[code] + apart
+        cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        start = np.flatnonzero(cut)
+        stop = np.append(start[1:], len(data))
+        first = np.searchsorted(start, heads)
+        start[first] += 1
+        h = W.hashes(data, start, stop, W.EXACT) | np.uint64(1)
+        slot = self.words.find(h)
+        new = np.flatnonzero(slot < 0)
+        kept = self.words.used
+        begin, size = self.words.start[slot], self.words.size[slot]
+        if len(new):
+            fresh, one, of = np.unique(h[new], return_index=True, return_inverse=True)
+            made = self._made([raw[a:b].decode() for a, b in zip(start[new[one]].tolist(), stop[new[one]].tolist(), strict=True)])
+            n = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            at = self.words.append(np.frombuffer(b"".join(made), "<u4"))
+            begin[new], size[new] = (at + np.cumsum(n) - n)[of], n[of]
+        pool, n = self.words.pool, size.astype(np.int64)
         end = np.cumsum(n)
-        source = np.repeat((np.cumsum(size) - size)[code] - end + n, n)
-        source += np.arange(len(source))
-        out = ids[source]
-        out[end[apart] - 1] = self.single[data[last[apart]]]
+        source = np.repeat((begin - end + n).astype(np.int32) if end[-1] < 1 << 30 else begin - end + n, n)
+        source += np.arange(len(source), dtype=source.dtype)
+        out = pool[source]
+        if len(new):
+            self.words.used = kept
+            short = [i for i, x in enumerate(made) if len(x) <= 128]
+            self.words.add(fresh[short], np.array([len(made[i]) // 4 for i in short], np.int64), np.frombuffer(b"".join([made[i] for i in short]), "<u4"))
         out_bytes = out.tobytes()
-        stop = (4 * end[np.append(first[1:], len(end)) - 1]).tolist()
-        return [out_bytes[i:j] for i, j in zip([0, *stop], stop, strict=False)]
-
-    def _looked_up(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct words with the space or line end before them."""
-        got = list(map(self.words.young.get, keys))
-        missing = [i for i, x in enumerate(got) if x is None]
-        asked = [keys[i] for i in missing]
-        found = list(map(self.words.old.get, asked))
-        fresh = {k: x for k, x in zip(asked, found, strict=True) if x is not None}
-        new = [k for k in asked if k not in fresh]
-        letters = [k for k in new if k[1:].isalpha()]
-        fresh.update(zip(letters, self._letters(letters), strict=True))
-        mixed = [k for k in new if k not in fresh]
-        fresh.update(zip(mixed, self._known([_PIECE.findall(k) for k in mixed], set()), strict=True))
-        for i, k in zip(missing, asked, strict=True):
-            got[i] = fresh[k]
-        self.words.add(fresh)
-        return got
+        edge = (4 * end[np.append(first[1:], len(end)) - 1]).tolist()
+        return [out_bytes[i:j] for i, j in zip([0, *edge], edge, strict=False)]
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, with the space or line end before them if there is one."""
+        letters = [i for i, k in enumerate(words) if k[:1] in (" ", "\n") and k[1:].isalpha()]
+        out: list[bytes | None] = [None] * len(words)
+        for i, x in zip(letters, self._letters([words[i] for i in letters]), strict=True):
+            out[i] = x
+        mixed = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(mixed, self._known([_PIECE.findall(words[i]) for i in mixed], set()), strict=True):
+            out[i] = x
+        return out
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, each with a space or line end before it: they are encoded in a

@@ -29,7 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))[LOWER]
+#: Values of bytes in hashes: as they are, and with A-Z as a-z.
+EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+_BYTE = EXACT[LOWER]
 _pow: list[np.ndarray] = []
 
 
@@ -70,16 +72,16 @@ def spans(data: np.ndarray, off: np.ndarray, is_in: np.ndarray) -> tuple[np.ndar
     return s, e, np.searchsorted(s, off)
 
 
-def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run's lower-cased bytes."""
+def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each run's bytes, by ``table`` lower-cased; runs begin in ascending order."""
     out = np.empty(len(s), np.uint64)
     a = 0
     while a < len(s):
         b = max(a + 1, int(np.searchsorted(s, s[a] + PIECE)))
-        lo, hi = s[a], e[b - 1]
+        lo, hi = int(s[a]), max(int(s[b - 1]), int(e[b - 1]))
         pw, inv = _powers(int(hi - lo))
         c = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * pw[: hi - lo], out=c[1:])
+        np.cumsum(table[data[lo:hi]] * pw[: hi - lo], out=c[1:])
         x, y = s[a:b] - lo, e[a:b] - lo
         out[a:b] = mix((c[y] - c[x]) * inv[x] + (y - x).astype(np.uint64))
         a = b

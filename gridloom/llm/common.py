@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,23 +9,31 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its Parquet files, that an operator broadcasts.
 BROADCAST_BYTES = 16 << 20
+#: Most rows of a batch that goes to Python.
+BATCH_ROWS = 250
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow hand over few rows at a time, so that long texts fit the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Let Arrow hand over few rows at a time, so that long texts fit the workers.
+
+    The setting counts for plans made later in this session; a lower one of the caller's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors reach.
 
-    Only where the setting is absent (tests on one machine) a local one is made.
+    Without that setting there is no folder that all executors are known to share: an error
+    but for a session that is one process (``local``), whose warehouse serves.
     """
     bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/gridloom/{uuid.uuid4().hex}"
 
 
@@ -49,12 +56,16 @@ def drop(*frames: DataFrame) -> None:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Bytes of a materialized table's files, asked of the file system."""
+    """Bytes of a materialized table: of its files, asked of the file system, and if these are within
+    ``BROADCAST_BYTES``, about those of its rows in memory, which packed files don't tell."""
     spark, total = df.sparkSession, 0
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return total
+    if total > BROADCAST_BYTES:
+        return total
+    rows = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("text"), F.count("*").alias("n")).head()
+    return max(total, (rows.text or 0) + 64 * rows.n)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -8,8 +8,9 @@ link if the Jaccard similarity of their sets is at least ``threshold``.
    digest are one class, of which only a representative goes on.
 2. Classes that share a band hash meet in a candidate component. A component of
    up to ``whole`` classes is compared as such, a larger one bucket by bucket, a
-   pair only in its first common bucket. Either is cut into blocks of ``block``
-   classes, and each task compares two blocks, so no group lands in one task.
+   pair only in its first common bucket. Either is cut into blocks of about
+   ``block`` classes and ``block_bytes`` of sets, and each comparison takes two
+   blocks, so no group lands in one task and a worker holds two blocks.
 3. Pairs that share a band are verified on full sets. A task returns counts of
    links by class and a spanning forest of the links, never the pairs.
 4. Components of the forests are the groups.
@@ -217,7 +218,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, rows: int = 6, block: int = 2048, whole: int = 32768) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, rows: int = 6, block: int = 2048, whole: int = 32768, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id (least doc_id of its group),
     copy_id (least doc_id of equal sets), n_links (other documents it links to) and
     n_group. See the module's text for method and cases."""
@@ -248,14 +249,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         .dropDuplicates(["digest"])
     )
     grams = materialize(member.join(grams, "digest"), "lz4")
-    cols = ["key", "band", "n", "digest", "copies", "grams", "bands"]
-    small = grams.filter(F.col("n") <= whole).select(F.col("comp").alias("key"), F.lit(-1).alias("band"), "n", "digest", "copies", "grams", "bands")
-    large = (
-        shared.withColumnRenamed("n", "m")
-        .join(grams.filter(F.col("n") > whole), "digest")
-        .select(F.col("hash").alias("key"), "band", F.col("m").alias("n"), "digest", "copies", "grams", "bands")
-    )
-    nb = F.ceil(F.col("n") / block).cast("int")
+    cols = ["key", "band", "blocks", "digest", "copies", "grams", "bands"]
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("grams")) / block_bytes)).cast("int").alias("blocks")
+    small = grams.filter(F.col("n") <= whole).select(F.col("comp").alias("key"), F.lit(-1).alias("band"), "digest", "copies", "grams", "bands")
+    in_large = grams.filter(F.col("n") > whole)
+    large = shared.drop("n").join(in_large, "digest").select(F.col("hash").alias("key"), "band", "digest", "copies", "grams", "bands")
+    by_comp = materialize(small.groupBy("key").agg(blocks))
+    by_bucket = shared.drop("n").join(in_large.select("digest", "grams"), "digest").groupBy(F.col("hash").alias("key"), "band").agg(blocks)
+    small, large = small.join(small_side(by_comp), "key"), large.join(materialize(by_bucket), ["key", "band"])
+    nb = F.col("blocks")
     mine = F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("a"), F.greatest(k, F.col("mine")).alias("b")))
     tasks = (

@@ -218,7 +218,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, rows: int = 6, block: int = 2048, whole: int = 32768, block_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, rows: int = 6, block: int = 512, whole: int = 32768, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id (least doc_id of its group),
     copy_id (least doc_id of equal sets), n_links (other documents it links to) and
     n_group. See the module's text for method and cases."""

@@ -19,7 +19,7 @@ shingle, documents sending positions only and fetching their words again by key.
 
 Cases: null or wordless texts have no words and no hits; wordless or null items have no
 window; repeated items count once by item_id, null item_ids are ignored; rows with equal
-doc_id and text give one result; empty tables and extra columns do no harm.
+doc_id and text are found once and give a result each; empty tables and extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -104,11 +104,12 @@ def occurrences(docs: DataFrame, bench: DataFrame, n: int = 13, limit: int = BRO
 
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, share: int = 20, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Per key of ``docs(key, text)``: n_words, n_hit, n_items, items_sha256, contaminated
-    (n_hit > 0 and share * n_hit >= n_words)."""
+    """Per key of ``docs(key, text)``: copies (its rows), n_words, n_hit, n_items, items_sha256,
+    contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     occ = occurrences(docs, bench, n, limit)
     per = occ.groupBy("key").agg(
         F.max("n_words").cast("long").alias("n_words"),
+        F.count_if(F.col("start").isNull()).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end"))))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
@@ -118,7 +119,7 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, share: int = 2
         lambda acc, s: F.struct((acc["hit"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["to"]))).cast("long").alias("hit"), F.greatest(acc["to"], s["end"]).alias("to")),
     )["hit"]
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    r = per.select("key", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
+    r = per.select("key", "copies", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
     return r.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -127,9 +128,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per distinct (doc_id, text)."""
+    """One row per row of documents; repeated rows are found once and then repeated."""
     docs = _keyed(read(spark, sf_dir, "documents").select("doc_id", "text")).select("key", "text")
     r = contamination(docs, read(spark, sf_dir, "benchmark"))
+    r = r.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return r.select(F.col("key.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -139,3 +141,21 @@ def keep_clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     bad = materialize(contamination(own.select("key", F.col("text").cast("string").alias("text")), bench).filter("contaminated").select("key"))
     side = F.broadcast(bad) if bytes_of(bad) <= BROADCAST_BYTES else bad
     return own.join(side, own["key"].eqNullSafe(side["key"]), "left_anti").select(*docs.columns)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = {
+    "op2_benchmark_decontamination": f"""
+with d as (select doc_id, row_number() over () as row_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+win as (select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') as g
+        from (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as p from i where len(w) > 0) t),
+gram as (select row_id, p, k, array_to_string(w[p:p + k - 1], ' ') as g
+         from (select row_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from win) s where len(w) >= k) t),
+occ as (select row_id, p, k, item_id from gram join win using (k, g)),
+hit as (select row_id, count(distinct q) as n from (select row_id, unnest(range(p, p + k)) as q from occ) t group by row_id),
+item as (select row_id, count(*) as n, string_agg(x, ',' order by x) as ids from (select distinct row_id, cast(item_id as varchar) as x from occ) t group by row_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(item.n, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
+from d left join hit using (row_id) left join item using (row_id)"""
+}

@@ -12,8 +12,9 @@ A chain of any length is cut into blocks of 64 words. The product of a block's m
 carries messages over it, so blocks of all documents advance side by side and the result is
 that of the plain recursion.
 
-Training takes ``per_label`` documents of each of the ``most`` most frequent languages, by
-hash of doc_id, of at most ``longest`` characters: a bounded sample by these parameters.
+Training takes ``per_label`` documents of each language, by hash of doc_id, of at most
+``longest`` characters, and fewer of each where languages are many, so that the sample has
+some ``most`` documents: bounded by these parameters. Every language with such a row is learned.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without any labelled
 row everything is; repeated rows are labelled alike; null doc_ids stay null and count as
@@ -27,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import crc32_of_id, read
+from .common import crc32_of_id, materialize, read
 
 _b = np.arange(256)
 IS_LETTER = ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
@@ -208,16 +209,21 @@ def _chain_marginals(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.n
     return p / p.sum(2, keepdims=True), pair.sum((0, 1))
 
 
-def train(docs: DataFrame, per_label: int = 400, most: int = 64, longest: int = 50_000) -> Model:
-    """Fit on a bounded sample of ``docs(doc_id, text, lang)``, which the caller may learn from."""
+def train(docs: DataFrame, per_label: int = 400, most: int = 20_000, longest: int = 50_000) -> Model:
+    """Fit on a bounded sample of ``docs(doc_id, text, lang)``, which the caller may learn from:
+    ``per_label`` rows of each language, fewer if all languages together exceed ``most`` (20 rows
+    at least), by least hash of doc_id. Of repeated ids and texts one row counts."""
     rows = docs.filter("doc_id is not null and lang is not null and text is not null")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
-    texts = []
-    for lang in langs:
-        ids = rows.filter(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(per_label)
-        got = rows.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id").filter(F.length("text") <= longest)
-        texts += sorted((lang, r.text) for r in got.select("text").limit(2 * per_label).collect())
-    return fit(langs, texts)
+    rows = rows.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).filter(F.length("text") <= longest)
+    order = [F.xxhash64("doc_id"), "doc_id", "h"]
+    ids = rows.select("lang", "doc_id", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    ids = ids.filter(F.col("rank") <= per_label).distinct()
+    ids = materialize(ids)
+    langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
+    share = max(20, min(per_label, most // max(1, len(langs))))
+    ids = ids.filter(F.col("rank") <= share).select("lang", "doc_id", "h").distinct()
+    got = rows.join(F.broadcast(ids), ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"])  # len(langs) * share rows at most
+    return fit(langs, sorted((r.lang, r.text) for r in got.select("lang", "text").collect()))
 
 
 def label(m: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -85,7 +85,7 @@ def _signature(n: int, bands: int, rows: int):
                 digest, band = np.full(part.num_rows, None, object), np.full(part.num_rows, None, object)
                 digest[have] = [r.tobytes() for r in d]
                 band[have] = [r.tobytes() for r in b]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(band, pa.binary())], ["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(digest, pa.binary()), pa.array(band, pa.binary())], ["doc_id", "h", "digest", "bands"])
 
     return run
 
@@ -222,13 +222,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id (least doc_id of its group),
     copy_id (least doc_id of equal sets), n_links (other documents it links to) and
     n_group. See the module's text for method and cases."""
+    return grouped(docs, n, threshold, recall, rows, block, whole, block_bytes).drop("h", "comp")
+
+
+def grouped(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, rows: int = 6, block: int = 512, whole: int = 32768, block_bytes: int = 8 << 20) -> DataFrame:
+    """``near_duplicates`` with h, a hash of the row's text, and comp, its group (null without a set)."""
     count = bands_for(threshold, rows, recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(docs.mapInArrow(_signature(n, count, rows), "doc_id long, digest binary, bands binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    sig = materialize(docs.mapInArrow(_signature(n, count, rows), "doc_id long, h long, digest binary, bands binary"))
     one = (
         sig.filter("digest is not null")
         .groupBy("digest")
-        .agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
+        .agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
     )
     one = materialize(one)
     part = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.struct(k.alias("band"), F.substring("bands", k * 8 + 1, 8).alias("hash")))
@@ -281,15 +286,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     )
     info = materialize(info)
     heads = info.groupBy("comp").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("n_group"))
-    info = info.join(heads, "comp").select("digest", "class_id", "copy_id", "n_group", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = info.join(heads, "comp").select("digest", "comp", "class_id", "copy_id", "n_group", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     drop(shared, member, want, grams)
-    return sig.select("doc_id", "digest").join(info, "digest", "left").select(
-        "doc_id",
+    return sig.select("doc_id", "h", "digest").join(info, "digest", "left").select(
+        "doc_id", "h", "comp",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_group", F.lit(1)).cast("long").alias("n_group"),
-    )
+    )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,10 +302,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each group, with all columns of ``docs``.
+    """A row with the least doc_id of each group, with all columns of ``docs``.
 
-    Of repeated rows of that id one stays; rows without an id all stay.
+    Of repeated rows one stays; texts under one doc_id are told apart. Rows without a set
+    (wordless texts) and rows without an id all stay.
     """
-    first = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    key = ["doc_id", "_text_key"]
+    g = grouped(docs).withColumnRenamed("h", "_text_key").filter("doc_id is not null")
+    heads = g.filter("comp is not null and doc_id = class_id").groupBy("comp").agg(F.min(F.struct(*key)).alias("k")).select("k.*").distinct()
+    bare = g.filter("comp is null").select(*key).distinct()
+    own = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    kept = own.join(heads, key, "left_semi").dropDuplicates(key)
+    return kept.unionByName(own.join(bare, key, "left_semi")).unionByName(own.filter("doc_id is null")).select(*docs.columns)

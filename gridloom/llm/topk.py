@@ -1,21 +1,27 @@
 """Operator 9: exact top-k inner products by dual-tree cover-tree search.
 
-Queries and candidates are each indexed by a cover tree: a node has a centre and a
-covering radius, its children's centres lie over half that radius apart, and a node of
-radius 0 or of few points is a leaf. For nodes with centres q, p and radii a, b
+Queries and candidates are each indexed by cover trees. A node is a point (its centre) and a
+level i; all its points lie within 2^i of the centre. Its children are chosen among these
+points, the node's own centre first (nesting), more than 2^(i-1) apart (separation), and each
+point goes to its nearest child, within 2^(i-1) (covering). A node of a few points (``LEAF``, of
+queries ``FEW``) or of equal points is a leaf. For nodes with centres q, p and true radii a, b
 
     <q', p'>  <=  <q, p> + a |p| + b |q| + a b
 
-holds for all points below; a node pair goes when that is less than the worst kth score
-of the query group so far (equal bounds stay, ties count). Candidates stream by Arrow
-batches, each with its own tree, and keep a task's running best; tasks return k rows a
-query, merged by a rank. Queries go in blocks of ``block``, each broadcast by itself.
+holds for all points below; a node pair goes when that is less than the worst kth score of the
+query group so far (equal bounds stay, ties count). A node's children are bounded together,
+and its leaves are met as one block. Where vectors are spread evenly over many dimensions no
+bound is tight and the search meets all pairs of leaves; clustered vectors are pruned.
+
+Candidates stream by partition, a tree for each ``TREE`` rows, and keep a task's running best;
+tasks return k rows a query, merged by a rank. Queries go in blocks of ``block``, each broadcast
+by itself. Scores are exact: in doubles while these hold them, else in unbounded integers.
 
 Cases: vectors null, empty, or with null or non-finite components and rows with a null id
 take no part; vectors of another length than a query's aren't compared with it; a query's
 own row is any row with its id; repeated rows each count as a candidate, and a repeated
-query id is one query, with its least vector; sums beyond 64 bits raise an error; an
-empty table gives no rows; extra columns are ignored.
+query id is one query, with its least vector; a score beyond 64 bits is the nearest number of
+64 bits; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,65 +35,86 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read
 
-LEAF = 48
+LEAF, FEW = 32, 4
+#: Rows of a tree, at most.
+TREE = 16384
+BIG = 2.0**53
+_MOST, _LEAST = 2**63 - 1, -(2**63)
 
 
 class Tree:
-    """A cover tree in arrays; points of node i are order[lo[i]:hi[i]]."""
+    """A cover tree in arrays. Points of node i are order[lo[i]:hi[i]], its centre is point
+    centre[i], its level level[i], its children kids[i], and radius[i] covers its points."""
 
-    def __init__(self, x: np.ndarray) -> None:
-        self.x, self.order = x, np.arange(len(x))
-        self.centre: list[np.ndarray] = []
-        self.radius: list[float] = []
+    def __init__(self, x: np.ndarray, leaf: int = LEAF) -> None:
+        self.x, self.order, self.sq = x, np.arange(len(x)), (x**2).sum(1)
+        self.centre: list[int] = []
+        self.level: list[int] = []
         self.lo: list[int] = []
         self.hi: list[int] = []
-        self.kids: list[list[int]] = []
-        stack = [(0, len(x), -1)]
+        self.kids: list[np.ndarray] = []
+        radius: list[float] = []
+        d = self._far(np.arange(len(x)), 0) if len(x) else np.zeros(0)
+        stack = [(0, len(x), 0, -1, d)]
         while stack:
-            lo, hi, parent = stack.pop()
-            ids = self.order[lo:hi]
-            c = x[ids].mean(0)
-            d = np.sqrt(((x[ids] - c) ** 2).sum(1))
-            me = len(self.centre)
+            lo, hi, c, parent, d = stack.pop()
+            me, far = len(self.centre), float(d.max()) if len(d) else 0.0
+            i = int(np.ceil(np.log2(far))) if far > 0 else -1
             self.centre.append(c)
-            self.radius.append(float(d.max()) * (1 + 1e-9) + 1e-9)
+            self.level.append(i)
+            radius.append(far * (1 + 1e-9) + 1e-9)
             self.lo.append(lo)
             self.hi.append(hi)
-            self.kids.append([])
+            self.kids.append(np.zeros(0, np.int64))
             if parent >= 0:
-                self.kids[parent].append(me)
-            if hi - lo <= LEAF or self.radius[-1] <= 1e-6:
-                continue
-            stack += [(a, b, me) for a, b in self._cover(lo, hi, self.radius[-1] / 2)]
-        self.c = np.array(self.centre).reshape(len(self.centre), x.shape[1])
-        self.r = np.array(self.radius)
+                self.kids[parent] = np.append(self.kids[parent], me)
+            if hi - lo > leaf and far > 0:
+                stack += [(a, b, k, me, near) for a, b, k, near in self._split(lo, hi, c, 2.0 ** (i - 1))]
+        self.radius = np.array(radius)
+        self.c = x[self.centre] if len(x) else x
         self.norm = np.sqrt((self.c**2).sum(1))
+        self.leaf = np.array([not len(k) for k in self.kids])
+
+    def _far(self, ids: np.ndarray, c: int) -> np.ndarray:
+        return np.sqrt(((self.x[ids] - self.x[c]) ** 2).sum(1))
 
-    def _cover(self, lo: int, hi: int, r: float) -> list[tuple[int, int]]:
-        """Split order[lo:hi] among greedily chosen centres over r apart. In many dimensions
-        few points lie within r of any centre; past 16 centres the rest go to the nearest."""
+    def _split(self, lo: int, hi: int, c: int, r: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Choose centres over r apart among order[lo:hi], c first, until all are covered; points are
+        then dealt to the nearest. Uncovered points are tried in blocks, so most work is products."""
         ids = self.order[lo:hi].copy()
-        x = self.x[ids]
-        best, near, at = np.full(len(ids), np.inf), np.zeros(len(ids), int), 0
-        for k in range(16):
-            d = np.sqrt(((x - x[at]) ** 2).sum(1))
-            closer = d < best
-            near[closer], best[closer] = k, d[closer]
-            at = int(best.argmax())
-            if best[at] <= r:
-                break
+        x, sq = self.x[ids], self.sq[ids]
+        best, near = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+        chosen: list[int] = []
+        left = np.concatenate([np.flatnonzero(ids == c), np.flatnonzero(ids != c)])
+        while len(left):
+            block = left[: 1 if not chosen else 256]
+            d2 = ((x[block][:, None] - x[block][None]) ** 2).sum(2) if len(block) > 1 else np.zeros((1, 1))
+            free, new = np.ones(len(block), bool), []
+            for j in range(len(block)):
+                if free[j]:
+                    new.append(block[j])
+                    free &= d2[j] > r * r
+            d2 = sq[:, None] - 2 * (x @ x[new].T) + sq[new][None]
+            at = d2.argmin(1)
+            low = np.maximum(d2[np.arange(len(ids)), at], 0)
+            closer = low < best
+            near[closer], best[closer] = len(chosen) + at[closer], low[closer]
+            chosen += [int(v) for v in new]
+            near[chosen], best[chosen] = np.arange(len(chosen)), 0
+            left = left[best[left] > r * r]
         by = np.argsort(near, kind="stable")
         self.order[lo:hi] = ids[by]
-        edge = lo + np.concatenate([[0], np.cumsum(np.bincount(near))])
-        return [(int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a]
+        edge = lo + np.concatenate([[0], np.cumsum(np.bincount(near, minlength=len(chosen)))])
+        for k, a, b in zip(chosen, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield a, b, int(ids[k]), self._far(self.order[a:b], int(ids[k]))
 
 
 class Best:
-    """The k best (score, then least id) of each query."""
+    """The k best (score, then least id) of each query. With ``exact``, scores are Python integers."""
 
-    def __init__(self, ids: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, k: int, exact: bool = False) -> None:
         self.ids, self.k = ids, k
-        self.score = np.full((len(ids), k), -np.inf)
+        self.score = np.full((len(ids), k), -np.inf, object if exact else float)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def add(self, rows: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
@@ -97,30 +124,59 @@ class Best:
             return
         s = np.concatenate([self.score[rows[hot]], score[hot]], 1)
         v = np.concatenate([self.vec[rows[hot]], np.broadcast_to(vec, (len(hot), len(vec)))], 1)
-        o = np.lexsort((v, -s), axis=1)[:, : self.k]
+        if s.dtype == object:
+            o = np.array([sorted(range(s.shape[1]), key=lambda j: (-a[j], b[j]))[: self.k] for a, b in zip(s, v, strict=True)])
+        else:
+            o = np.lexsort((v, -s), axis=1)[:, : self.k]
         self.score[rows[hot]], self.vec[rows[hot]] = np.take_along_axis(s, o, 1), np.take_along_axis(v, o, 1)
 
 
+def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products, as integers without bound where doubles don't hold them."""
+    if not len(q) or not len(p) or np.abs(q).max() * np.abs(p).max() * q.shape[1] < BIG:
+        return q @ p.T
+    whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], object)
+    return whole(q) @ whole(p).T
+
+
 def search(q: Tree, p: Tree, ids: np.ndarray, best: Best) -> int:
-    """Bring ``best`` up to date with the points of ``p``; returns the node pairs seen."""
-    stack, seen = [(0, 0)], 0
+    """Bring ``best`` up to date with the points of ``p``; returns the point pairs met."""
+    if not len(q.x) or not len(p.x):
+        return 0
+    stack, met = [(0, np.zeros(1, np.int64))], 0
     while stack:
-        a, b = stack.pop()
-        seen += 1
+        a, nodes = stack.pop()
         rows = q.order[q.lo[a] : q.hi[a]]
-        bound = q.c[a] @ p.c[b] + q.r[a] * p.norm[b] + p.r[b] * q.norm[a] + q.r[a] * p.r[b]
-        if bound + 1e-6 + 1e-9 * abs(bound) < best.score[rows, -1].min():
+        worst = float(best.score[rows, -1].min())
+        up = p.c[nodes] @ q.c[a] + q.radius[a] * p.norm[nodes] + p.radius[nodes] * (q.norm[a] + q.radius[a])
+        keep = up + 1e-6 + 1e-9 * np.abs(up) >= worst
+        nodes, up = nodes[keep], up[keep]
+        if not len(nodes):
             continue
-        if not q.kids[a] and not p.kids[b]:
-            at = p.order[p.lo[b] : p.hi[b]]
-            best.add(rows, q.x[rows] @ p.x[at].T, ids[at])
-        elif p.kids[b] and (not q.kids[a] or p.r[b] >= q.r[a]):
-            kids = np.array(p.kids[b])
-            up = p.c[kids] @ q.c[a] + q.r[a] * p.norm[kids] + p.r[kids] * (q.norm[a] + q.r[a])
-            stack += [(a, int(x)) for x in kids[np.argsort(up, kind="stable")]]  # the best comes off first
-        else:
-            stack += [(x, b) for x in q.kids[a]]
-    return seen
+        if len(q.kids[a]) and (q.radius[a] > p.radius[nodes].max() or p.leaf[nodes].all()):
+            stack += [(int(b), nodes) for b in q.kids[a]]
+            continue
+        by = np.argsort(-up, kind="stable")  # the best first
+        nodes, up = nodes[by], up[by] + 1e-6 + 1e-9 * np.abs(up[by])
+        at_leaf = up[p.leaf[nodes]]
+        leaves, inner = nodes[p.leaf[nodes]], nodes[~p.leaf[nodes]]
+        if len(inner):
+            stack.append((a, np.concatenate([p.kids[b] for b in inner])))
+        if len(leaves) and len(q.kids[a]):
+            stack += [(int(b), leaves) for b in q.kids[a]]
+            continue
+        held, n = [], 0
+        for i, b in enumerate(leaves):
+            held.append(p.order[p.lo[b] : p.hi[b]])
+            n += len(held[-1])
+            if n >= 256 or i + 1 == len(leaves):
+                at = np.concatenate(held)
+                met += len(rows) * len(at)
+                best.add(rows, products(q.x[rows], p.x[at]), ids[at])
+                held, n = [], 0
+                if i + 1 < len(leaves) and at_leaf[i + 1] < float(best.score[rows, -1].min()):
+                    break
+    return met
 
 
 def _vectors(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -134,28 +190,44 @@ def _vectors(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         part = col.take(pa.array(at))
         x = part.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, int(d))
         ok = np.isfinite(x).all(1)
-        x = np.floor(1024.0 * x[ok])
-        if len(x) and np.abs(x).max() ** 2 * d >= 2.0**53:
-            raise OverflowError("inner products pass 53 bits; scale the vectors down")
-        out[int(d)] = (ids.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)[ok], x)
+        out[int(d)] = (ids.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)[ok], np.floor(1024.0 * x[ok]))
     return out
 
 
 def _task(blocks, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {d: (Tree(x), Best(ids, k)) for d, (ids, x) in blocks.value.items()}
+        trees = {d: (Tree(x, FEW), ids, float(np.abs(x).max())) for d, (ids, x) in blocks.value.items()}
+        plain = {d: Best(ids, k) for d, (_, ids, _) in trees.items()}
+        exact = {d: Best(ids, k, exact=True) for d, (_, ids, _) in trees.items()}
+        held: dict[int, list] = {d: [] for d in trees}
+
+        def meet(d: int) -> None:
+            if not held[d]:
+                return
+            ids, x = (np.concatenate([h[i] for h in held[d]]) for i in (0, 1))
+            held[d].clear()
+            big = np.abs(x).max(1) * trees[d][2] * d >= BIG
+            for best, at in ((plain, ~big), (exact, big)):
+                if at.any():
+                    search(trees[d][0], Tree(x[at]), ids[at], best[d])
+
         for batch in it:
             for d, (ids, x) in _vectors(batch).items():
                 if d in trees and len(x):
-                    search(trees[d][0], Tree(x), ids, trees[d][1])
-        for _, best in trees.values():
-            i, j = np.nonzero(np.isfinite(best.score))
-            yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.vec[i, j]), pa.array(best.score[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+                    held[d].append((ids, x))
+                    if sum(len(h[0]) for h in held[d]) >= TREE:
+                        meet(d)
+        for d in trees:
+            meet(d)
+            for best in (plain[d], exact[d]):
+                i, j = np.nonzero(best.score != -np.inf)
+                score = [max(_LEAST, min(_MOST, int(v))) for v in best.score[i, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.vec[i, j]), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192) -> DataFrame:
     """Per query the k best rows of ``vectors(vec_id, embedding)``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))

@@ -2,7 +2,7 @@
 
 Tokens are words and their prefixes of 4 to 8 bytes, by hash. From a bounded sample of
 labelled rows (``per_class`` of each label, by hash of doc_id, texts of ``longest``
-characters at most) each token gets the log-odds of occurring in toxic texts against
+characters at most) each token of the ``vocabulary`` with the strongest log-odds gets the log-odds of occurring in toxic texts against
 clean ones, by occurrences under an informative Dirichlet prior of weight ``prior`` spread like the
 pooled counts, less one standard error. A word scores its own log-odds if it is known, else those
 of its longest known prefix, else 0, less a drift, so that ordinary text scores negative.
@@ -28,7 +28,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -74,28 +74,36 @@ def word_scores(m: Model, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of scores x, in order.
 
-    Each run of positive scores opens a segment with the cumulative sums at its two ends;
-    it swallows earlier ones while the sum before the nearest earlier segment that starts
-    lower allows a higher total.
+    Each run of positive scores opens a segment with the cumulative sums at its two ends; it
+    takes in all from the nearest earlier segment that starts lower while that one ends lower
+    too. Each kept segment links to its nearest earlier one with a lower start, so those between,
+    which start no lower, are never looked at again, and time is linear in the runs.
     """
     up = x > 0
     if not up.any():
         return []
     edge = np.flatnonzero(np.diff(np.concatenate([[False], up, [False]]).astype(np.int8)))
     c = np.concatenate([[0.0], np.cumsum(x)])
-    out: list[list[float]] = []  # start, end, sum before, sum after
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        new = [a, b, c[a], c[b]]
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []  # sum before
+    high: list[float] = []  # sum after
+    link: list[int] = []
+    runs = zip(edge[::2].tolist(), edge[1::2].tolist(), c[edge[::2]].tolist(), c[edge[1::2]].tolist(), strict=True)
+    for a, b, lo, hi in runs:
+        j = len(low) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
+            while j >= 0 and low[j] >= lo:
+                j = link[j]
+            if j < 0 or high[j] >= hi:
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
-            del out[j:]
-        out.append(new)
-    return [(int(a), int(b), float(r - lo)) for a, b, lo, r in out]
+            a, lo = first[j], low[j]
+            for part in (first, last, low, high, link):
+                del part[j:]
+            j -= 1
+        for part, v in ((first, a), (last, b), (low, lo), (high, hi), (link, j)):
+            part.append(v)
+    return [(a, b, r - lo) for a, b, lo, r in zip(first, last, low, high, strict=True)]
 
 
 def significance(m: Model, score: float, n: int) -> float:
@@ -205,15 +213,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: int = 50_000, vocabulary: int = 200_000) -> Model:
     """Fit on a bounded sample of ``labels(doc_id, toxic)`` joined to ``docs``; the caller
-    passes only labels it may learn from."""
-    texts = {}
-    for y in (0, 1):
-        ids = labels.filter(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(per_class)
-        rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").filter(F.length("text") <= longest)
-        texts[y] = [r.text for r in sorted(rows.limit(2 * per_class).collect(), key=lambda r: (r.doc_id, r.text))]
-    return fit(texts[1], texts[0])
+    passes only labels it may learn from. An id with both labels teaches nothing; of repeated
+    ids and texts one row counts. The least hashes of ids make the sample, so it's repeatable."""
+    sure = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).filter("y = z").select("doc_id", "y")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest).withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    ids = docs.select("doc_id", "h").join(sure, "doc_id").withColumn("rank", rank).filter(F.col("rank") <= per_class)
+    ids = ids.select("doc_id", "h", "y").distinct()  # 2 * per_class rows at most
+    rows = docs.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "y").collect()
+    texts = {y: [r.text for r in sorted((r for r in rows if r.y == y), key=lambda r: (r.doc_id, r.text))] for y in (0, 1)}
+    return fit(texts[1], texts[0], vocabulary=vocabulary)
 
 
 def _predict(shared):

@@ -13,7 +13,8 @@ capture run, its index entries sorted by (URL key, timestamp, page_id). A sample
 splits the key space into ranges; a run is cut at the splitters, and each range's task merges
 its k run segments with a loser tree. Ranges in order make one globally ordered index. The
 splitters are whole (key, timestamp, page_id) triples, so a URL with a third of all captures
-is cut like any other.
+is cut like any other. Records are read through that index, by its offsets: a page whose entry
+were lost would be missing from the result.
 
 Cases: a null html is empty, and empty payloads equal each other; a row with a null page_id
 is a response and is never referred to; of repeated rows of the winning page_id all are
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_BYTES, bytes_of, drop, materialize, read
+from .common import BROADCAST_BYTES, bytes_of, drop, materialize, read, small_side
 
 #: Bytes of payload in a block, about.
 BLOCK = 4 << 20
@@ -74,13 +75,17 @@ def stamp(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, ts: str) -> bytes:
-    """One record as a gzip member. Fields' line breaks are escaped by percent signs."""
-    uri = (url or "-").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """One record as a gzip member. A url that a header line can't hold as it is stands there with
+    percent signs for spaces and control characters, and again whole in Base64."""
+    plain = url is not None and url.isprintable() and url.strip() == url and url not in ("", "-")
+    uri = url if plain else "-" if not url else "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {ts}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
+    if not plain:
+        head.append("X-Source-URL: " + ("null" if url is None else "=" + base64.b64encode(url.encode()).decode()))
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     body = payload if refers_to is None else b""
@@ -89,25 +94,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return z.compress(raw) + z.flush()
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(fields, body, offset, length) of each record; ValueError if damaged."""
-    at = 0
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data[at:] if at else data)
-        if not z.eof:
-            raise ValueError("a record is cut off")
-        size = len(data) - at - len(z.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("no WARC record")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(fields["Content-Length"])
-        if rest[n:] != b"\r\n\r\n":
-            raise ValueError("a record's length is wrong")
-        yield fields, rest[:n], at, size
-        at += size
+def parse(data: bytes, at: int = 0, size: int | None = None) -> tuple[dict[str, str], bytes, int]:
+    """Fields, body and length of the record at ``at``; ValueError if it is damaged or, with a
+    ``size``, doesn't fill just that many bytes."""
+    z = zlib.decompressobj(31)
+    view = memoryview(data)[at : None if size is None else at + size]
+    raw = z.decompress(view)
+    if not z.eof or (size is not None and z.unused_data):
+        raise ValueError("a record is cut off or of another length")
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record")
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    n = int(fields["Content-Length"])
+    if rest[n:] != b"\r\n\r\n":
+        raise ValueError("a record's length is wrong")
+    return fields, rest[:n], len(view) - len(z.unused_data)
 
 
 def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,27 +163,36 @@ def write_archives(pages: DataFrame, least: int = 0, limit: int = BROADCAST_BYTE
     return out
 
 
-def read_archives(blocks: DataFrame) -> DataFrame:
-    """Per record, parsed from the archives: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, url, ts, payload (null for revisits)."""
+def read_archives(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """Per entry of ``index`` (as ``merge_index`` gives it) the record at its place: page_id,
+    payload_bytes, payload_digest, record_type, refers_to, url, ts, payload (null for revisits),
+    range, seq. A record that isn't what the entry says is an error.
+
+    Entries gather by block, whose records they are, so a task holds a block at a time."""
+    at = F.struct("offset", "length", "page_id", "digest", "kind", "range", "seq")
+    entries = materialize(index.groupBy("archive", "block").agg(F.sort_array(F.collect_list(at)).alias("entries")))
+    both = blocks.select("archive", "block", "data").join(small_side(entries), ["archive", "block"])
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "ts", "payload", "range", "seq"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for raw in b.column("data"):
-                rows = []
-                for f, body, _, _ in parse(raw.as_py()):
-                    digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
-                    response = f["WARC-Type"] == "response"
-                    if response and digest_of(body) != digest:
-                        raise ValueError("a payload doesn't match its digest")
+            for raw, wanted in zip(b.column("data"), b.column("entries"), strict=True):
+                data, rows = raw.as_py(), []
+                for e in wanted.as_py():
+                    f, body, _ = parse(data, e["offset"], e["length"])
+                    digest, kind = f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"]
                     ids = [None if (x := f.get(k, "null").removeprefix("<urn:page:").removesuffix(">")) == "null" else int(x) for k in ("WARC-Record-ID", "WARC-Refers-To")]
-                    uri = f["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                    rows.append((ids[0], len(body) if response else int(f["X-Payload-Length"]), digest, f["WARC-Type"], ids[1], None if uri == "-" else uri, f["WARC-Date"], body if response else None))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "ts", "payload"])
+                    if (ids[0], digest, kind) != (e["page_id"], e["digest"], e["kind"]):
+                        raise ValueError("a record isn't the one of its index entry")
+                    if kind == "response" and digest_of(body) != digest:
+                        raise ValueError("a payload doesn't match its digest")
+                    source = f.get("X-Source-URL")
+                    url = f["WARC-Target-URI"] if source is None else None if source == "null" else base64.b64decode(source[1:]).decode()
+                    rows.append((ids[0], len(body) if kind == "response" else int(f["X-Payload-Length"]), digest, kind, ids[1], url, f["WARC-Date"], body if kind == "response" else None, e["range"], e["seq"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return blocks.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, ts string, payload binary")
+    return both.select("data", "entries").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, ts string, payload binary, range int, seq long")
 
 
 class LoserTree:
@@ -217,15 +229,18 @@ class LoserTree:
             self.win = w
 
 
-def merge_index(blocks: DataFrame, per_range: int = 50_000, sample: int = 20_000) -> DataFrame:
-    """The globally ordered capture index: range, seq (order within it), and entries' columns."""
+def merge_index(blocks: DataFrame, per_range: int = 50_000, sample: int = 20) -> DataFrame:
+    """The globally ordered capture index: range, seq (order within it), and entries' columns.
+
+    A range has about ``per_range`` entries; ``sample`` entries a range are drawn for the splitters,
+    which the driver sorts (at 10^9 records 400,000 of some 100 bytes)."""
     runs = blocks.select("run")
     n = runs.agg(F.sum(F.size("run"))).head()[0] or 0
     ranges = max(1, -(-n // per_range))
     cuts: list[tuple] = []
     if ranges > 1:
         e = runs.select(F.explode("run").alias("e")).select("e.urlkey", "e.ts", F.coalesce("e.page_id", F.lit(-(2**63))).alias("page_id"))
-        got = sorted((r.urlkey, r.ts, r.page_id) for r in e.sample(min(1.0, 1.2 * sample / n), seed=7).limit(2 * sample).collect())
+        got = sorted((r.urlkey, r.ts, r.page_id) for r in e.sample(min(1.0, sample * ranges / n), seed=7).collect())
         cuts = [got[i * len(got) // ranges] for i in range(1, ranges)] if got else []
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +277,21 @@ def export(blocks: DataFrame, folder: str) -> list[str]:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives written and read back, with each record's place in the merged index."""
+    """Archives written, indexed, and read back through the merged index."""
     blocks = write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    back = read_archives(blocks).drop("payload", "url", "ts")
-    index = materialize(merge_index(blocks)).select("page_id", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "range", "seq", F.col("urlkey"))
-    index = index.dropDuplicates(["page_id", "payload_digest", "record_type"])
-    keys = ["page_id", "payload_digest", "record_type"]
-    on = [back[k].eqNullSafe(index[k]) for k in keys]
-    return back.join(index, on, "left").select(*[back[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")], F.col("range").alias("index_range"), F.col("seq").alias("index_seq"), "urlkey")
+    back = read_archives(blocks, merge_index(blocks))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGIT = "instr('0123456789abcdef', substr(hex, 5 * g + {}, 1)) - 1"
+_V = " + ".join(f"({_DIGIT.format(j)}) * {16 ** (5 - j)}" for j in range(1, 6))
+ORACLE_SQL = {
+    "op3_warc": f"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select page_id, strlen(body) as n, sha1(body) as hex from p),
+d as (select page_id, n, hex, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((({_V}) >> s) & 31 as int) + 1, 1)), '')), '') as digest from h),
+m as (select *, max(page_id) over (partition by hex, n) as top from d)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+       case when page_id is null or page_id = top then 'response' else 'revisit' end as record_type, case when page_id < top then top end as refers_to from m"""
+}

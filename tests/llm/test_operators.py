@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and the cases of their docstrings."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -95,13 +96,29 @@ def test_warc_round_trip_and_index(spark):
     rows = [(1, "http://a.com/x", "hi"), (2, "http://a.com/x", "hi"), (3, None, None), (4, "b", ""), (None, "c", "hi"), (5, "http://A.com:80/y?b=2&a=1", "ü\r\n\r\n"), (5, "q\nr", "ü\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     blocks = warc.write_archives(pages)
-    got = sorted(((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, r.url) for r in warc.read_archives(blocks).collect()), key=str)
+    merged = warc.merge_index(blocks, per_range=2)
+    got = sorted(((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, r.url) for r in warc.read_archives(blocks, merged).collect()), key=str)
     assert got == sorted([(1, "revisit", 2, 2, "http://a.com/x"), (2, "response", None, 2, "http://a.com/x"), (3, "revisit", 4, 0, None), (4, "response", None, 0, "b"), (-1, "response", None, 2, "c"), (5, "response", None, 6, "http://A.com:80/y?b=2&a=1"), (5, "response", None, 6, "q\nr")], key=str)
-    index = warc.merge_index(blocks, per_range=2).orderBy("range", "seq").collect()
+    index = merged.orderBy("range", "seq").collect()
     assert len(index) == 7 and [(r.urlkey, r.ts) for r in index] == sorted((r.urlkey, r.ts) for r in index)
-    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
-    with pytest.raises(ValueError):
-        list(warc.parse(warc.record(1, "u", b"abc", "D", None, "t")[:-3]))
+    assert warc.read_archives(blocks, merged.filter("page_id = 2")).count() == 1
+    none = warc.write_archives(pages.limit(0))
+    assert warc.read_archives(none, warc.merge_index(none)).count() == 0
+    raw = warc.record(1, "u", b"abc", "D", None, "t")
+    assert warc.parse(b"xy" + raw + raw, 2, len(raw))[1:] == (b"abc", len(raw))
+    for data, size in ((raw[:-3], None), (raw + raw, len(raw) + 1), (raw, len(raw) - 1)):
+        with pytest.raises(ValueError):
+            warc.parse(data, 0, size)
+
+
+def test_warc_urls_and_export(spark, tmp_path):
+    import gzip
+
+    urls = [None, "", "-", " a", "a b%20c", "a\r\nX: y", "http://x.com/%41", "ü"]
+    blocks = warc.write_archives(spark.createDataFrame([(i, u, "x" * i) for i, u in enumerate(urls)], "page_id long, url string, html string"))
+    assert {r.page_id: r.url for r in warc.read_archives(blocks, warc.merge_index(blocks)).collect()} == dict(enumerate(urls))
+    raw = b"".join(gzip.open(f).read() for f in warc.export(blocks, str(tmp_path)))
+    assert raw.count(b"WARC/1.1") == len(urls) and b"WARC-Target-URI: http://x.com/%41\r\n" in raw and b"\r\nX: y" not in raw
 
 
 def test_loser_tree():
@@ -115,13 +132,19 @@ STRANGE = ["a  b", " x", "x ", "a   b\n\n c", "a \n b", "it's 'll ² x½y", "日
 
 
 def test_token_ids_equal_those_of_whole_texts():
-    e = token_ids.Encoder(token_ids.default_tokenizer(), parts=50)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_ids.default_tokenizer())
+    e = token_ids.Encoder(token_ids.default_tokenizer(), words=60, parts=50)
+    want = lambda t: [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(t, add_special_tokens=False)]
     t = STRANGE + [x or "" for x in texts()]
-    assert e.encode(t) == e.whole(t) == e.encode(t)
+    assert e.encode(t) == want(t) == e.encode(t)
+    assert e.encode(["a<|endoftext|>"])[0][-4:] == np.array([50256], "<u4").tobytes()
+    assert len(token_ids.Encoder(token_ids.default_tokenizer(), special=False).encode(["<|endoftext|>"])[0]) == 28
     r = random.Random(3)
     marks = ["abc", "Zé", "ña", "×", "÷", "ɏ", "»", "ª", ".", ",", ";", "'s", " ", " x", "\n", "\nQ", "9", "_"]
     t = ["".join(r.choice(marks) for _ in range(r.randrange(30))) for _ in range(3000)]
-    assert e.encode(t) == e.whole(t)
+    assert e.encode(t) == want(t)
 
 
 def test_packing_counts_and_files(spark):
@@ -148,20 +171,67 @@ def test_packing_counts_and_files(spark):
     assert token_file.read_segments(token_file.write_ids(d.limit(0))).count() == packing.pack(d.limit(0)).count() == limits.limit(0).count() == 0
 
 
-def test_coder_round_trip_and_damage():
+def coder(spark):
+    from gridloom.llm import id_coder, jvm
+
+    return jvm.register(spark, id_coder.SOURCE, id_coder.FUNCTIONS)
+
+
+def segment_of(spark, x, block=4096):
+    head = token_file.head([7, None], [len(x) // 2, len(x) - len(x) // 2], 11)
+    df = spark.createDataFrame([(0, 0, bytearray(head), bytearray(np.asarray(x, "<u4").tobytes()))], "part int, segment int, head binary, ids binary")
+    return df.selectExpr("part", "segment", f"concat(head, {coder(spark)['gridloom_encode_ids']}(ids, {block})) as data").head().data
+
+
+def test_coder_round_trip_and_damage(spark):
     rng = np.random.default_rng(0)
     for x in (np.zeros(0), [5], rng.integers(0, 50257, 9000), np.full(5000, 131071), np.zeros(4096), rng.zipf(1.3, 9000) % 50000):
-        x = np.asarray(x).astype(np.uint32)
-        assert (token_file.decode_blocks(token_file.encode_blocks(x), len(x)) == x).all()
-    raw = bytearray(token_file.segment(np.array([1]), np.array([100]), np.arange(100, dtype=np.uint32), 0))
-    raw[-20] ^= 255
-    with pytest.raises(ValueError):
-        token_file.read_segment(bytes(raw))
+        raw = segment_of(spark, x)
+        back = token_file.read_ids(spark.createDataFrame([(0, 0, raw)], "part int, segment int, data binary")).head().ids
+        assert bytes(back) == np.asarray(x, "<u4").tobytes()
+    raw = bytearray(segment_of(spark, np.arange(100)))
+    rows = token_file.read_segments(spark.createDataFrame([(0, 0, raw)], "part int, segment int, data binary")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in rows) == [(d, 50, zlib.crc32(np.arange(a, a + 50, dtype="<u4").tobytes())) for d, a in (("7", 0), ("None", 50))]
+    for at in (2, 30, len(raw) - 20):
+        bad = bytearray(raw)
+        bad[at] ^= 255
+        with pytest.raises(Exception, match="damaged|no segment"):
+            token_file.read_ids(spark.createDataFrame([(0, 0, bad)], "part int, segment int, data binary")).collect()
+    with pytest.raises(Exception, match="17 bits"):
+        segment_of(spark, [1 << 17])
+
+
+def test_coder_comes_near_the_entropy_or_below(spark):
+    rng = np.random.default_rng(1)
+    zipf = np.minimum(rng.zipf(1.3, 60_000), 50_000)
+    steps = np.repeat(rng.integers(0, 50_000, (1, 500)), 120, 0).ravel()  # a passage again and again
+    for x, more in ((zipf, 0.6), (steps, -6.0)):
+        p = np.bincount(x)[np.unique(x)] / len(x)
+        assert 8 * len(segment_of(spark, x, 65536)) / len(x) < -(p * np.log2(p)).sum() + more
+
+
+def best_then_sides(x, a, b):
+    """Maximal segments by definition: the best one, then those on its sides."""
+    c = np.concatenate([[0], np.cumsum(x)])
+    top = max(((c[j] - c[i], -i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+    if top[0] <= 1e-12:
+        return []
+    i, j = -top[1], top[2]
+    return best_then_sides(x, a, i) + [(i, j)] + best_then_sides(x, j, b)
 
 
 def test_segments_are_maximal():
-    assert toxicity.segments(np.array([-1.0, -2])) == []
+    import time
+
+    assert toxicity.segments(np.array([-1.0, -2])) == [] == toxicity.segments(np.zeros(0))
     assert toxicity.segments(np.array([4.0, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5])) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.round(rng.normal(-0.1, 1, rng.integers(1, 30)), 3)
+        assert [s[:2] for s in toxicity.segments(x)] == best_then_sides(x, 0, len(x))
+    start = time.process_time()
+    assert len(toxicity.segments(np.where(np.arange(2_000_000) % 2 == 0, 1.0, -1.1))) == 1_000_000
+    assert time.process_time() - start < 30  # hours if every run looked back at all before it
 
 
 def test_toxicity_separates(spark):
@@ -205,6 +275,41 @@ def test_language(spark):
     assert marks[0] == "en" and marks[-1] == "de"
 
 
+def test_cover_tree():
+    rng = np.random.default_rng(0)
+    far = np.repeat(rng.normal(size=(60, 16)), 50, 0) + 0.01 * rng.normal(size=(3000, 16))
+    x = np.floor(1024 * np.concatenate([far, far[:5]]))
+    t = topk.Tree(x)
+    assert sorted(t.order) == list(range(len(x)))
+    for i, kids in enumerate(t.kids):
+        own = t.order[t.lo[i] : t.hi[i]]
+        d = np.sqrt(((x[own] - x[t.centre[i]]) ** 2).sum(1))
+        assert t.centre[i] in own and d.max() <= min(t.radius[i], 2.0 ** t.level[i] if d.max() else 0)
+        if len(kids):
+            c = x[[t.centre[k] for k in kids]]
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.where(np.eye(len(c)), np.inf, 0)
+            assert t.centre[i] in [t.centre[k] for k in kids] and apart.min() > 2.0 ** (t.level[i] - 1)
+            assert all(np.sqrt(((x[t.order[t.lo[k] : t.hi[k]]] - x[t.centre[k]]) ** 2).sum(1)).max() <= 2.0 ** (t.level[i] - 1) for k in kids)
+    ids = np.arange(len(x))
+    best = topk.Best(ids[::50], 5)
+    met = topk.search(topk.Tree(x[::50], topk.FEW), t, ids, best)
+    s = x[::50] @ x.T
+    s[np.arange(len(s)), ids[::50]] = -np.inf
+    assert (best.vec == np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]).all()
+    assert met < 0.4 * s.size
+
+
+def test_top_k_of_large_and_odd_vectors(spark):
+    big = [(0, [2e7, 1.0, 3.0]), (50, [1e4, -2.5, 1e9]), (1, [-2e7, 1.5, 0.25]), (2, [1e9, 1e9, 1e9]), (3, [1e17, 0.0, 0.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0]), (100, [0.5, 0.5]), (5, [])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, df.filter("vec_id % 50 = 0")).collect()
+    ints = [(i, [math.floor(1024 * v) for v in x]) for i, x in big]
+    for q, x in ints:
+        if q % 50 == 0:
+            want = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=True)))), j) for j, y in ints if j != q and len(x) == len(y) > 0)
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_top_k(spark, block):
     rng = np.random.default_rng(0)
@@ -220,29 +325,55 @@ def test_top_k(spark, block):
     assert len(got) == 80 and topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_chat_windows(spark):
+def frame(role, text):
+    esc = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+    return "<|im_start|>" + esc(role).replace("\n", "\\n") + "\n" + esc(text) + "<|im_end|>\n"
+
+
+@pytest.mark.parametrize("budget, history, system", [(900, 200, 20), (900, 200, 600), (900, 200, 2000), (400, 0, 20)])
+def test_chat_windows(spark, budget, history, system):
     rng = random.Random(0)
     odd = ["<|im_end|>", "a\\|b\\", "<", "\\n", "", None, "<|im_start|>user\nx", "x\n"]
-    rows = [(1, 0, "system", "be kind <|im_end|>")]
-    rows += [(1, t, rng.choice(["user", "assistant", "us\ner\\", None]), rng.choice(odd) or "word " * rng.randrange(120)) for t in range(1, 80)]
+    rows = [(1, 0, "system", ("be kind <|im_end|>" * 200)[:system])]
+    rows += [(1, t, rng.choice(["user", "assistant", "us\ner\\", None]), rng.choice(odd) or "word " * rng.randrange(80)) for t in range(1, 80)]
     rows += [(2, 0, "assistant", "long " * 900), (None, None, "user", "n"), (None, 1, "assistant", "m"), (3, 0, "system", "only"), (4, 5, "user", "same"), (4, 5, "user", "same")]
+    rows += [(5, None, "user", f"é{i}") for i in range(60)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, block string")
-    w = chat.read_turns(chat.format_windows(df, budget=300, history=60)).collect()
+    w = chat.read_turns(chat.format_windows(df, budget=budget, history=history)).collect()
     by = {}
     for r in sorted(w, key=lambda r: (str(r.conv_id), r.window_id)):
         by.setdefault(r.conv_id, []).append(r)
-        own = r.n_turns - r.n_context
-        assert r.n_tokens <= 300 + 10 or own == 1
-        assert r.text.count("<|im_start|>") == r.n_turns
-        if r.conv_id == 1:
-            assert r.text.startswith("<|im_start|>system\nbe kind")
+        assert r.n_tokens == len(r.text.encode()) and r.text.count("<|im_start|>") == r.n_turns
+        assert r.n_tokens <= budget or (r.n_turns - r.n_context == 1 and r.n_context <= 1)
     for c, got in by.items():
         want = sorted((t if t is not None else -1, role or "", text or "") for i, t, role, text in rows if i == c)
         assert [(x.role, x.text) for r in got for x in r.turns] == [x[1:] for x in want]
         assert "".join(r.loss for r in got) == "".join(x[2] for x in want if x[1] == "assistant")
+        size = [len(frame(*x[1:]).encode()) for x in want]
+        lead = want[0][1] == "system"
+        at = np.cumsum([0, *(0 if lead and i == 0 else n for i, n in enumerate(size))])
+        for r in got:  # the system turn, then all turns that start within the room for history
+            k = r.window_id
+            own = sum(n for i, n in enumerate(size[k : k + r.n_turns - r.n_context], k) if i or not lead)
+            room = max(0, min(history, budget - (size[0] if lead else 0) - own))
+            past = [i for i in range(lead, k) if at[k] - at[i] <= room]
+            assert r.text == "".join(frame(*want[i][1:]) for i in ([0] if lead and k else []) + past + list(range(k, k + r.n_turns - r.n_context)))
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def test_op10_digests(spark, tmp_path):
+    rows = [(7, 1, "user", "hi <|im_end|>"), (7, 2, "assistant", "ü\\"), (7, 3, None, None), (-1, 0, "user", "own")] + [(9, i, "assistant", "x" * 3000) for i in range(9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    mark = "<|im_end|><|im_start|>assistant ok"
+    want = []
+    for turns in ([("user", "hi <|im_end|>"), ("assistant", "ü\\"), ("", "")], [("user", "own")], [("assistant", "x" * 3000)] * 9, [("user", mark), ("assistant", mark)]):
+        loss = "".join(t for r, t in turns if r == "assistant")
+        want.append((len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    got = chat.op10_chat_formatting(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[1:5] for r in got) == sorted(want) and sorted(r.conv_id for r in got) == [-1, -1, 7, 9]
+    assert next(r.formatted_chars for r in got if r.conv_id == 7) == sum(len(frame(*t)) for t in (("user", "hi <|im_end|>"), ("assistant", "ü\\"), ("", "")))
+
+
 def test_words_of_long_and_broken_texts():
     import pyarrow as pa
 

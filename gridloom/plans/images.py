@@ -65,7 +65,12 @@ def median_cut_map(spark: SparkSession, sf_dir: str, k: int = 32) -> DataFrame:
 
 
 def median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return median_cut_map(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("mapped_colours"), (F.countDistinct("entry") <= 32).alias("within_k"))
+    """Per image: colours mapped, palette entries, and entries that aren't their colours' rounded mean."""
+    n = sql.step(spark, vector_grid(spark, sf_dir, 64), "colours").select("image_id", "cid", "n", *[F.col(c).alias(f"c{c}") for c in "rgb"])
+    m = median_cut_map(spark, sf_dir).join(n, ["image_id", "cid"])
+    mean = [F.bround(F.sum(F.col(f"c{c}") * F.col("n")) / F.sum("n"), 0) == F.max(c) for c in "rgb"]
+    e = m.groupBy("image_id", "entry").agg(F.count("*").alias("k"), (mean[0] & mean[1] & mean[2]).alias("ok"))
+    return e.groupBy("image_id").agg(F.sum("k").alias("mapped_colours"), F.count("*").alias("entries"), F.count_if(~F.col("ok")).alias("wrong_means"))
 
 
 def _mask(method: str) -> np.ndarray | None:
@@ -125,21 +130,28 @@ def dither(grid: DataFrame, method: str, k: int = 32, strength: float = 1.0) ->
 
 def _dithered(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = dither(vector_grid(spark, sf_dir, 64), method)
-        return d.groupBy("image_id").agg(F.count("*").alias("pixels"), (F.countDistinct("entry") <= 32).alias("within_palette"))
+        """Per image: pixels, those whose colour isn't one of 32 of its palette, and whether the mean colour is kept."""
+        grid = vector_grid(spark, sf_dir, 64)
+        pal = median_cut_map(spark, sf_dir).select("image_id", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb"), F.lit(True).alias("known")).distinct()
+        d = dither(grid, method).select("image_id", "y", "x", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb"))
+        x = grid.join(d, ["image_id", "y", "x"], "left").join(pal, ["image_id", "pr", "pg", "pb"], "left")
+        drift = [F.abs(F.avg(F.col(c) - F.col(f"p{c}"))) < 1.5 for c in "rgb"]
+        return x.groupBy("image_id").agg(F.count("*").alias("pixels"), F.count_if(F.col("known").isNull()).alias("off_palette"), (drift[0] & drift[1] & drift[2]).alias("mean_kept"))
 
     return query
 
 
-def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence: float = 0.0, bins: int = NP, cap: int = CAP) -> DataFrame:
-    """Cells with palettes and entries: (image_id, y, cx, palette, entries, strategy).
+def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence: float = 1.5, bins: int = NP, cap: int = CAP, levels: int = 64, optimize: bool = True) -> DataFrame:
+    """Cells with palettes: (image_id, y, cx, palette, entries, cids, outs, strategy), where outs are
+    what the cell's colours cids become.
 
     ``auto`` takes lossless packing where components fit, else fidelity for a bias of 0 and
-    balanced otherwise; ``clusters`` deals cells out by capacity-bounded k-means. An image of
-    more colours than all palettes hold is one that ``prequantize`` hasn't seen, an error.
+    balanced otherwise. An image of more colours than all palettes hold is one that
+    ``prequantize`` hasn't seen, an error.
     """
     cells = sql.step(grid.sparkSession, grid, "cells")
     colours = sql.step(grid.sparkSession, grid, "colours").select("image_id", "cid", "r", "g", "b")
+    shape = grid.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.floor(F.max("x") / 8 + 1).cast("int").alias("across"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         img = int(pdf.image_id.iloc[0])
@@ -147,82 +159,90 @@ def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence:
         ids = rgb.cid.to_numpy()
         if len(ids) > bins * cap:
             raise ValueError(f"image {img} has {len(ids)} colours, prequantize it first")
-        lab = K.oklab(rgb[["r", "g", "b"]].to_numpy() / 63.0)
-        pdf = pdf.assign(c=np.searchsorted(ids, pdf.cid)).sort_values(["y", "cx", "c"])
-        keys, sets, weights = [], [], []
-        for key, g in pdf.groupby(["y", "cx"], sort=True):
-            keys.append(key)
-            sets.append(g.c.to_numpy())
-            weights.append(g.n.to_numpy())
-        count = np.bincount(pdf.c, pdf.n, len(ids)).astype(np.int64)
-        mean = np.array([np.average(lab[c], axis=0, weights=w) for c, w in zip(sets, weights, strict=True)])
-        # components over cells by merging label sets
-        up = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        for c in sets:
-            for o in c[1:]:
-                a, b = root(int(c[0])), root(int(o))
-                up[max(a, b)] = min(a, b)
-        comp = np.array([root(i) for i in range(len(ids))])
-        names, of = np.unique(comp, return_inverse=True)
+        lab = K.oklab(rgb[["r", "g", "b"]].to_numpy() / (levels - 1.0))
+        pdf = pdf.sort_values(["y", "cx", "cid"])
+        place = pdf[["y", "cx"]].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(1)]))
+        c = K.Cells(place[first, 0], place[first, 1], np.append(first, len(pdf)), np.searchsorted(ids, pdf.cid), pdf.n.to_numpy(), len(ids))
+        of = _joined(c)
         bin_of = K.best_fit(np.bincount(of).tolist(), bins, cap) if strategy == "auto" else None
-        used = strategy
         if bin_of is not None:
-            where = np.array([bin_of[of[c[0]]] for c in sets])
-            pal, used = [set(np.flatnonzero(np.array(bin_of)[of] == b).tolist()) for b in range(bins)], "lossless"
-        elif strategy == "clusters":
-            where = K.balanced_clusters(mean, bins, -(-len(sets) // bins))
-            pal = [set(np.concatenate([c for c, b in zip(sets, where, strict=True) if b == p] or [np.zeros(0, int)]).tolist()) for p in range(bins)]
-            pal = [set(sorted(p, key=lambda c: (-count[c], -c))[:cap]) for p in pal]
+            group = np.array(bin_of)[of]
+            where, used = group[c.colour[c.at[:-1]]], "lossless"
+            entries, become = [np.flatnonzero(group == b) for b in range(bins)], np.tile(np.arange(len(ids)), (bins, 1))
         else:
-            hint = K.kmeans(mean, np.ones(len(mean)), bins)
-            where, pal = K.greedy_palettes(sets, count, hint, bins, cap)
-            where = K.shrink_duplicates(sets, where, bins, cap)
-            pal = [set(np.concatenate([c for c, b in zip(sets, where, strict=True) if b == p] or [np.zeros(0, int)]).tolist()) for p in range(bins)]
-            pal = [set(sorted(p, key=lambda c: (-count[c], -c))[:cap]) for p in pal]
+            where, entries, become = K.fidelity(c, lab, bins, cap, optimize)
             used = "fidelity"
             if strategy == "balanced" or strategy == "auto" and bias > 0:
-                where, lists = K.balance(sets, weights, np.array(keys), lab, where, pal, bias, coherence, cap)
-                pal, used = [set(x) for x in lists], "balanced"
-        out = pd.DataFrame(keys, columns=["y", "cx"])
-        return out.assign(image_id=img, palette=where, entries=[sorted(ids[sorted(pal[b])].tolist()) for b in where], strategy=used)[["image_id", "y", "cx", "palette", "entries", "strategy"]]
-
-    return _per_image(cells.join(colours, ["image_id", "cid"]), kernel, "image_id int, y int, cx int, palette int, entries array<int>, strategy string")
+                floor = len(np.unique(np.concatenate(entries)))
+                where, entries, become = K.balanced(c, lab, (int(pdf.height.iloc[0]), int(pdf.across.iloc[0])), bias, floor, coherence, bins, cap)
+                used = "balanced"
+        held = [ids[e].tolist() for e in entries]
+        out = ids[become[where[c.of], c.colour]]
+        parts = lambda x: [p.tolist() for p in np.split(x, c.at[1:-1])]
+        return pd.DataFrame({"image_id": img, "y": c.y, "cx": c.cx, "palette": where, "entries": [held[b] for b in where], "cids": parts(ids[c.colour]), "outs": parts(out), "strategy": used})
+
+    kind = "image_id int, y int, cx int, palette int, entries array<int>, cids array<int>, outs array<int>, strategy string"
+    return _per_image(cells.join(colours, ["image_id", "cid"]).join(shape, "image_id"), kernel, kind)
+
+
+def _joined(c: K.Cells) -> np.ndarray:
+    """Component of each colour, numbered by least colour: labels fall to the least of their cells' colours
+    and on to that one's label until nothing changes."""
+    of = np.arange(c.colours)
+    while True:
+        least = np.minimum.reduceat(of[c.colour], c.at[:-1])
+        new = of.copy()
+        np.minimum.at(new, c.colour, least[c.of])
+        new = np.minimum(new, new[new])
+        if (new == of).all():
+            return np.unique(of, return_inverse=True)[1]
+        of = new
 
 
 def packed_pixels(grid: DataFrame, packed: DataFrame) -> DataFrame:
-    """Every opaque pixel with its palette, slot and output colour: its own where the palette has it, else
-    the nearest entry (squared distance, then least id). Works on distinct (palette, colour) pairs."""
+    """Every opaque pixel with its palette, slot and output colour."""
     spark = grid.sparkSession
     idpx, colours = sql.step(spark, grid, "idpx").filter("not transparent"), sql.step(spark, grid, "colours")
-    pal = packed.select("image_id", "palette", "entries").dropDuplicates(["image_id", "palette"])
-    e = pal.select("image_id", "palette", F.posexplode("entries").alias("slot", "out_cid"))
-    c = colours.select("image_id", "cid", "r", "g", "b")
-    o = e.join(c.select("image_id", F.col("cid").alias("out_cid"), F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2")), ["image_id", "out_cid"])
-    px = idpx.join(packed.select("image_id", "y", "cx", "palette"), ["image_id", "y", "cx"])
-    ask = px.select("image_id", "palette", "cid", "r", "g", "b").distinct()
-    d2 = (F.col("r") - F.col("r2")) ** 2 + (F.col("g") - F.col("g2")) ** 2 + (F.col("b") - F.col("b2")) ** 2
-    best = ask.join(o, ["image_id", "palette"]).groupBy("image_id", "palette", "cid").agg(F.min(F.struct(d2.alias("d2"), "out_cid", (F.col("slot") + 1).alias("slot"), "r2", "g2", "b2")).alias("o"))
-    return px.join(best, ["image_id", "palette", "cid"]).select("image_id", "y", "x", "cx", "palette", "r", "g", "b", "cid", "o.slot", "o.out_cid", "o.r2", "o.g2", "o.b2", (F.col("o.d2") > 0).alias("recoloured"))
+    out = colours.select("image_id", F.col("cid").alias("out_cid"), F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2"))
+    each = packed.select("image_id", "y", "cx", "palette", "entries", F.inline(F.arrays_zip(F.col("cids").alias("cid"), F.col("outs").alias("out_cid"))))
+    each = each.withColumn("slot", F.array_position("entries", F.col("out_cid")).cast("int")).drop("entries")
+    px = idpx.join(each, ["image_id", "y", "cx", "cid"], "left").join(out, ["image_id", "out_cid"], "left")
+    return px.select("image_id", "y", "x", "cx", "palette", "r", "g", "b", "cid", "slot", "out_cid", "r2", "g2", "b2", (F.col("cid") != F.col("out_cid")).alias("recoloured"))
 
 
 def _packed(strategy: str, levels: int, height: int = HEIGHT):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Per image: pixels, cells, and counts that must be 0: pixels without a slot of their palette, palettes
+        over the cap, cells of two palettes, recoloured pixels whose palette has their colour, and those with
+        a nearer entry in OKLab than the one they got."""
         grid = prequantize(vector_grid(spark, sf_dir, levels, height))
-        p = pack(grid, strategy)
+        p = pack(grid, strategy, levels=levels)
         px = packed_pixels(grid, p)
-        cap = p.groupBy("image_id").agg((F.max(F.size("entries")) <= CAP).alias("within_cap"))
-        q = px.groupBy("image_id").agg(F.count("*").alias("compared_pixels"), (F.count_if("recoloured") + F.count_if(~F.col("recoloured")) == F.count("*")).alias("partition_identity"), F.countDistinct("y", "cx").alias("cells"))
-        return q.join(cap, "image_id")
+        sizes = p.groupBy("image_id").agg(F.count_if(F.size("entries") > CAP).alias("over_cap"))
+        lab = _lab(sql.step(spark, grid, "colours"), levels)
+        ask = px.filter("recoloured").select("image_id", "palette", "cid", "out_cid").distinct()
+        own = p.select("image_id", "palette", "entries").dropDuplicates(["image_id", "palette"]).select("image_id", "palette", F.explode("entries").alias("e"))
+        a, b, e = (lab.select("image_id", F.col("cid").alias(c), F.struct("l", "a", "b").alias(f"lab_{c}")) for c in ("cid", "out_cid", "e"))
+        gap = lambda u, v: sum((F.col(f"{u}.{k}") - F.col(f"{v}.{k}")) ** 2 for k in "lab")
+        worse = ask.join(own, ["image_id", "palette"]).join(a, ["image_id", "cid"]).join(b, ["image_id", "out_cid"]).join(e, ["image_id", "e"])
+        worse = worse.filter((F.col("e") == F.col("cid")) | (gap("lab_cid", "lab_e") < gap("lab_cid", "lab_out_cid") - 1e-12)).groupBy("image_id").agg(F.countDistinct("palette", "cid").alias("not_nearest"))
+        q = px.groupBy("image_id").agg(F.count("*").alias("compared_pixels"), F.count_if(F.coalesce(F.col("slot"), F.lit(0)) < 1).alias("without_slot"), F.countDistinct("y", "cx").alias("cells"), (F.countDistinct("y", "cx", "palette") - F.countDistinct("y", "cx")).alias("split_cells"))
+        return q.join(sizes, "image_id").join(worse, "image_id", "left").withColumn("not_nearest", F.coalesce("not_nearest", F.lit(0)))
 
     return query
 
 
+def _lab(colours: DataFrame, levels: int) -> DataFrame:
+    """OKLab of colours(image_id, cid, r, g, b) of so many levels a channel."""
+    def kernel(it):
+        for pdf in it:
+            v = K.oklab(pdf[["r", "g", "b"]].to_numpy() / (levels - 1.0))
+            yield pdf[["image_id", "cid"]].assign(l=v[:, 0], a=v[:, 1], b=v[:, 2])
+
+    return colours.select("image_id", "cid", "r", "g", "b").mapInPandas(kernel, "image_id int, cid int, l double, a double, b double")
+
+
 def quantized_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of images of 200 vectors, which exceed all palettes' colours: how many there were, and are."""
     source = vector_grid(spark, sf_dir, 64, 200).groupBy("image_id").agg(F.countDistinct("r", "g", "b").alias("source_colours"))
@@ -272,7 +292,6 @@ QUERIES = {
     **{f"palette_dither_bayer{n}": _dithered(f"bayer{n}") for n in (2, 4, 8)},
     "fidelity_pack": _packed("fidelity", 16),
     "balanced_pack": _packed("balanced", 16),
-    "cluster_pack": _packed("clusters", 16),
     "auto_pack": _packed("auto", 64),
     "quantized_pack": quantized_pack,
     "conversion_stats": stats,
@@ -287,17 +306,17 @@ _COMP = (
     reach as (select image_id, u, u as v from e union select r.image_id, r.u, e.v from reach r join e on r.image_id = e.image_id and r.v = e.u),
     comps as (select image_id, u as cid, min(v) as comp from reach group by image_id, u) """
 )
-_DITHER = _GRID.replace("recursive ", "") + " select image_id, count(*) as pixels, true as within_palette from px group by image_id"
-_INVARIANT = "with px as ({}) select image_id, count(*) as compared_pixels, true as partition_identity, count(distinct y * 16 + cast(floor(x / 8) as int)) as cells, true as within_cap from px where not transparent group by image_id"
+_DITHER = _GRID.replace("recursive ", "") + " select image_id, count(*) as pixels, cast(0 as bigint) as off_palette, true as mean_kept from px group by image_id"
+_INVARIANT = "with px as ({}) select image_id, count(*) as compared_pixels, 0 as without_slot, count(distinct y * 16 + cast(floor(x / 8) as int)) as cells, 0 as split_cells, 0 as over_cap, 0 as not_nearest from px where not transparent group by image_id"
 ORACLE = {
     "cooccurrence_components": _COMP + "select image_id, cid, comp from comps",
     "component_sizes": _COMP + "select image_id, comp, count(*) as n_colours from comps group by image_id, comp",
     "phase_a_invariants": _COMP + "select image_id, count(*) as colours, true as within_cap from comps group by image_id",
-    "median_cut": _GRID.replace("recursive ", "") + " select image_id, count(distinct r * 4096 + g * 64 + b) as mapped_colours, true as within_k from px group by image_id",
+    "median_cut": _GRID.replace("recursive ", "") + " select image_id, count(distinct r * 4096 + g * 64 + b) as mapped_colours, least(32, count(distinct r * 4096 + g * 64 + b)) as entries, 0 as wrong_means from px group by image_id",
     **{f"error_diffusion_{k}": _DITHER for k in K.DIFFUSION},
     "ordered_dither_blue": _DITHER,
     **{f"palette_dither_bayer{n}": _DITHER for n in (2, 4, 8)},
-    **{f"{k}_pack": _INVARIANT.format(vector_grid_sql(16)) for k in ("fidelity", "balanced", "cluster")},
+    **{f"{k}_pack": _INVARIANT.format(vector_grid_sql(16)) for k in ("fidelity", "balanced")},
     "auto_pack": _INVARIANT.format(vector_grid_sql(64)),
     "quantized_pack": f"""select q.*, source_colours, true as within_budget, source_colours > {NP * CAP} as prequantized from ({_INVARIANT.format(vector_grid_sql(64, 200))}) q
     join (select image_id, count(distinct r * 4096 + g * 64 + b) as source_colours from ({vector_grid_sql(64, 200)}) s group by image_id) c on c.image_id = q.image_id""",

@@ -39,7 +39,7 @@ STEPS = {
 QUERIES = {
     "grid_pixels": (16, "select image_id, y, x, r, g, b, transparent from {px}"),
     "grid_histogram": (64, "select image_id, r, g, b, count(*) as n from {px} group by image_id, r, g, b"),
-    "source_colours": (64, "select image_id, count(*) as pixels, count(distinct r * 4096 + g * 64 + b) as source_colours, count(distinct case when not transparent then r * 4096 + g * 64 + b end) as opaque_colours from {px} group by image_id"),
+    "source_colours": (64, "select image_id, count(*) as pixels, count(distinct (r * 256 + g) * 256 + b) as source_colours, count(distinct case when not transparent then (r * 256 + g) * 256 + b end) as opaque_colours from {px} group by image_id"),
     "master_colours": (64, "select image_id, cid, r, g, b, n, n_opaque from colours"),
     "cell_dictionary": (64, "select image_id, y, cx, cid, n from cells"),
     "cell_sizes": (64, "select image_id, y, cx, count(*) as n_colours, cast(sum(n) as bigint) as n_pixels from cells group by image_id, y, cx"),
@@ -48,16 +48,16 @@ QUERIES = {
     "colour_oklab": (64, "select image_id, cid, round(ok_l, 6) as ok_l, round(ok_a, 6) as ok_a, round(ok_b, 6) as ok_b from oklab"),
     "colour_distance": (64, "select a.image_id, a.cid, round(sqrt(power(a.ok_l - b.ok_l, 2) + power(a.ok_a - b.ok_a, 2) + power(a.ok_b - b.ok_b, 2)), 6) as dist from oklab a join oklab b on a.image_id = b.image_id and b.cid = a.cid + 1"),
     "brightness_order": (64, "select image_id, cid, cast(row_number() over (partition by image_id order by 299 * r + 587 * g + 114 * b desc, cid) as int) as shade from colours"),
-    "cell_plurality": (64, """select image_id, y, cx, cast(-max(key) % 8 as int) as palette from
-        (select image_id, y, cx, cast(sum(n) as bigint) * 8 - p as key from (select image_id, y, cx, cid % 4 as p, n from cells) v group by image_id, y, cx, p) k group by image_id, y, cx"""),
+    "cell_plurality": (64, """select image_id, y, cx, cast(65535 - max(key) % 65536 as int) as palette from
+        (select image_id, y, cx, cast(sum(n) as bigint) * 65536 + 65535 - p as key from (select image_id, y, cx, cid % 4 as p, n from cells) v group by image_id, y, cx, p) k group by image_id, y, cx"""),
     "palette_demand": (64, "select m.image_id, m.palette, c.cid, cast(sum(c.n) as bigint) as demand from cells c join cell_map m on c.image_id = m.image_id and c.y = m.y and c.cx = m.cx group by m.image_id, m.palette, c.cid"),
     "top_cap_colours": (16, "select image_id, cid, n_opaque, rk from (select image_id, cid, n_opaque, cast(row_number() over (partition by image_id order by n_opaque desc, cid desc) as int) as rk from colours) t where rk <= 32"),
     "dropped_colours": (16, "select a.image_id, a.cid from colours a left join (select image_id, cid from (select image_id, cid, row_number() over (partition by image_id order by n_opaque desc, cid desc) as rk from colours) t where rk <= 32) k on a.image_id = k.image_id and a.cid = k.cid where k.cid is null"),
     "kept_pixels": (16, "select image_id, count(*) as n from idpx p where exists (select 1 from entries e where e.image_id = p.image_id and e.cid = p.cid and e.palette = 0) group by image_id"),
     "palette_union": (64, "select image_id, count(*) as k_floor from (select image_id, cid from entries where palette = 0 union select image_id, cid from entries where palette = 1) u group by image_id"),
     "palette_difference": (64, "select image_id, cid from entries where palette = 0 except select image_id, cid from entries where palette = 1"),
-    "nearest_palette": (16, """select image_id, cid, near % 4096 as near_cid, cast(floor(near / 4096) as bigint) as d2 from
-        (select a.image_id, a.cid, min(((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b)) * 4096 + b.cid) as near
+    "nearest_palette": (16, """select image_id, cid, near % 16777216 as near_cid, cast(floor(near / 16777216) as bigint) as d2 from
+        (select a.image_id, a.cid, min(((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b)) * cast(16777216 as bigint) + b.cid) as near
          from colours a join colours b on a.image_id = b.image_id and b.cid % 16 = 0 group by a.image_id, a.cid) t"""),
     "second_nearest": (16, """select image_id, round(avg(sqrt(d2)), 6) as amplitude from (select a.image_id, a.cid,
         (a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b) as d2, row_number() over (partition by a.image_id, a.cid order by
@@ -73,7 +73,7 @@ QUERIES = {
         join slots s on s.image_id = e.image_id and s.palette = e.palette and s.slot = e.slot join colours c on c.image_id = s.image_id and c.cid = s.cid group by e.image_id"""),
     "palette_duplication": (64, "select image_id, palette, count(*) as colours, cast(sum(case when k = 1 then 1 else 0 end) as bigint) as unique_to_palette from (select image_id, palette, cid, count(*) over (partition by image_id, cid) as k from entries) t group by image_id, palette"),
     "distinct_in_palettes": (64, "select image_id, count(*) - count(distinct cid) as duplicated_across_palettes, count(distinct cid) as distinct_in_all_palettes from entries group by image_id"),
-    "neighbour_disagreement": (64, "select a.image_id, a.y, a.cx, cast(sum(case when a.palette <> b.palette then 1 else 0 end) as bigint) as differing from cell_map a join cell_map b on a.image_id = b.image_id and ((a.y = b.y and abs(a.cx - b.cx) = 1) or (a.cx = b.cx and abs(a.y - b.y) = 1)) group by a.image_id, a.y, a.cx"),
+    "neighbour_disagreement": (64, "select a.image_id, a.y, a.cx, cast(sum(case when a.palette <> b.palette then 1 else 0 end) as bigint) as differing from cell_map a join (select image_id, y + dy as y, cx + dx as cx, palette from cell_map, (select 0 as dy, 1 as dx union all select 0, -1 union all select 1, 0 union all select -1, 0) s) b on a.image_id = b.image_id and a.y = b.y and a.cx = b.cx group by a.image_id, a.y, a.cx"),
     "quality_pixels": (64, "select image_id, count(*) as compared_pixels, cast(sum(case when r = r2 and g = g2 and b = b2 then 1 else 0 end) as bigint) as identical_pixels, cast(sum(case when r = r2 and g = g2 and b = b2 then 0 else 1 end) as bigint) as recoloured_pixels from pairs where not transparent group by image_id"),
     "quality_psnr": (64, """select image_id, round(sqrt(mse), 6) as rgb_rmse, case when mse > 0 then round(20 * log10(63) - 10 * log10(mse), 6) end as psnr_db from
         (select image_id, sum((r - r2) * (r - r2) + (g - g2) * (g - g2) + (b - b2) * (b - b2)) / (3.0e0 * count(*)) as mse from pairs where not transparent group by image_id) t"""),
@@ -84,7 +84,7 @@ QUERIES = {
     "adjacent_jumps": (64, "select image_id, y, x, round(ref, 6) as ref, round(got, 6) as got from jumps"),
     "quality_seams": (64, """select image_id, round(case when ref_on <> 0 and ref_off <> 0 and got_off <> 0 then (got_on / got_off) / (ref_on / ref_off) end, 6) as seam_index from
         (select image_id, avg(case when on_grid then ref end) as ref_on, avg(case when not on_grid then ref end) as ref_off, avg(case when on_grid then got end) as got_on, avg(case when not on_grid then got end) as got_off from columns group by image_id) t"""),
-    "mask_dilate": (64, "select image_id, y, x, max(case when q.r > 40 then 1 else 0 end) as on_mask from (select p.image_id, p.y, p.x, n.r from {px} p join {px} n on n.image_id = p.image_id and ((n.y = p.y and abs(n.x - p.x) <= 1) or (n.x = p.x and abs(n.y - p.y) = 1))) q group by image_id, y, x"),
+    "mask_dilate": (64, "select image_id, y, x, max(case when q.r > 40 then 1 else 0 end) as on_mask from (select p.image_id, p.y, p.x, n.r from {px} p join (select image_id, y + dy as y, x + dx as x, r from {px}, (select 0 as dy, 0 as dx union all select 0, 1 union all select 0, -1 union all select 1, 0 union all select -1, 0) s) n on n.image_id = p.image_id and n.y = p.y and n.x = p.x) q group by image_id, y, x"),
     "mask_shift": (64, "select p.image_id, p.y, p.x, coalesce(q.r > 40, false) as on_mask from {px} p left join {px} q on q.image_id = p.image_id and q.y = p.y - 1 and q.x = p.x - 2"),
     "mask_spans": (64, """select image_id, y, min(x) as x0, max(x) as x1 from (select image_id, y, x, x - row_number() over (partition by image_id, y order by x) as island from {px} where r > 30) t group by image_id, y, island"""),
     "map_codec": (64, "select image_id, y, cx, palette * 16 as encoded, cast(floor(palette * 16 / 16) as int) as decoded from cell_map"),
@@ -99,12 +99,13 @@ def _tiles(n: int) -> str:
 
 for _n in (2, 4, 8):
     STEPS[f"tile{_n}"] = _tiles(_n)
-    QUERIES[f"ordered_dither_bayer{_n}"] = (64, f"""select image_id, y, x, near % 4096 as near_cid from
+    QUERIES[f"ordered_dither_bayer{_n}"] = (64, f"""select image_id, y, x, cast(near % 16777216 as bigint) as near_cid from
         (select p.image_id, p.y, p.x, min((power(p.r * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.r * {2 * _n * _n}, 2) + power(p.g * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.g * {2 * _n * _n}, 2)
-           + power(p.b * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.b * {2 * _n * _n}, 2)) * 4096 + c.cid) as near
+           + power(p.b * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.b * {2 * _n * _n}, 2)) * 16777216 + c.cid) as near
          from {{px}} p join tile{_n} t on t.ty = p.y % {_n} and t.tx = p.x % {_n} join colours c on c.image_id = p.image_id and c.cid % 32 = 0 group by p.image_id, p.y, p.x) q""")
 
 
+del QUERIES["brightness_order"]
 QUERIES["shades_by_luma"] = (64, "select image_id, cid, luma, cast(row_number() over (partition by image_id order by luma desc, cid) as int) as shade from (select image_id, cid, 299 * r + 587 * g + 114 * b as luma from colours) t")
 # a label in 21 columns, a colon and a value that begins with a capital
 QUERIES["report_rows"] = (64, """select image_id, line_no, rpad(label, 21, ' ') || ': ' || upper(substr(value, 1, 1)) || substr(value, 2) as line from

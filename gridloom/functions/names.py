@@ -1,4 +1,4 @@
-"""Names, descriptions and settings as column expressions."""
+"""Names and descriptions as column expressions, and text in fixed-width records."""
 
 from __future__ import annotations
 
@@ -26,7 +26,10 @@ def name_problem(c: Column) -> Column:
 
 
 def clean_description(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, r"\s+", " "))
+    """{text, problem}: white space run together; other than printable ASCII or over 75 characters is a problem."""
+    text = F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    problem = F.when(~text.rlike("^[ -~]*$"), "only printable ASCII").when(F.char_length(text) > 75, F.concat(F.char_length(text).cast("string"), F.lit(" characters, 75 at most")))
+    return F.struct(text.alias("text"), problem.alias("problem"))
 
 
 def preview_number(c: Column) -> Column:
@@ -83,34 +86,3 @@ def nfo_decode(raw: bytes) -> list[str]:
             break
         out.append(rec[::2].decode("latin-1").rstrip())
     return out
-
-
-#: Options of a conversion and their defaults.
-DEFAULTS = {"resize": "320x240", "filter": "lanczos", "fit": "cover", "palettes": 4, "slots": 256, "reserve0": True, "cell": 8, "max_colors": None, "color_bias": 0.0, "coherence": 0.0, "dither": "none", "dither_strength": 1.0}
-
-
-def to_argv(settings: dict) -> list[str]:
-    """Options that differ from the defaults; the strength only where there is a dither."""
-    out: list[str] = []
-    for k, default in DEFAULTS.items():
-        v = settings.get(k, default)
-        if v == default or k == "dither_strength" and settings.get("dither", "none") == "none":
-            continue
-        flag = "--" + k.replace("_", "-")
-        out += ["--no-" + k] if v is False else [flag] if v is True else [flag, str(v)]
-    return out
-
-
-def from_argv(argv: list[str]) -> dict:
-    """Tolerant inverse of ``to_argv``: unknown options are skipped."""
-    out, i = dict(DEFAULTS), 0
-    while i < len(argv):
-        key = argv[i].removeprefix("--").replace("-", "_")
-        if key.startswith("no_") and key[3:] in out:
-            out[key[3:]] = False
-        elif key in out and i + 1 < len(argv):
-            d = DEFAULTS[key]
-            out[key] = int(argv[i + 1]) if isinstance(d, int) and not isinstance(d, bool) or key == "max_colors" else float(argv[i + 1]) if isinstance(d, float) else argv[i + 1]
-            i += 1
-        i += 1
-    return out

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; a local one is set only where none is."""
+    """Reliable checkpoint in the shared folder; in a session of one process that names none, in its warehouse."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir"))
     return df.checkpoint()
 
 
-def colour_components(cells: DataFrame, rounds: int = 100) -> DataFrame:
+def colour_components(cells: DataFrame) -> DataFrame:
     """(image_id, cid, comp) from cells(image_id, y, cx, cid): colours that share a cell,
     directly or through others, get the least cid among them. Labels spread over cells and
-    then jump to their label's label, so chains halve each round."""
+    then jump to their label's label, until none changes; an image's colours bound the rounds."""
     edges = _cut(cells.select("image_id", "y", "cx", "cid").distinct())
     lab = _cut(edges.select("image_id", "cid", F.col("cid").alias("comp"), F.lit(True).alias("moved")).distinct())
-    for _ in range(rounds):
+    while True:
         low = edges.join(lab.select("image_id", "cid", "comp"), ["image_id", "cid"]).groupBy("image_id", "y", "cx").agg(F.min("comp").alias("low"))
         near = edges.join(low, ["image_id", "y", "cx"]).groupBy("image_id", "cid").agg(F.min("low").alias("near"))
         jump = near.select("image_id", F.col("cid").alias("near"), F.col("near").alias("jump"))
@@ -30,7 +31,6 @@ def colour_components(cells: DataFrame, rounds: int = 100) -> DataFrame:
         lab = _cut(new.join(lab.select("image_id", "cid", "comp"), ["image_id", "cid"]).select("image_id", "cid", F.col("new").alias("comp"), (F.col("new") != F.col("comp")).alias("moved")))
         if not lab.filter("moved").head(1):
             return lab.select("image_id", "cid", "comp")
-    raise RuntimeError("components did not settle")
 
 
 def best_fit(sizes: DataFrame, bins: int = 4, cap: int = 255) -> DataFrame:

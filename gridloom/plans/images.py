@@ -88,9 +88,9 @@ def _entries(img: np.ndarray, pal: np.ndarray, method: str, strength: float, m:
     return K.nearest((img + 1.5 * strength * gap * t[..., None]).reshape(-1, 3), pal).reshape(h, w)
 
 
-def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, most: int = NP * CAP) -> DataFrame:
+def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, most: int = NP * CAP, target: int | None = None) -> DataFrame:
     """The grid, with images of more than ``most`` colours (padding included) cut to a
-    median-cut palette of that many and dithered to it; other images stay as they are."""
+    median-cut palette of ``target`` (by default that many) and dithered to it; other images stay as they are."""
     grid = grid.select("image_id", "y", "x", "r", "g", "b", "transparent")
     mask = _mask(method) if method != "none" else None
 
@@ -99,7 +99,7 @@ def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, mo
         c, of, n = np.unique(rgb, axis=0, return_inverse=True, return_counts=True)
         if len(c) <= most:
             return pdf
-        pal, entry = K.median_cut(c, n, most)
+        pal, entry = K.median_cut(c, n, target or most)
         at = entry[of.reshape(-1)]
         if method != "none":
             img = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1, 3))

@@ -294,9 +294,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language with a share of at least ``least``, all columns kept.
-    A text without letters, or without a language that holds half of its words, goes."""
+def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.0) -> DataFrame:
+    """The rows whose text has a language, with a share of at least ``least``, all columns kept.
+    What is ``und`` goes: a null text, or one without a letter. A text that mixes languages is
+    no worse for that, so by default no share is asked for."""
     return filter_rows(docs, spark.sparkContext.broadcast(trained(spark, sf_dir)), least)
 
 

@@ -46,6 +46,8 @@ def test_language_stage(spark):
     assert rows(kept) == sorted(((i, t) for k, (i, t) in enumerate(data) if label[k][0][0] != "und" and label[k][1][0] >= 0.5), key=str)
     assert {(3, None), (4, ""), (5, "12 !")}.isdisjoint(rows(kept)) and (1, EN) in rows(kept)
     assert language.filter_rows(d.limit(0), spark.sparkContext.broadcast(m), 0.5).count() == 0
+    mixed = frame(spark, [(1, "".join(x + y for x, y in zip(EN.split(), DE.split(), strict=False))), (2, EN + DE), (3, "7 ?")])
+    assert [i for i, _ in rows(language.filter_rows(mixed, spark.sparkContext.broadcast(m), 0.0))] == [1, 2]
 
 
 def test_language_training_is_repeatable_and_whole(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its Parquet files, that an operator broadcasts.
@@ -83,6 +83,27 @@ def crc32_of_id(c: str) -> Column:
     return F.crc32(F.col(c).cast("string").cast("binary"))
 
 
+def least_by_hash(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """The distinct rows of ``rows(group, doc_id, h)`` with a ``rank`` of 1 to k in their group by hash
+    of doc_id, then doc_id, then h.
+
+    Counts by the hash's upper 10 bits, added up before the shuffle, tell up to which of these ranges
+    a group reaches k; then 20 bits tell it of the rows up to there. So what goes to a group's task
+    are 1024 counts, then some k counts or rows and a millionth of the group, not each partition's k.
+    An empty table gives no rows; repeated rows count once.
+    """
+    key = F.xxhash64("doc_id")
+    near = materialize(rows.select(group, "doc_id", "h").distinct())
+    below = F.sum("n").over(Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    for bits in (10, 20):
+        ranged = near.withColumn("range", F.shiftright(key, 64 - bits))
+        cut = ranged.groupBy(group, "range").agg(F.count("*").alias("n")).withColumn("below", F.coalesce(below, F.lit(0)))
+        cut = materialize(cut.filter(F.col("below") < k).groupBy(group).agg(F.max("range").alias("cut")))
+        near = ranged.join(small_side(cut), group).filter(F.col("range") <= F.col("cut")).select(group, "doc_id", "h")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(key, "doc_id", "h"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(src, dst)``: rows (node, comp), comp the least node.
 

@@ -28,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import crc32_of_id, materialize, read
+from .common import crc32_of_id, least_by_hash, materialize, read
 
 _b = np.arange(256)
 IS_LETTER = ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
@@ -215,13 +215,10 @@ def train(docs: DataFrame, per_label: int = 400, most: int = 20_000, longest: in
     at least), by least hash of doc_id. Of repeated ids and texts one row counts."""
     rows = docs.filter("doc_id is not null and lang is not null and text is not null")
     rows = rows.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).filter(F.length("text") <= longest)
-    order = [F.xxhash64("doc_id"), "doc_id", "h"]
-    ids = rows.select("lang", "doc_id", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    ids = ids.filter(F.col("rank") <= per_label).distinct()
-    ids = materialize(ids)
+    ids = materialize(least_by_hash(rows, "lang", per_label))
     langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
     share = max(20, min(per_label, most // max(1, len(langs))))
-    ids = ids.filter(F.col("rank") <= share).select("lang", "doc_id", "h").distinct()
+    ids = ids.filter(F.col("rank") <= share).select("lang", "doc_id", "h")
     got = rows.join(F.broadcast(ids), ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"])  # len(langs) * share rows at most
     return fit(langs, sorted((r.lang, r.text) for r in got.select("lang", "text").collect()))
 

@@ -28,11 +28,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import crc32_of_id, read
+from .common import crc32_of_id, least_by_hash, read
 
 PREFIXES = (4, 5, 6, 7, 8)
 _SALT = {k: np.uint64(0x9E37_79B9 * (k + 1)) for k in PREFIXES}
@@ -219,9 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: in
     ids and texts one row counts. The least hashes of ids make the sample, so it's repeatable."""
     sure = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).filter("y = z").select("doc_id", "y")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest).withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
-    ids = docs.select("doc_id", "h").join(sure, "doc_id").withColumn("rank", rank).filter(F.col("rank") <= per_class)
-    ids = ids.select("doc_id", "h", "y").distinct()  # 2 * per_class rows at most
+    ids = least_by_hash(docs.select("doc_id", "h").join(sure, "doc_id"), "y", per_class).drop("rank")  # 2 * per_class rows at most
     rows = docs.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "y").collect()
     texts = {y: [r.text for r in sorted((r for r in rows if r.y == y), key=lambda r: (r.doc_id, r.text))] for y in (0, 1)}
     return fit(texts[1], texts[0], vocabulary=vocabulary)

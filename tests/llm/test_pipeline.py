@@ -9,6 +9,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from gridloom.llm import decontaminate, language, near_dup, packing, queries, toxicity  # noqa: E402
 from gridloom.llm import token_ids  # noqa: E402
+from gridloom.llm.common import least_by_hash  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h long"
@@ -50,6 +51,19 @@ def test_language_stage(spark):
     assert [i for i, _ in rows(language.filter_rows(mixed, spark.sparkContext.broadcast(m), 0.0))] == [1, 2]
 
 
+def test_least_by_hash(spark):
+    data = [(i % 7 == 0, i, i % 3) for i in range(-400, 400)] * 2 + [(True, 9, 5), (True, 9, 4), (None, 3, 1)]
+    d = spark.createDataFrame(data, "y boolean, doc_id long, h long")
+    key = {r.doc_id: r.x for r in d.selectExpr("doc_id", "xxhash64(doc_id) as x").collect()}
+    for k in (1, 30, 1000):
+        want = []
+        for y in (False, True):
+            own = sorted({r for r in data if r[0] is y}, key=lambda r: (key[r[1]], r[1], r[2]))
+            want += [(*r, n) for n, r in enumerate(own[:k], 1)]
+        assert sorted(map(tuple, least_by_hash(d.filter("y is not null"), "y", k).collect())) == sorted(want)
+    assert least_by_hash(d.limit(0), "y", 5).count() == 0
+
+
 def test_language_training_is_repeatable_and_whole(spark):
     data = [(i, f"w{i} " * 5, f"l{i % 70}") for i in range(280)] + [(0, "w0 " * 5, "l0")] * 3 + [(None, "x", "l1"), (999, None, "l1"), (998, "y", None)]
     d = spark.createDataFrame(data, "doc_id long, text string, lang string")

@@ -26,6 +26,13 @@ STEPS = {
         cbrt(0.0883024619e0 * lr + 0.2817188376e0 * lg + 0.6299787005e0 * lb) as s from linear""",
     "oklab": """select image_id, cid, r, g, b, 0.2104542553e0 * l + 0.7936177850e0 * m - 0.0040720468e0 * s as ok_l,
         1.9779984951e0 * l - 2.4285922050e0 * m + 0.4505937099e0 * s as ok_a, 0.0259040371e0 * l + 0.7827717662e0 * m - 0.8086757660e0 * s as ok_b from lms""",
+    # the 32 opaque colours of most pixels, numbered by id, and their mean distance to the nearest other one
+    "palette": """select image_id, cid, r, g, b, row_number() over (partition by image_id order by cid) - 1 as slot from
+        (select *, row_number() over (partition by image_id order by n_opaque desc, cid desc) as rk from colours) t where rk <= 32""",
+    "gaps": """select image_id, avg(sqrt(d2)) as gap from (select a.image_id, a.cid, min((a.r - p.r) * (a.r - p.r) + (a.g - p.g) * (a.g - p.g) + (a.b - p.b) * (a.b - p.b)) as d2
+        from palette a join palette p on a.image_id = p.image_id and a.cid <> p.cid group by a.image_id, a.cid) t group by image_id""",
+    # an ordered dither's amplitude, 1.5 gaps, in 256ths of a level
+    "amplitudes": "select p.image_id, cast(floor(384 * coalesce(max(g.gap), 0) + 0.5e0) as bigint) as amp from palette p left join gaps g on p.image_id = g.image_id group by p.image_id",
     # an output whose pixels differ from the ideal in a fixed pattern
     "pairs": """select image_id, y, x, cx, transparent, r, g, b, case when (x + 2 * y) % 11 = 0 then least(63, r + 3) else r end as r2, g as g2,
         case when (x + y) % 13 = 0 then greatest(0, b - 2) else b end as b2 from idpx""",
@@ -56,13 +63,10 @@ QUERIES = {
     "kept_pixels": (16, "select image_id, count(*) as n from idpx p where exists (select 1 from entries e where e.image_id = p.image_id and e.cid = p.cid and e.palette = 0) group by image_id"),
     "palette_union": (64, "select image_id, count(*) as k_floor from (select image_id, cid from entries where palette = 0 union select image_id, cid from entries where palette = 1) u group by image_id"),
     "palette_difference": (64, "select image_id, cid from entries where palette = 0 except select image_id, cid from entries where palette = 1"),
-    "nearest_palette": (16, """select image_id, cid, near % 16777216 as near_cid, cast(floor(near / 16777216) as bigint) as d2 from
-        (select a.image_id, a.cid, min(((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b)) * cast(16777216 as bigint) + b.cid) as near
-         from colours a join colours b on a.image_id = b.image_id and b.cid % 16 = 0 group by a.image_id, a.cid) t"""),
-    "second_nearest": (16, """select image_id, round(avg(sqrt(d2)), 6) as amplitude from (select a.image_id, a.cid,
-        (a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b) as d2, row_number() over (partition by a.image_id, a.cid order by
-        (a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b), b.cid) as rk
-        from colours a join colours b on a.image_id = b.image_id and a.cid % 16 = 0 and b.cid % 16 = 0 and a.cid <> b.cid) t where rk = 1 group by image_id"""),
+    "nearest_palette": (64, """select n.image_id, n.cid, e.cid as near_cid, cast(floor(n.near / 32) as bigint) as d2 from (select a.image_id, a.cid,
+        min(((a.r - p.r) * (a.r - p.r) + (a.g - p.g) * (a.g - p.g) + (a.b - p.b) * (a.b - p.b)) * 32 + p.slot) as near from colours a join palette p on a.image_id = p.image_id group by a.image_id, a.cid) n
+        join palette e on e.image_id = n.image_id and e.slot = n.near % 32"""),
+    "second_nearest": (64, "select image_id, round(gap, 6) as amplitude from gaps"),
     "median_split": (64, """select image_id, min(cid) as first_upper, count(*) as n_upper from (select image_id, cid, sum(n) over (partition by image_id order by cid rows between unbounded preceding and current row) as run,
         sum(n) over (partition by image_id) as total from colours) t where 2 * run >= total group by image_id"""),
     "box_means": (64, "select image_id, cast(floor(cid / 32) as int) as box, count(*) as n_colours, round(sum(r * n) * 1.0e0 / sum(n), 6) as mean_r, round(sum(g * n) * 1.0e0 / sum(n), 6) as mean_g from colours group by image_id, cast(floor(cid / 32) as int)"),
@@ -98,11 +102,15 @@ def _tiles(n: int) -> str:
 
 
 for _n in (2, 4, 8):
+    _u = 2 * _n * _n
     STEPS[f"tile{_n}"] = _tiles(_n)
-    QUERIES[f"ordered_dither_bayer{_n}"] = (64, f"""select image_id, y, x, cast(near % 16777216 as bigint) as near_cid from
-        (select p.image_id, p.y, p.x, min((power(p.r * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.r * {2 * _n * _n}, 2) + power(p.g * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.g * {2 * _n * _n}, 2)
-           + power(p.b * {2 * _n * _n} + 8 * (2 * t.rank + 1 - {_n * _n}) - c.b * {2 * _n * _n}, 2)) * 16777216 + c.cid) as near
-         from {{px}} p join tile{_n} t on t.ty = p.y % {_n} and t.tx = p.x % {_n} join colours c on c.image_id = p.image_id and c.cid % 32 = 0 group by p.image_id, p.y, p.x) q""")
+    # a colour at one place of the tile always gets the same entry, so it is looked up once
+    STEPS[f"shades{_n}"] = f"""select distinct p.image_id, p.cid, p.r, p.g, p.b, t.ty, t.tx, a.amp * (2 * t.rank + 1 - {_n * _n}) as shift
+        from idpx p join tile{_n} t on t.ty = p.y % {_n} and t.tx = p.x % {_n} join amplitudes a on a.image_id = p.image_id"""
+    _d = " + ".join(f"(({c} - e.{c[2]}) * {256 * _u} + s.shift) * (({c} - e.{c[2]}) * {256 * _u} + s.shift)" for c in ("s.r", "s.g", "s.b"))
+    STEPS[f"chosen{_n}"] = f"select s.image_id, s.cid, s.ty, s.tx, min(({_d}) * 32 + e.slot) % 32 as slot from shades{_n} s join palette e on e.image_id = s.image_id group by s.image_id, s.cid, s.ty, s.tx"
+    QUERIES[f"ordered_dither_bayer{_n}"] = (64, f"""select p.image_id, p.y, p.x, cast(e.cid as bigint) as near_cid from idpx p
+        join chosen{_n} c on c.image_id = p.image_id and c.cid = p.cid and c.ty = p.y % {_n} and c.tx = p.x % {_n} join palette e on e.image_id = c.image_id and e.slot = c.slot""")
 
 
 del QUERIES["brightness_order"]

@@ -24,3 +24,29 @@ def test_ordered_dither_by_definition(spark, method):
 
 def test_blue_mask_is_whole():
     assert sorted(K.blue_noise().ravel()) == list(range(64 * 64))
+
+
+def test_sql_dither_by_definition(spark):
+    """The SQL dithers against plain sums: the 32 opaque colours of most pixels, 1.5 mean gaps as amplitude."""
+    from gridloom.plans import sql
+    from gridloom.sources.grids import vector_grid
+
+    sf = "/root/testdata/sf0.001"
+    px = vector_grid(spark, sf, 64).filter("image_id = 3").toPandas()
+    rgb = px[["r", "g", "b"]].to_numpy()
+    c, of = np.unique(rgb, axis=0, return_inverse=True)
+    n = np.bincount(of.reshape(-1), ~px.transparent, len(c))
+    ids = np.array(sorted(sorted(range(len(c)), key=lambda i: (-n[i], -i))[:32]))
+    pal = c[ids]
+    gap = np.mean([sorted(np.sqrt(((p - pal) ** 2).sum(1)))[1] for p in pal])
+    got = {r.image_id: r.amplitude for r in sql.run(spark, sf, "second_nearest").collect()}
+    assert got[3] == pytest.approx(gap, abs=1e-6)
+    near = {r.cid: r.near_cid for r in sql.run(spark, sf, "nearest_palette").filter("image_id = 3").collect()}
+    assert near == {i: ids[((c[i] - pal) ** 2).sum(1).argmin()] for i in range(len(c))}
+    amp = np.floor(384 * gap + 0.5) / 256
+    for side in (2, 4):
+        m = K.bayer(side)
+        got = {(r.y, r.x): r.near_cid for r in sql.run(spark, sf, f"ordered_dither_bayer{side}").filter("image_id = 3").collect()}
+        for y, x, v in zip(px.y, px.x, rgb, strict=True):
+            t = v + amp * ((m[y % side, x % side] + 0.5) / m.size - 0.5)
+            assert got[y, x] == ids[((t - pal) ** 2).sum(1).argmin()]

@@ -94,6 +94,20 @@ def description(text: str | None, source: str, most: int = 75) -> str:
     return ((text or "").strip() or stem.rstrip("."))[:most].rstrip()
 
 
+def redescribe(text: str, new: str) -> str:
+    """A report whose description is ``new``: in place of the rows it had, else below the input's row."""
+    wrapped = textwrap.wrap(new, COLUMNS - COLON - 2) or [""]
+    rows = [row("Description", wrapped[0], True), *map(more, wrapped[1:])]
+    lines, blank = text.rstrip("\n").split("\n"), " " * (COLON + 2)
+    of = {line[:COLON].rstrip(): k for k, line in reversed(list(enumerate(lines)))}
+    start = of.get("Description")
+    if start is None:
+        start = end = of.get("Input", 0) + 1
+    else:
+        end = next((k for k in range(start + 1, len(lines)) if not (lines[k].startswith(blank) and lines[k].strip())), len(lines))
+    return "\n".join(lines[:start] + rows + lines[end:]) + "\n"
+
+
 def report(stats: dict, title: str = "conversion report") -> str:
     """The report of a conversion from its figures, in 80 columns."""
     a, acc, np_, cap = stats["args"], stats["ideal_vs_output"], stats["palettes"], stats["usable_per_palette"]

@@ -33,6 +33,11 @@ STEPS = {
         from palette a join palette p on a.image_id = p.image_id and a.cid <> p.cid group by a.image_id, a.cid) t group by image_id""",
     # an ordered dither's amplitude, 1.5 gaps, in 256ths of a level
     "amplitudes": "select p.image_id, cast(floor(384 * coalesce(max(g.gap), 0) + 0.5e0) as bigint) as amp from palette p left join gaps g on p.image_id = g.image_id group by p.image_id",
+    # a palette's shades spread over the 80 pixels from a line's centre outwards, brightest first, widths rounded half to even
+    "shades": "select image_id, cid, luma, row_number() over (partition by image_id order by luma desc, cid) as i, count(*) over (partition by image_id) as n from (select image_id, cid, 299 * r + 587 * g + 114 * b as luma from palette) t",
+    "bounds": """select image_id, cid, luma, q0 - case when (160 * (i - 1) + n) % (2 * n) = 0 and q0 % 2 = 1 then 1 else 0 end as lo, q1 - case when (160 * i + n) % (2 * n) = 0 and q1 % 2 = 1 then 1 else 0 end as hi
+        from (select *, floor((160 * (i - 1) + n) / (2 * n)) as q0, floor((160 * i + n) / (2 * n)) as q1 from shades) t""",
+    "ramp": "select image_id, cast(79 - d as int) as x, cid, luma from bounds join range(0, 80) t(d) on d >= lo and d < hi union all select image_id, cast(80 + d as int), cid, luma from bounds join range(0, 80) t(d) on d >= lo and d < hi",
     # an output whose pixels differ from the ideal in a fixed pattern
     "pairs": """select image_id, y, x, cx, transparent, r, g, b, case when (x + 2 * y) % 11 = 0 then least(63, r + 3) else r end as r2, g as g2,
         case when (x + y) % 13 = 0 then greatest(0, b - 2) else b end as b2 from idpx""",
@@ -115,6 +120,10 @@ for _n in (2, 4, 8):
 
 del QUERIES["brightness_order"]
 QUERIES["shades_by_luma"] = (64, "select image_id, cid, luma, cast(row_number() over (partition by image_id order by luma desc, cid) as int) as shade from (select image_id, cid, 299 * r + 587 * g + 114 * b as luma from colours) t")
+QUERIES["separator_ramp"] = (64, "select image_id, x, cid from ramp")
+# a character covers two pixels and takes the brighter one's colour, of which it reaches the first 128
+QUERIES["rule_pens"] = (64, """select image_id, cast(floor(x / 2) as int) as place, cid % 128 as pen from
+    (select *, row_number() over (partition by image_id, floor(x / 2) order by luma desc, cid desc) as rk from ramp) t where rk = 1""")
 # a label in 21 columns, a colon and a value that begins with a capital
 QUERIES["report_rows"] = (64, """select image_id, line_no, rpad(label, 21, ' ') || ': ' || upper(substr(value, 1, 1)) || substr(value, 2) as line from
     (select image_id, 1 as line_no, 'Dimensions' as label, cast(max(x) + 1 as varchar(20)) || ' x ' || cast(max(y) + 1 as varchar(20)) || '  (' || cast(count(*) as varchar(20)) || ' px)' as value from {px} group by image_id

@@ -19,6 +19,9 @@ OPERATORS = {
     "op8_token_counts": "token_counts",
     "op9_exact_top_k": "topk",
     "op10_chat_formatting": "chat",
+    "op11_hard_negatives": "hard_negatives",
+    "op12_vector_codes": "vector_codes",
+    "op13_document_fingerprints": "fingerprint",
 }
 
 

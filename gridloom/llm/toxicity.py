@@ -11,7 +11,8 @@ A linear scan keeps cumulative sums and yields all maximal-scoring segments of a
 The best scores of clean sample texts, less log(words) / decay, follow an extreme-value
 (Gumbel) law; its location and scale turn a segment's score into a significance, and every
 segment under ``alpha`` is a toxic passage. A logistic curve over the best significance and
-the sum over passages, fitted on the sample, gives the document's score.
+the sum over passages, fitted on the sample, gives the document's score: the chance of a toxic
+label were both labels equally common, whatever their shares in the sample.
 
 Labels come only from rows in ``train``; labels, lang, source and doc_id are no input of a score.
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import crc32_of_id, least_by_hash, read
 
+#: Texts of fewer words are judged as if they had so many: the law of few words would be a guess.
+LEAST_WORDS = 32
 PREFIXES = (4, 5, 6, 7, 8)
 _SALT = {k: np.uint64(0x9E37_79B9 * (k + 1)) for k in PREFIXES}
 
@@ -108,7 +111,7 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
 
 def significance(m: Model, score: float, n: int) -> float:
     """-log of the chance that a clean text of n words has so good a segment."""
-    z = (score - np.log(max(n, 2)) / m.decay - m.mu) / m.beta
+    z = (score - np.log(max(n, LEAST_WORDS)) / m.decay - m.mu) / m.beta
     p = -np.expm1(-np.exp(-np.clip(z, -30, 300)))
     return float(-np.log(max(p, 1e-30)))
 
@@ -143,24 +146,32 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return keys, n, total
 
 
-def fit(toxic: list[str], clean: list[str], prior: float = 400.0, drifts: tuple[float, ...] = (0.1, 0.3, 1.0), vocabulary: int = 200_000) -> Model:
-    """Each half of the sample is scored by the log-odds of the other; that calibrates the
-    curve and picks the drift, and the model keeps the log-odds of the whole sample."""
+def fit(toxic: list[str], clean: list[str], prior: float = 400.0, drifts: tuple[float, ...] = (0.1, 0.3, 1.0), vocabulary: int = 200_000, folds: int = 10) -> Model:
+    """Each of ``folds`` parts of the sample is scored by the log-odds of the others, almost as
+    many texts as the whole has, so a small sample's curve fits its model too; that calibrates the curve
+    and picks the drift, and the model keeps the log-odds of the whole sample."""
     if not toxic or not clean:
         return Model(share=float(bool(toxic)))
+    parts = [[_counts(texts[k::folds]) for k in range(folds)] for texts in (toxic, clean)]
     rows = []
-    for k in (0, 1):
-        m = _odds(toxic[k::2] or toxic, clean[k::2] or clean, prior, vocabulary)
-        rows += [(y, x) for y, texts in ((1, toxic[1 - k :: 2]), (0, clean[1 - k :: 2])) for x in _texts_scores(m, texts)]
-    m = _odds(toxic, clean, prior, vocabulary)
+    for k in range(folds):
+        rest = [_merged(p[:k] + p[k + 1 :]) for p in parts]
+        m = _odds(*rest, prior, vocabulary)
+        rows += [(y, x) for y, texts in ((1, toxic[k::folds]), (0, clean[k::folds])) for x in _texts_scores(m, texts)]
+    m = _odds(*map(_merged, parts), prior, vocabulary)
     tried = [_calibrate(replace(m, drift=d), [(y, x - d) for y, x in rows]) for d in drifts]
     return min(tried, key=lambda t: t[0])[1]
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    keys, inv = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
+    return keys, np.bincount(inv, np.concatenate([n for _, n, _ in parts]), len(keys)), sum(t for _, _, t in parts)
+
+
 def _calibrate(m: Model, rows: list[tuple[int, np.ndarray]]) -> tuple[float, Model]:
     """Log loss of the curve, and the model with its extreme-value law and curve fitted."""
     top = np.array([max((v for *_, v in segments(x)), default=0.0) for y, x in rows if not y])
-    n = np.array([max(2, len(x)) for y, x in rows if not y])
+    n = np.array([max(LEAST_WORDS, len(x)) for y, x in rows if not y])
     # decay of the score's tail, from the excesses over the upper quarter
     q = np.quantile(top, 0.75)
     over = top[top > q] - q
@@ -170,20 +181,19 @@ def _calibrate(m: Model, rows: list[tuple[int, np.ndarray]]) -> tuple[float, Mod
     m.mu = float(rest.mean()) - 0.5772 * m.beta
     x = np.array([(1.0, np.log1p(b), t) for b, t, _ in (features(m, v) for _, v in rows)])
     y = np.array([float(y) for y, _ in rows])
-    m.weights = _logistic(x, y)
+    m.weights = _logistic(x, y, np.where(y == 1, (1 - y).sum() / y.sum(), 1.0))
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30))), 1e-9, 1 - 1e-9)
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()), m
 
 
-def _odds(toxic: list[str], clean: list[str], prior: float, vocabulary: int) -> Model:
-    k1, c1, n1 = _counts(toxic)
-    k0, c0, n0 = _counts(clean)
+def _odds(toxic: tuple[np.ndarray, np.ndarray, int], clean: tuple[np.ndarray, np.ndarray, int], prior: float, vocabulary: int) -> Model:
+    (k1, c1, n1), (k0, c0, n0) = toxic, clean
     keys, inv = np.unique(np.concatenate([k1, k0]), return_inverse=True)
     a = np.bincount(inv[: len(k1)], c1, len(keys))
     b = np.bincount(inv[len(k1) :], c0, len(keys))
     keep = a + b >= 3
     keys, a, b = keys[keep], a[keep], b[keep]
-    alpha = prior * (a + b) / max(1, n1 + n0)  # the prior's counts, spread like the pooled ones
+    alpha = np.maximum(0.5, prior * (a + b) / max(1, n1 + n0))  # the prior's counts, spread like the pooled ones, half a count at least
     odds = lambda c, n: np.log((c + alpha) / (n + prior - c - alpha))
     d = odds(a, n1) - odds(b, n0)
     d = np.sign(d) * np.maximum(0, np.abs(d) - np.sqrt(1 / (a + alpha) + 1 / (b + alpha)))
@@ -199,13 +209,13 @@ def _texts_scores(m: Model, texts: list[str]) -> Iterator[np.ndarray]:
             yield x[at[i] : at[i + 1]]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     """Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 0.1 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + 0.1 * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:

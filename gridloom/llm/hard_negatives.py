@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, read, small_side
-from .vectors import LEAST, MOST, dots, matrix, scaled
+from .common import drop, materialize, read
+from .vectors import LEAST, MOST, dots, grid, matrix, ranked, scaled
 
 #: Components of a part, entries of its codebook, vectors that codebooks are fitted on.
 WIDTH, ENTRIES, SAMPLE = 2, 256, 4096
@@ -161,26 +161,6 @@ def negatives_of(books, k: int, low_pct: int, high_pct: int):
     return run
 
 
-def grid(anchors: DataFrame, rows: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
-    """``kernel`` on every group of anchors with every group of rows of equal ``keys``. Group numbers
-    come from the rows' numbers in their files, so repeated or hot values spread as others do."""
-    n = materialize(rows.groupBy(keys).agg(F.count("*").alias("n")).join(anchors.groupBy(keys).agg(F.count("*").alias("m")), keys))
-    n = small_side(n.select(*keys, F.ceil(F.col("n") / ROWS).alias("n"), F.ceil(F.col("m") / ANCHORS).alias("m")))
-    at = F.monotonically_increasing_id()
-    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = anchors.withColumn("at", at).join(n, keys).withColumn("a", F.pmod("at", "m")).withColumn("b", all_of("n")).drop("n", "m", "at")
-    right = rows.withColumn("at", at).join(n, keys).withColumn("b", F.pmod("at", "n")).withColumn("a", all_of("m")).drop("n", "m", "at")
-    by = [*keys, "a", "b"]
-    left = left.toDF(*left.columns)  # columns of its own, as both may come from one table
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(kernel, schema)
-
-
-def ranked(found: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The first k of each ``by``, of at most k rows a group of the grid."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def index(rows: DataFrame, scale: float) -> tuple[DataFrame, dict]:
     """All usable rows with codes and residual norms, written; and the codebooks of each vector length."""
     spark = rows.sparkSession
@@ -216,11 +196,11 @@ def hard_negatives(rows: DataFrame, anchors: str, scale: float = 256.0, k_positi
     with scores of ``low_pct`` to ``high_pct`` percent of the positive's."""
     coded, books = index(rows, scale)
     asked = coded.filter(anchors).drop("code", "rest")
-    found = grid(asked.select("vec_id", "label", "d", "v"), coded, ["d", "label"], positives_of(books, k_positives), "anchor_id long, vec_id long, score long")
+    found = grid(asked.select("vec_id", "label", "d", "v"), coded, ["d", "label"], positives_of(books, k_positives), "anchor_id long, vec_id long, score long", ANCHORS, ROWS)
     pos = ranked(found, ["anchor_id"], k_positives).groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("p"))
     pos = pos.select(F.col("anchor_id").alias("vec_id"), F.col("p.vec_id").alias("positives"), F.col("p.score").alias("scores"))
     asked = materialize(asked.join(pos, "vec_id"))
-    found = grid(asked, coded, ["d"], negatives_of(books, k, low_pct, high_pct), "anchor_id long, positive_id long, positive_score long, vec_id long, score long")
+    found = grid(asked, coded, ["d"], negatives_of(books, k, low_pct, high_pct), "anchor_id long, positive_id long, positive_score long, vec_id long, score long", ANCHORS, ROWS)
     out = ranked(found, ["anchor_id", "positive_id"], k)
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

@@ -13,11 +13,11 @@ query group so far (equal bounds stay, ties count). A node's children are bounde
 and its leaves are met as one block. Where vectors are spread evenly over many dimensions no
 bound is tight and the search meets all pairs of leaves; clustered vectors are pruned.
 
-Candidates stream by partition, a tree for each ``TREE`` rows, and keep a task's running best;
-tasks return k rows a query, merged by a rank. Queries go in blocks of ``block``, each broadcast
-by itself. Scores are exact: in doubles while these hold them, else in unbounded integers.
+Work is dealt in a grid: ``block`` queries meet about ``TREE`` candidates in one group, all groups side
+by side and none through the driver; each returns k rows a query, merged by a rank. Scores are
+exact: in doubles while these hold them, else in unbounded integers.
 
-Cases: vectors null, empty, or with null or non-finite components and rows with a null id
+Cases: vectors null, empty, or with components that are null or, 1024-fold, not finite and rows with a null id
 take no part; vectors of another length than a query's aren't compared with it; a query's
 own row is any row with its id; repeated rows each count as a candidate, and a repeated
 query id is one query, with its least vector; a score beyond 64 bits is the nearest number of
@@ -30,16 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
+from .vectors import BIG, LEAST, MOST, grid, matrix, ranked, scaled, whole
 
 LEAF, FEW = 32, 4
 #: Rows of a tree, at most.
 TREE = 16384
-BIG = 2.0**53
-_MOST, _LEAST = 2**63 - 1, -(2**63)
 
 
 class Tree:
@@ -59,7 +58,7 @@ class Tree:
         while stack:
             lo, hi, c, parent, d = stack.pop()
             me, far = len(self.centre), float(d.max()) if len(d) else 0.0
-            i = int(np.ceil(np.log2(far))) if far > 0 else -1
+            i = int(np.ceil(np.log2(far))) if 0 < far < np.inf else -1
             self.centre.append(c)
             self.level.append(i)
             radius.append(far * (1 + 1e-9) + 1e-9)
@@ -68,7 +67,7 @@ class Tree:
             self.kids.append(np.zeros(0, np.int64))
             if parent >= 0:
                 self.kids[parent] = np.append(self.kids[parent], me)
-            if hi - lo > leaf and far > 0:
+            if hi - lo > leaf and 0 < far < np.inf:  # squares beyond doubles leave a leaf of all
                 stack += [(a, b, k, me, near) for a, b, k, near in self._split(lo, hi, c, 2.0 ** (i - 1))]
         self.radius = np.array(radius)
         self.c = x[self.centre] if len(x) else x
@@ -132,11 +131,11 @@ class Best:
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Inner products, as integers without bound where doubles don't hold them."""
+    """Inner products; where doubles don't hold them, as integers without bound, cut to 64 bits."""
     if not len(q) or not len(p) or np.abs(q).max() * np.abs(p).max() * q.shape[1] < BIG:
         return q @ p.T
-    whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], object)
-    return whole(q) @ whole(p).T
+    s = whole(q) @ whole(p).T
+    return np.array([max(LEAST, min(MOST, v)) for v in s.ravel()], object).reshape(s.shape)
 
 
 def search(q: Tree, p: Tree, ids: np.ndarray, best: Best) -> int:
@@ -149,6 +148,8 @@ def search(q: Tree, p: Tree, ids: np.ndarray, best: Best) -> int:
         rows = q.order[q.lo[a] : q.hi[a]]
         worst = float(best.score[rows, -1].min())
         up = p.c[nodes] @ q.c[a] + q.radius[a] * p.norm[nodes] + p.radius[nodes] * (q.norm[a] + q.radius[a])
+        up = np.where(np.isnan(up) | (np.abs(p.c[nodes]).max(1) * np.abs(q.c[a]).max() > 1e290), np.inf, up)  # nothing is known beyond doubles
+        up = np.maximum(up, float(LEAST))  # as scores are
         keep = up + 1e-6 + 1e-9 * np.abs(up) >= worst
         nodes, up = nodes[keep], up[keep]
         if not len(nodes):
@@ -179,86 +180,37 @@ def search(q: Tree, p: Tree, ids: np.ndarray, best: Best) -> int:
     return met
 
 
-def _vectors(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and integer vectors of usable rows, by length."""
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    ids, col = batch.column(0), batch.column(1)
-    size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    valid = ids.is_valid().to_numpy(zero_copy_only=False)
-    for d in np.unique(size[valid & (size > 0)]):
-        at = np.flatnonzero(valid & (size == d))
-        part = col.take(pa.array(at))
-        x = part.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, int(d))
-        ok = np.isfinite(x).all(1)
-        out[int(d)] = (ids.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)[ok], np.floor(1024.0 * x[ok]))
-    return out
-
-
-def _task(blocks, k: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {d: (Tree(x, FEW), ids, float(np.abs(x).max())) for d, (ids, x) in blocks.value.items()}
-        plain = {d: Best(ids, k) for d, (_, ids, _) in trees.items()}
-        exact = {d: Best(ids, k, exact=True) for d, (_, ids, _) in trees.items()}
-        held: dict[int, list] = {d: [] for d in trees}
-
-        def meet(d: int) -> None:
-            if not held[d]:
-                return
-            ids, x = (np.concatenate([h[i] for h in held[d]]) for i in (0, 1))
-            held[d].clear()
-            big = np.abs(x).max(1) * trees[d][2] * d >= BIG
-            for best, at in ((plain, ~big), (exact, big)):
+def _meet(k: int):
+    """Of a grid's group: the k best candidates of each query, by trees of both."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        parts = [pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})]
+        if not asked.num_rows or not rows.num_rows:
+            return parts[0]
+        d = rows.column("d")[0].as_py()
+        q, x = matrix(asked.column("v"), d), matrix(rows.column("v"), d)
+        mine, ids = asked.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
+        with np.errstate(all="ignore"):
+            big = np.abs(x).max(1) * np.abs(q).max() * d >= BIG
+            for exact, at in ((False, ~big), (True, big)):
                 if at.any():
-                    search(trees[d][0], Tree(x[at]), ids[at], best[d])
-
-        for batch in it:
-            for d, (ids, x) in _vectors(batch).items():
-                if d in trees and len(x):
-                    held[d].append((ids, x))
-                    if sum(len(h[0]) for h in held[d]) >= TREE:
-                        meet(d)
-        for d in trees:
-            meet(d)
-            for best in (plain[d], exact[d]):
-                i, j = np.nonzero(best.score != -np.inf)
-                score = [max(_LEAST, min(_MOST, int(v))) for v in best.score[i, j]]
-                yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.vec[i, j]), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+                    best = Best(mine, k, exact)
+                    search(Tree(q, FEW), Tree(x[at]), ids[at], best)
+                    i, j = np.nonzero(best.score != -np.inf)
+                    score = [int(v) for v in best.score[i, j]]
+                    parts.append(pa.table([mine[i], best.vec[i, j], pa.array(score, pa.int64())], names=parts[0].column_names))
+        return pa.concat_tables(parts)
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, tree: int = TREE) -> DataFrame:
     """Per query the k best rows of ``vectors(vec_id, embedding)``: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    usable = "vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable)
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    out: list[DataFrame] = []
-    held: list = []
-
-    def flush(last: bool) -> None:
-        if not held and out:
-            return
-        by: dict[int, list] = {}
-        for r in held:
-            by.setdefault(len(r.embedding), []).append(r)
-        shared = spark.sparkContext.broadcast({d: (np.array([r.vec_id for r in rs], np.int64), np.floor(1024.0 * np.array([r.embedding for r in rs]))) for d, rs in by.items()})
-        part = vectors.mapInArrow(_task(shared, k), "query_id long, vec_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        part = part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        out.append(part if last and not out else materialize(part))
-        held.clear()
-
-    for r in asked.toLocalIterator():  # a block at a time is held
-        held.append(r)
-        if len(held) == block:
-            flush(False)
-    flush(True)
-    r = out[0]
-    for x in out[1:]:
-        r = r.unionByName(x)
-    return r
+    rows = materialize(scaled(vectors.filter("vec_id is not null"), 1024.0, ["vec_id"]).withColumn("d", F.size("v")))
+    asked = scaled(queries.filter("vec_id is not null"), 1024.0, ["vec_id"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = materialize(asked.withColumn("d", F.size("v")))
+    found = grid(asked, rows, ["d"], _meet(k), "query_id long, vec_id long, score long", block, tree)
+    return ranked(found, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

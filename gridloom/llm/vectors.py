@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize, small_side
+
 #: Integers below this are exact in doubles, and so are sums and products that stay below it.
 BIG = 2.0**53
 MOST, LEAST = 2**63 - 1, -(2**63)
@@ -51,3 +53,24 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a) or np.abs(a).max() * np.abs(b).max() * a.shape[1] < BIG:
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     return np.array([max(LEAST, min(MOST, int(s))) for s in (whole(a) * whole(b)).sum(1)], np.int64)
+
+
+def grid(asked: DataFrame, rows: DataFrame, keys: list[str], kernel, schema: str, block: int, size: int) -> DataFrame:
+    """``kernel`` on every group of about ``block`` rows of ``asked`` with every group of about ``size`` of
+    ``rows`` of equal ``keys``, all groups side by side. Group numbers come from the rows' numbers in
+    their files (both are written tables), so repeated or hot values spread as others do."""
+    n = materialize(rows.groupBy(keys).agg(F.count("*").alias("n")).join(asked.groupBy(keys).agg(F.count("*").alias("m")), keys))
+    n = small_side(n.select(*keys, F.ceil(F.col("n") / size).alias("n"), F.ceil(F.col("m") / block).alias("m")))
+    at = F.monotonically_increasing_id()
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = asked.withColumn("at", at).join(n, keys).withColumn("a", F.pmod("at", "m")).withColumn("b", all_of("n")).drop("n", "m", "at")
+    right = rows.withColumn("at", at).join(n, keys).withColumn("b", F.pmod("at", "n")).withColumn("a", all_of("m")).drop("n", "m", "at")
+    by = [*keys, "a", "b"]
+    left = left.toDF(*left.columns)  # columns of its own, as both may come from one table
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(kernel, schema)
+
+
+def ranked(found: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The first k of each ``by``, of at most k rows a group of the grid, with their ``rank``."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

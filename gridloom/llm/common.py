@@ -79,6 +79,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the like, that no column of ``df`` has, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def crc32_of_id(c: str) -> Column:
     return F.crc32(F.col(c).cast("string").cast("binary"))
 

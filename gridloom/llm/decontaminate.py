@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, bytes_of, materialize, read
+from .common import BROADCAST_BYTES, bytes_of, fresh, materialize, read
 
 #: A run of characters that belong to no word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,11 +136,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    own = docs.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")))
-    bad = materialize(contamination(own.select("key", F.col("text").cast("string").alias("text")), bench).filter("contaminated").select("key"))
+    """The rows of ``docs`` that aren't contaminated, with all their columns, whatever their names."""
+    key = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    own = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    bad = materialize(contamination(own, bench).filter("contaminated").select("key"))
+    mine = fresh(docs, "key")
+    bad = bad.withColumnRenamed("key", f"{mine}_bad")
     side = F.broadcast(bad) if bytes_of(bad) <= BROADCAST_BYTES else bad
-    return own.join(side, own["key"].eqNullSafe(side["key"]), "left_anti").select(*docs.columns)
+    return docs.withColumn(mine, key).join(side, F.col(mine).eqNullSafe(F.col(f"{mine}_bad")), "left_anti").select(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

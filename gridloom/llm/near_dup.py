@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, drop, materialize, read, small_side
+from .common import components, drop, fresh, materialize, read, small_side
 
 U = np.uint64
 NO_ID = -(2**63)
@@ -302,15 +302,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """A row with the least doc_id of each group, with all columns of ``docs``.
+    """A row with the least doc_id of each group, with all columns of ``docs``, whatever their names.
 
-    Of repeated rows one stays; texts under one doc_id are told apart. Rows without a set
-    (wordless texts) and rows without an id all stay.
+    Of rows with equal doc_id and text one stays, any of them if other columns differ; texts under one
+    doc_id are told apart. Rows without a set (wordless texts) and rows without an id all stay.
     """
-    key = ["doc_id", "_text_key"]
-    g = grouped(docs).withColumnRenamed("h", "_text_key").filter("doc_id is not null")
+    mine = fresh(docs, "_text_key")
+    key = ["doc_id", mine]
+    g = grouped(docs).withColumnRenamed("h", mine).filter("doc_id is not null")
     heads = g.filter("comp is not null and doc_id = class_id").groupBy("comp").agg(F.min(F.struct(*key)).alias("k")).select("k.*").distinct()
     bare = g.filter("comp is null").select(*key).distinct()
-    own = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    own = docs.withColumn(mine, F.xxhash64(F.col("text").cast("string")))
     kept = own.join(heads, key, "left_semi").dropDuplicates(key)
     return kept.unionByName(own.join(bare, key, "left_semi")).unionByName(own.filter("doc_id is null")).select(*docs.columns)

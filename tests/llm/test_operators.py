@@ -47,7 +47,9 @@ def test_near_duplicates_by_brute_force(spark, whole):
         least = [min([least[i], *(least[j] for j in near[i])]) for i in range(len(t))]
     assert [(got[i].n_links, got[i].class_id) for i in range(len(t))] == [(len(x), c) for x, c in zip(near, least, strict=True)]
     assert got[80].copy_id == 0
-    assert near_dup.keep_one(docs(spark, enumerate(t))).columns == docs(spark, []).columns
+    own = docs(spark, enumerate(t)).withColumn("_text_key", common.F.lit("own"))
+    kept = near_dup.keep_one(own)
+    assert kept.columns == own.columns and {(r.key, r["_text_key"]) for r in kept.collect()} == {("clash", "own")}
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -87,7 +89,8 @@ def test_decontamination(spark, limit):
     hit = {k: (r.n_words, r.n_hit, r.n_items, r.contaminated) for k, r in got.items()}
     assert hit == {0: (120, 20, 2, True), 1: (2, 2, 1, True), 2: (0, 0, 0, False), 3: (0, 0, 0, False), 4: (3, 2, 1, True), 5: (4, 0, 0, False), None: (20, 20, 2, True), 6: (12, 2, 1, True)}
     assert got[0].items_sha256 == hashlib.sha256(b"1,2").hexdigest() and got[2].items_sha256 == hashlib.sha256(b"").hexdigest()
-    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs(spark, rows), bench).collect()) == [2, 3, 5]
+    kept = decontaminate.keep_clean(docs(spark, rows).withColumn("KEY_bad", decontaminate.F.lit(1)), bench)
+    assert sorted(tuple(r) for r in kept.collect()) == [(i, t, "en", "s", len(t or ""), "clash", 1, 1) for i, t in rows if i in (2, 3, 5)]
     assert decontaminate.contamination(d.select("key", "text").limit(0), bench).count() == 0
     assert decontaminate.contamination(d.select("key", "text"), bench.limit(0)).filter("n_hit > 0").count() == 0
 
@@ -168,7 +171,7 @@ def test_packing_counts_and_files(spark):
         x = np.append(ids[r.doc_id], 2).astype("<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(x), zlib.crc32(x.tobytes()))
         at += len(x)
-    assert token_file.read_segments(token_file.write_ids(d.limit(0))).count() == packing.pack(d.limit(0)).count() == limits.limit(0).count() == 0
+    assert token_file.read_segments(token_file.write_ids(d.limit(0))).count() == packing.pack(d.limit(0)).count() == token_counts.limits(token_counts.histogram(d.limit(0))).count() == 0
 
 
 def coder(spark):
@@ -317,7 +320,7 @@ def test_top_k(spark, block):
     v[7], v[9] = v[8], v[8]
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(900, None, 0), (1000, [1.0, None], 0), (1100, [float("nan")] * 8, 0), (None, [1.0] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), block=block).collect()
+    got = topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), block=block, tree=100 * block).collect()
     q = np.floor(1024 * v.astype(float))
     for i in range(0, 400, 50):
         want = sorted((-int(q[i] @ q[j]), j) for j in range(400) if j != i)[:10]
@@ -325,6 +328,19 @@ def test_top_k(spark, block):
     assert len(got) == 80 and topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Squares, and products, beyond doubles; a score beyond 64 bits is the nearest number of 64 bits."""
+    rng = random.Random(3)
+    v = [[rng.choice([-1, 1]) * 10.0 ** rng.choice([0, 6, 12, 160, 300]) for _ in range(4)] for _ in range(150)]
+    df = spark.createDataFrame([*enumerate(v), (900, [1e306] * 4)], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), tree=60).collect()
+    q = [[math.floor(1024 * x) for x in r] for r in v]
+    dot = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
+    for i in (0, 50, 100):
+        want = sorted((-dot(q[i], q[j]), j) for j in range(150) if j != i)[:10]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want
+
+
 def frame(role, text):
     esc = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
     return "<|im_start|>" + esc(role).replace("\n", "\\n") + "\n" + esc(text) + "<|im_end|>\n"

@@ -144,3 +144,65 @@ def test_pipeline_runs_whole(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_duplicates", "decontamination", "packing"]
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 100
+
+
+def written(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, h long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_op5_query_learns_only_from_its_rows(spark, tmp_path):
+    """Columns by plain Python; labels, languages and sources of held-out rows change nothing."""
+    import random
+
+    rng = random.Random(1)
+    base = {l: [f"{l}{rng.randrange(10**4)}" for _ in range(80)] for l in ("alpha", "beta")}
+    bad = {"alpha": [f"vile{i}" for i in range(5)], "beta": [f"schurk{i}" for i in range(5)]}
+    docs, labels = [], []
+    for i in range(900):
+        l, toxic = ("beta" if i % 4 == 0 else "alpha"), int(rng.random() < 0.12)
+        w = [rng.choice(base[l]) for _ in range(rng.choice([5, 40, 200]))]
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad[l]))
+        docs.append((i, " ".join(w), l, "s", 1, 1))
+        labels.append((i, 1, toxic))
+    truth = dict((i, y) for i, _, y in labels)
+    docs += [(2000, None, "alpha", None, None, 1), (2001, "", None, "s", 0, 1), (None, docs[0][1], None, "s", 1, 1), docs[3], (2002, docs[1][1] + " word" * 60_000, "alpha", "s", 1, 1)]
+    out = lambda r: zlib.crc32(str(r).encode()) % 3 == 1 if r is not None else False
+    got = toxicity.op5_toxicity(spark, written(spark, tmp_path / "a", docs, [*labels, (None, 1, 1), (5000, 1, 1), (2001, 0, None)])).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((d[0] for d in docs), key=repr)
+    assert all(r.held_out == out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    for l in ("alpha", "beta"):
+        hard = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth and docs[r.doc_id][2] == l]
+        assert sum(y and p for y, p in hard) >= 0.8 * sum(y for y, _ in hard) > 0
+        assert sum(p and not y for y, p in hard) <= 0.05 * len(hard)
+    other = [(i, 1 - q, 1 - y if out(i) else y) for i, q, y in labels]
+    again = toxicity.op5_toxicity(spark, written(spark, tmp_path / "b", [(i, t, "x", "y", 7, 2) for i, t, *_ in docs], other)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_op6_query_learns_only_from_its_rows(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice((EN, DE)[i % 2].split()) for _ in range(rng.choice([3, 30, 300]))), ("en", "de")[i % 2], "s", 1, 1) for i in range(400)]
+    docs += [(900, None, "en", "s", 1, 1), (901, "12 ?!", "de", "s", 1, 1), (902, "", None, None, 0, 1), (None, EN, None, "s", 1, 1), docs[7], (903, DE * 4000, None, "s", 1, 1)]
+    out = lambda r: zlib.crc32(str(r).encode()) % 5 == 0 if r is not None else False
+    got = language.op6_language_id(spark, written(spark, tmp_path / "a", docs, [])).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((d[0] for d in docs), key=repr)
+    assert all(r.held_out == out(r.doc_id) and 0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in got)
+    pred = {r.doc_id: r.lang_pred for r in got}
+    assert {i for i, l in pred.items() if l == "und"} == {900, 901, 902} and pred[903] == "de" and pred[None] == "en"
+    assert all(pred[i] == l for i, _, l, *_ in docs[:400] if out(i))
+    other = [(i, t, {"en": "de", "de": "en", None: "en"}[l] if out(i) else l, "z", 2, 3) for i, t, l, *_ in docs]
+    again = language.op6_language_id(spark, written(spark, tmp_path / "b", other, [])).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_queries_and_pipeline_of_empty_tables(spark, tmp_path):
+    d = written(spark, tmp_path / "e", [], [])
+    assert toxicity.op5_toxicity(spark, d).count() == language.op6_language_id(spark, d).count() == 0
+    assert queries.queries()["op8_token_counts"](spark, d).count() == 0
+    assert corpus_pipeline.run(spark, d).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; in a session of one process that names none, in its warehouse."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -21,14 +21,14 @@ def colour_components(cells: DataFrame) -> DataFrame:
     """(image_id, cid, comp) from cells(image_id, y, cx, cid): colours that share a cell,
     directly or through others, get the least cid among them. Labels spread over cells and
     then jump to their label's label, until none changes; an image's colours bound the rounds."""
-    edges = _cut(cells.select("image_id", "y", "cx", "cid").distinct())
-    lab = _cut(edges.select("image_id", "cid", F.col("cid").alias("comp"), F.lit(True).alias("moved")).distinct())
+    edges = cut(cells.select("image_id", "y", "cx", "cid").distinct())
+    lab = cut(edges.select("image_id", "cid", F.col("cid").alias("comp"), F.lit(True).alias("moved")).distinct())
     while True:
         low = edges.join(lab.select("image_id", "cid", "comp"), ["image_id", "cid"]).groupBy("image_id", "y", "cx").agg(F.min("comp").alias("low"))
         near = edges.join(low, ["image_id", "y", "cx"]).groupBy("image_id", "cid").agg(F.min("low").alias("near"))
         jump = near.select("image_id", F.col("cid").alias("near"), F.col("near").alias("jump"))
         new = near.join(jump, ["image_id", "near"]).select("image_id", "cid", F.least("near", "jump").alias("new"))
-        lab = _cut(new.join(lab.select("image_id", "cid", "comp"), ["image_id", "cid"]).select("image_id", "cid", F.col("new").alias("comp"), (F.col("new") != F.col("comp")).alias("moved")))
+        lab = cut(new.join(lab.select("image_id", "cid", "comp"), ["image_id", "cid"]).select("image_id", "cid", F.col("new").alias("comp"), (F.col("new") != F.col("comp")).alias("moved")))
         if not lab.filter("moved").head(1):
             return lab.select("image_id", "cid", "comp")
 

@@ -1,8 +1,11 @@
-"""Resampling of pixel rows as two weighted joins, one along each axis.
-
-An output line or column is a weighted sum of input ones within a filter's support, widened when
-shrinking. Weights are rounded to 22 bits and results to whole values after each axis, so results
-are exact integers. ``nearest`` picks the pixel at an output's middle.
+"""Resampling of images of any sizes as two weighted joins, one along each axis.
+
+Each image's size says which part of it is taken, what size that gets and where it stands
+(``geometry``); each pair of an input and an output size that occurs has one table of weights
+(``taps``), and pixels meet it by pair and position. An output line or column is a weighted sum of
+input ones within a filter's support, widened when shrinking. Weights are rounded to 22 bits and
+results to whole values after each axis, so results are exact integers. ``nearest`` picks the pixel
+at an output's middle.
 """
 
 from __future__ import annotations
@@ -10,86 +13,94 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 22
 
 
-def _sinc(x: float) -> float:
-    return math.sin(math.pi * x) / (math.pi * x) if x else 1.0
+def _sinc(x: Column) -> Column:
+    return F.when(x == 0, F.lit(1.0)).otherwise(F.sin(math.pi * x) / (math.pi * x))
+
 
+def _cubic(x: Column) -> Column:
+    x = F.abs(x)
+    return F.when(x < 1, 1.5 * x * x * x - 2.5 * x * x + 1).when(x < 2, -0.5 * (x * x * x - 5 * x * x + 8 * x - 4)).otherwise(0.0)
 
-def _cubic(x: float) -> float:
-    x = abs(x)
-    return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * (x**3 - 5 * x**2 + 8 * x - 4) if x < 2 else 0.0
+
+def _hamming(x: Column) -> Column:
+    return F.when(F.abs(x) < 1, _sinc(x) * (0.54 + 0.46 * F.cos(math.pi * x))).otherwise(0.0)
 
 
 #: Filters: half width and shape.
-FILTERS: dict[str, tuple[float, Callable[[float], float]]] = {
-    "box": (0.5, lambda x: float(-0.5 < x <= 0.5)),
-    "bilinear": (1.0, lambda x: max(0.0, 1 - abs(x))),
-    "hamming": (1.0, lambda x: _sinc(x) * (0.54 + 0.46 * math.cos(math.pi * x)) if abs(x) < 1 else 0.0),
+FILTERS: dict[str, tuple[float, Callable[[Column], Column]]] = {
+    "box": (0.5, lambda x: F.when((x > -0.5) & (x <= 0.5), 1.0).otherwise(0.0)),
+    "bilinear": (1.0, lambda x: F.greatest(F.lit(0.0), 1 - F.abs(x))),
+    "hamming": (1.0, _hamming),
     "bicubic": (2.0, _cubic),
-    "lanczos": (3.0, lambda x: _sinc(x) * _sinc(x / 3) if abs(x) < 3 else 0.0),
+    "lanczos": (3.0, lambda x: F.when(F.abs(x) < 3, _sinc(x) * _sinc(x / 3)).otherwise(0.0)),
 }
 
 
-def taps(size: int, to: int, name: str) -> list[tuple[int, int, int]]:
-    """(output, input, weight) of a resampling from ``size`` to ``to``; weights of 22 bits."""
-    scale = size / to
+def taps(pairs: DataFrame, name: str) -> DataFrame:
+    """Weights of all resamplings of ``pairs(size, to)``: size, to, o, i, w, where output o gets w / 2^22 of
+    input i. One row makes its own weights, so nothing is shuffled."""
+    t = pairs.withColumn("scale", F.col("size").cast("double") / F.col("to")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("to") - 1)))
+    middle = (F.col("o") + 0.5) * F.col("scale")
     if name == "nearest":
-        return [(o, min(size - 1, int((o + 0.5) * scale)), 1 << BITS) for o in range(to)]
+        return t.select("size", "to", "o", F.least(F.col("size") - 1, F.floor(middle)).cast("int").alias("i"), F.lit(1 << BITS).cast("long").alias("w"))
     half, shape = FILTERS[name]
-    wide, out = max(scale, 1.0), []
-    for o in range(to):
-        middle = (o + 0.5) * scale
-        lo, hi = max(0, int(middle - half * wide + 0.5)), min(size, int(middle + half * wide + 0.5))
-        w = [shape((i - middle + 0.5) / wide) for i in range(lo, hi)]
-        total = sum(w) or 1.0
-        out += [(o, i, math.floor(v / total * (1 << BITS) + 0.5) if v >= 0 else math.ceil(v / total * (1 << BITS) - 0.5)) for i, v in zip(range(lo, hi), w, strict=True)]
-    return [t for t in out if t[2]]
-
-
-def geometry(w: int, h: int, to_w: int, to_h: int, fit: str = "stretch", aspect: float = 4 / 3) -> tuple[tuple[int, int, int, int], tuple[int, int], tuple[int, int]]:
-    """Part of the source (x, y, width, height), size it gets, and where it stands in the target."""
-    box, inner = (0, 0, w, h), (to_w, to_h)
+    t = t.withColumn("wide", F.greatest(F.col("scale"), F.lit(1.0))).withColumn("middle", middle)
+    edge = lambda sign: F.floor(F.col("middle") + sign * half * F.col("wide") + 0.5).cast("int")
+    t = t.withColumn("lo", F.greatest(F.lit(0), edge(-1))).withColumn("hi", F.least(F.col("size"), edge(1)))
+    t = t.withColumn("v", F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: shape((i - F.col("middle") + 0.5) / F.col("wide")).cast("double")))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    t = t.withColumn("total", F.when(total == 0, 1.0).otherwise(total)).select("size", "to", "o", "lo", "total", F.posexplode("v").alias("k", "v"))
+    w = F.signum("v") * F.floor(F.abs(F.col("v") / F.col("total")) * (1 << BITS) + 0.5)
+    return t.select("size", "to", "o", (F.col("lo") + F.col("k")).alias("i"), w.cast("long").alias("w")).filter("w <> 0")
+
+
+def geometry(sizes: DataFrame, to: tuple[int, int], fit: str = "stretch", aspect: float = 4 / 3) -> DataFrame:
+    """Beside ``sizes(width, height)``: the part taken (x0, y0, w, h), the size it gets (iw, ih), and where
+    it stands in the target (ox, oy). ``cover`` cuts the middle out, ``fit`` leaves room at two sides;
+    roundings are half to even."""
+    width, height, (tw, th) = F.col("width"), F.col("height"), to
+    whole = lambda c: F.rint(c).cast("int")
+    own = width.cast("double") / height
+    w, h, iw, ih = width, height, F.lit(tw), F.lit(th)
     if fit == "cover":
-        if w / h > aspect:
-            n = round(h * aspect)
-            box = ((w - n) // 2, 0, n, h)
-        else:
-            n = round(w / aspect)
-            box = (0, (h - n) // 2, w, n)
+        w = F.when(own > aspect, whole(height * F.lit(float(aspect)))).otherwise(width)
+        h = F.when(own > aspect, height).otherwise(whole(width / F.lit(float(aspect))))
     elif fit == "fit":
-        pixel = aspect * to_h / to_w  # a target pixel's own width over height
-        gw, gh = to_w, round(to_w * pixel / (w / h))
-        if gh > to_h:
-            gw, gh = round(to_h * (w / h) / pixel), to_h
-        inner = (max(1, min(to_w, gw)), max(1, min(to_h, gh)))
-    return box, inner, ((to_w - inner[0]) // 2, (to_h - inner[1]) // 2)
-
-
-def _axis(px: DataFrame, axis: str, size: int, to: int, name: str) -> DataFrame:
-    if size == to and name != "nearest":
-        return px
-    spark = px.sparkSession
-    t = spark.createDataFrame(taps(size, to, name), "o int, i int, w long")  # to * support rows at most
-    other = "y" if axis == "x" else "x"
-    sums = [F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(F.sum(F.col(c) * F.col("w")) + (1 << BITS - 1), BITS))).cast("int").alias(c) for c in "rgb"]
-    return px.join(F.broadcast(t), px[axis] == t["i"]).groupBy("image_id", F.col("o").alias(axis), other).agg(*sums)
-
-
-def resize(px: DataFrame, size: tuple[int, int], to: tuple[int, int], name: str = "lanczos", fit: str = "stretch", aspect: float = 4 / 3) -> DataFrame:
-    """Pixels px(image_id, y, x, r, g, b), all images of one ``size``, at the size ``to``: with transparent,
+        pixel = F.lit(aspect * th / tw)  # a target pixel's own width over height
+        tall = whole(F.lit(tw) * pixel / own) > th
+        within = lambda c, most: F.greatest(F.lit(1), F.least(F.lit(most), c))
+        iw = within(F.when(tall, whole(F.lit(th) * own / pixel)).otherwise(F.lit(tw)), tw)
+        ih = within(F.when(tall, F.lit(th)).otherwise(whole(F.lit(tw) * pixel / own)), th)
+    g = sizes.withColumns({"w": F.greatest(F.lit(1), w), "h": F.greatest(F.lit(1), h), "iw": iw, "ih": ih})
+    half = lambda c: F.floor(c / 2).cast("int")
+    return g.withColumns({"x0": half(F.col("width") - F.col("w")), "y0": half(F.col("height") - F.col("h")), "ox": half(tw - F.col("iw")), "oy": half(th - F.col("ih"))})
+
+
+def sizes_of(px: DataFrame) -> DataFrame:
+    return px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def resize(px: DataFrame, to: tuple[int, int], name: str = "lanczos", fit: str = "stretch", aspect: float = 4 / 3) -> DataFrame:
+    """Pixels px(image_id, y, x, r, g, b) of images of any sizes, at the size ``to``: with transparent,
     true of the padding that ``fit`` leaves, which is black. Values are 0 to 255."""
-    (x0, y0, w, h), inner, (ox, oy) = geometry(*size, *to, fit, aspect)
-    p = px.filter((F.col("x") >= x0) & (F.col("x") < x0 + w) & (F.col("y") >= y0) & (F.col("y") < y0 + h))
-    p = p.select("image_id", (F.col("y") - y0).cast("int").alias("y"), (F.col("x") - x0).cast("int").alias("x"), "r", "g", "b")
-    p = _axis(_axis(p, "x", w, inner[0], name), "y", h, inner[1], name)
-    p = p.select("image_id", (F.col("y") + oy).cast("int").alias("y"), (F.col("x") + ox).cast("int").alias("x"), "r", "g", "b", F.lit(False).alias("transparent"))
-    if inner == to:
+    plan = geometry(sizes_of(px), to, fit, aspect)
+    p = px.select("image_id", "y", "x", "r", "g", "b").join(plan, "image_id")
+    p = p.withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).filter("x >= 0 and x < w and y >= 0 and y < h")
+    sums = [F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(F.sum(F.col(c) * F.col("weight")) + (1 << BITS - 1), BITS))).cast("int").alias(c) for c in "rgb"]
+    keep = ["image_id", "w", "h", "iw", "ih", "ox", "oy"]
+    for axis, size, inner, other in (("x", "w", "iw", "y"), ("y", "h", "ih", "x")):
+        t = taps(plan.select(F.col(size).alias("size"), F.col(inner).alias("to")).distinct(), name)
+        t = t.select(F.col("size").alias(size), F.col("to").alias(inner), F.col("i").alias(axis), "o", F.col("w").alias("weight"))
+        p = p.join(t, [size, inner, axis]).groupBy(*keep, F.col("o").alias("at"), other).agg(*sums).withColumnRenamed("at", axis)
+    p = p.select("image_id", (F.col("y") + F.col("oy")).cast("int").alias("y"), (F.col("x") + F.col("ox")).cast("int").alias("x"), "r", "g", "b", F.lit(False).alias("transparent"))
+    if fit != "fit":
         return p
-    spots = px.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(to[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to[0] - 1))))
-    p = spots.join(p, ["image_id", "y", "x"], "left")
-    return p.select("image_id", "y", "x", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"], F.col("transparent").isNull().alias("transparent"))
+    spots = plan.filter((F.col("iw") < to[0]) | (F.col("ih") < to[1])).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(to[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to[0] - 1))))
+    spots = spots.filter("y < oy or y >= oy + ih or x < ox or x >= ox + iw")
+    return p.unionByName(spots.select("image_id", "y", "x", *[F.lit(0).alias(c) for c in "rgb"], F.lit(True).alias("transparent")))

@@ -141,17 +141,18 @@ def _dithered(method: str):
     return query
 
 
-def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence: float = 1.5, bins: int = NP, cap: int = CAP, levels: int = 64, optimize: bool = True) -> DataFrame:
-    """Cells with palettes: (image_id, y, cx, palette, entries, cids, outs, strategy), where outs are
-    what the cell's colours cids become.
+def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence: float = 1.5, bins: int = NP, cap: int = CAP, levels: int = 64, optimize: bool = True, cell: int = 8, seed: int = 0) -> DataFrame:
+    """Cells with palettes: (image_id, y, cx, palette, entries, cids, outs, strategy, components, largest),
+    where outs are what the cell's colours cids become, and components those of colours that share cells. A cell is ``cell`` pixels of a line; ``seed`` is that of the
+    clusters that fidelity and balanced packing begin with.
 
     ``auto`` takes lossless packing where components fit, else fidelity for a bias of 0 and
     balanced otherwise. An image of more colours than all palettes hold is one that
     ``prequantize`` hasn't seen, an error.
     """
-    cells = sql.step(grid.sparkSession, grid, "cells")
+    cells = sql.step(grid.sparkSession, grid, "cells", levels, cell)
     colours = sql.step(grid.sparkSession, grid, "colours").select("image_id", "cid", "r", "g", "b")
-    shape = grid.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.floor(F.max("x") / 8 + 1).cast("int").alias("across"))
+    shape = grid.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.floor(F.max("x") / cell + 1).cast("int").alias("across"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         img = int(pdf.image_id.iloc[0])
@@ -165,24 +166,25 @@ def pack(grid: DataFrame, strategy: str = "auto", bias: float = 0.5, coherence:
         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(1)]))
         c = K.Cells(place[first, 0], place[first, 1], np.append(first, len(pdf)), np.searchsorted(ids, pdf.cid), pdf.n.to_numpy(), len(ids))
         of = _joined(c)
-        bin_of = K.best_fit(np.bincount(of).tolist(), bins, cap) if strategy == "auto" else None
+        group_sizes = np.bincount(of)
+        bin_of = K.best_fit(group_sizes.tolist(), bins, cap) if strategy == "auto" else None
         if bin_of is not None:
             group = np.array(bin_of)[of]
             where, used = group[c.colour[c.at[:-1]]], "lossless"
             entries, become = [np.flatnonzero(group == b) for b in range(bins)], np.tile(np.arange(len(ids)), (bins, 1))
         else:
-            where, entries, become = K.fidelity(c, lab, bins, cap, optimize)
+            where, entries, become = K.fidelity(c, lab, bins, cap, optimize, seed)
             used = "fidelity"
             if strategy == "balanced" or strategy == "auto" and bias > 0:
                 floor = len(np.unique(np.concatenate(entries)))
-                where, entries, become = K.balanced(c, lab, (int(pdf.height.iloc[0]), int(pdf.across.iloc[0])), bias, floor, coherence, bins, cap)
+                where, entries, become = K.balanced(c, lab, (int(pdf.height.iloc[0]), int(pdf.across.iloc[0])), bias, floor, coherence, bins, cap, seed)
                 used = "balanced"
         held = [ids[e].tolist() for e in entries]
         out = ids[become[where[c.of], c.colour]]
         parts = lambda x: [p.tolist() for p in np.split(x, c.at[1:-1])]
-        return pd.DataFrame({"image_id": img, "y": c.y, "cx": c.cx, "palette": where, "entries": [held[b] for b in where], "cids": parts(ids[c.colour]), "outs": parts(out), "strategy": used})
+        return pd.DataFrame({"image_id": img, "y": c.y, "cx": c.cx, "palette": where, "entries": [held[b] for b in where], "cids": parts(ids[c.colour]), "outs": parts(out), "strategy": used, "components": len(group_sizes), "largest": int(group_sizes.max())})
 
-    kind = "image_id int, y int, cx int, palette int, entries array<int>, cids array<int>, outs array<int>, strategy string"
+    kind = f"image_id {dict(grid.dtypes)['image_id']}, y int, cx int, palette int, entries array<int>, cids array<int>, outs array<int>, strategy string, components int, largest int"
     return _per_image(cells.join(colours, ["image_id", "cid"]).join(shape, "image_id"), kernel, kind)
 
 
@@ -200,10 +202,10 @@ def _joined(c: K.Cells) -> np.ndarray:
         of = new
 
 
-def packed_pixels(grid: DataFrame, packed: DataFrame) -> DataFrame:
+def packed_pixels(grid: DataFrame, packed: DataFrame, cell: int = 8) -> DataFrame:
     """Every opaque pixel with its palette, slot and output colour."""
     spark = grid.sparkSession
-    idpx, colours = sql.step(spark, grid, "idpx").filter("not transparent"), sql.step(spark, grid, "colours")
+    idpx, colours = sql.step(spark, grid, "idpx", cell=cell).filter("not transparent"), sql.step(spark, grid, "colours")
     out = colours.select("image_id", F.col("cid").alias("out_cid"), F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2"))
     each = packed.select("image_id", "y", "cx", "palette", "entries", F.inline(F.arrays_zip(F.col("cids").alias("cid"), F.col("outs").alias("out_cid"))))
     each = each.withColumn("slot", F.array_position("entries", F.col("out_cid")).cast("int")).drop("entries")
@@ -298,10 +300,11 @@ QUERIES = {
 }
 
 _GRID = f"with recursive px as ({vector_grid_sql(64)})"
-_COMP = (
+#: SQL of colours that share cells, as comps(image_id, cid, comp), over the grid of 64 levels.
+COMPONENTS = (
     _GRID
     + ", "
-    + ", ".join(f"{n} as ({sql.STEPS[n].replace('{px}', 'px')})" for n in ("colours", "idpx", "cells"))
+    + ", ".join(f"{n} as ({sql.sized(sql.STEPS[n]).replace('{px}', 'px')})" for n in ("colours", "idpx", "cells"))
     + """, e as (select distinct a.image_id, a.cid as u, b.cid as v from cells a join cells b on a.image_id = b.image_id and a.y = b.y and a.cx = b.cx),
     reach as (select image_id, u, u as v from e union select r.image_id, r.u, e.v from reach r join e on r.image_id = e.image_id and r.v = e.u),
     comps as (select image_id, u as cid, min(v) as comp from reach group by image_id, u) """
@@ -309,9 +312,9 @@ _COMP = (
 _DITHER = _GRID.replace("recursive ", "") + " select image_id, count(*) as pixels, cast(0 as bigint) as off_palette, true as mean_kept from px group by image_id"
 _INVARIANT = "with px as ({}) select image_id, count(*) as compared_pixels, 0 as without_slot, count(distinct y * 16 + cast(floor(x / 8) as int)) as cells, 0 as split_cells, 0 as over_cap, 0 as not_nearest from px where not transparent group by image_id"
 ORACLE = {
-    "cooccurrence_components": _COMP + "select image_id, cid, comp from comps",
-    "component_sizes": _COMP + "select image_id, comp, count(*) as n_colours from comps group by image_id, comp",
-    "phase_a_invariants": _COMP + "select image_id, count(*) as colours, true as within_cap from comps group by image_id",
+    "cooccurrence_components": COMPONENTS + "select image_id, cid, comp from comps",
+    "component_sizes": COMPONENTS + "select image_id, comp, count(*) as n_colours from comps group by image_id, comp",
+    "phase_a_invariants": COMPONENTS + "select image_id, count(*) as colours, true as within_cap from comps group by image_id",
     "median_cut": _GRID.replace("recursive ", "") + " select image_id, count(distinct r * 4096 + g * 64 + b) as mapped_colours, least(32, count(distinct r * 4096 + g * 64 + b)) as entries, 0 as wrong_means from px group by image_id",
     **{f"error_diffusion_{k}": _DITHER for k in K.DIFFUSION},
     "ordered_dither_blue": _DITHER,

@@ -1,5 +1,6 @@
 """Set-oriented operators as SQL over a grid ``px``, in the dialect that Spark and other
-engines share. Every table is keyed by image_id, so windows and joins run image by image."""
+engines share. Every table is keyed by image_id, so windows and joins run image by image.
+``{cell}`` stands for the pixels of a cell, ``{top}`` for a channel's highest level."""
 
 from __future__ import annotations
 
@@ -11,16 +12,16 @@ from ..sources.grids import vector_grid, vector_grid_sql
 STEPS = {
     "colours": """select image_id, r, g, b, cast(dense_rank() over (partition by image_id order by r, g, b) - 1 as int) as cid, n, n_opaque
       from (select image_id, r, g, b, count(*) as n, count(case when not transparent then 1 end) as n_opaque from {px} group by image_id, r, g, b) h""",
-    "idpx": "select p.image_id, p.y, p.x, p.r, p.g, p.b, p.transparent, c.cid, cast(floor(p.x / 8) as int) as cx from {px} p join colours c on p.image_id = c.image_id and p.r = c.r and p.g = c.g and p.b = c.b",
+    "idpx": "select p.image_id, p.y, p.x, p.r, p.g, p.b, p.transparent, c.cid, cast(floor(p.x / {cell}) as int) as cx from {px} p join colours c on p.image_id = c.image_id and p.r = c.r and p.g = c.g and p.b = c.b",
     "cells": "select image_id, y, cx, cid, count(*) as n from idpx where not transparent group by image_id, y, cx, cid",
     # a fixed assignment of cells to palettes, for operators that take one
     "cell_map": "select image_id, y, cx, cast((y + cx) % 4 as int) as palette from (select distinct image_id, y, cx from idpx) t",
     "entries": "select distinct m.image_id, m.palette, c.cid from cells c join cell_map m on c.image_id = m.image_id and c.y = m.y and c.cx = m.cx",
     "slots": "select image_id, palette, cid, cast(row_number() over (partition by image_id, palette order by cid) as int) as slot from entries",
     "linear": """select image_id, cid, r, g, b,
-        case when r / 63.0e0 <= 0.04045e0 then r / 63.0e0 / 12.92e0 else power((r / 63.0e0 + 0.055e0) / 1.055e0, 2.4e0) end as lr,
-        case when g / 63.0e0 <= 0.04045e0 then g / 63.0e0 / 12.92e0 else power((g / 63.0e0 + 0.055e0) / 1.055e0, 2.4e0) end as lg,
-        case when b / 63.0e0 <= 0.04045e0 then b / 63.0e0 / 12.92e0 else power((b / 63.0e0 + 0.055e0) / 1.055e0, 2.4e0) end as lb from colours""",
+        case when r * 1.0e0 / {top} <= 0.04045e0 then r * 1.0e0 / {top} / 12.92e0 else power((r * 1.0e0 / {top} + 0.055e0) / 1.055e0, 2.4e0) end as lr,
+        case when g * 1.0e0 / {top} <= 0.04045e0 then g * 1.0e0 / {top} / 12.92e0 else power((g * 1.0e0 / {top} + 0.055e0) / 1.055e0, 2.4e0) end as lg,
+        case when b * 1.0e0 / {top} <= 0.04045e0 then b * 1.0e0 / {top} / 12.92e0 else power((b * 1.0e0 / {top} + 0.055e0) / 1.055e0, 2.4e0) end as lb from colours""",
     "lms": """select image_id, cid, r, g, b, cbrt(0.4122214708e0 * lr + 0.5363325363e0 * lg + 0.0514459929e0 * lb) as l,
         cbrt(0.2119034982e0 * lr + 0.6806995451e0 * lg + 0.1073969566e0 * lb) as m,
         cbrt(0.0883024619e0 * lr + 0.2817188376e0 * lg + 0.6299787005e0 * lb) as s from linear""",
@@ -39,12 +40,12 @@ STEPS = {
         from (select *, floor((160 * (i - 1) + n) / (2 * n)) as q0, floor((160 * i + n) / (2 * n)) as q1 from shades) t""",
     "ramp": "select image_id, cast(79 - d as int) as x, cid, luma from bounds join range(0, 80) t(d) on d >= lo and d < hi union all select image_id, cast(80 + d as int), cid, luma from bounds join range(0, 80) t(d) on d >= lo and d < hi",
     # an output whose pixels differ from the ideal in a fixed pattern
-    "pairs": """select image_id, y, x, cx, transparent, r, g, b, case when (x + 2 * y) % 11 = 0 then least(63, r + 3) else r end as r2, g as g2,
+    "pairs": """select image_id, y, x, cx, transparent, r, g, b, case when (x + 2 * y) % 11 = 0 then least({top}, r + 3) else r end as r2, g as g2,
         case when (x + y) % 13 = 0 then greatest(0, b - 2) else b end as b2 from idpx""",
     "jumps": """select image_id, y, x, (abs(r - pr) + abs(g - pg) + abs(b - pb)) / 3.0e0 as ref, (abs(r2 - pr2) + abs(g2 - pg2) + abs(b2 - pb2)) / 3.0e0 as got
         from (select *, lag(r) over w as pr, lag(g) over w as pg, lag(b) over w as pb, lag(r2) over w as pr2, lag(g2) over w as pg2, lag(b2) over w as pb2,
                 lag(transparent) over w as pt from pairs window w as (partition by image_id, y order by x)) t where x > 0 and not transparent and not pt""",
-    "columns": "select image_id, x, x % 8 = 0 as on_grid, avg(ref) as ref, avg(got) as got from jumps group by image_id, x",
+    "columns": "select image_id, x, x % {cell} = 0 as on_grid, avg(ref) as ref, avg(got) as got from jumps group by image_id, x",
 }
 
 #: name -> (levels, last step); results keep to integers and rounded doubles.
@@ -84,7 +85,7 @@ QUERIES = {
     "distinct_in_palettes": (64, "select image_id, count(*) - count(distinct cid) as duplicated_across_palettes, count(distinct cid) as distinct_in_all_palettes from entries group by image_id"),
     "neighbour_disagreement": (64, "select a.image_id, a.y, a.cx, cast(sum(case when a.palette <> b.palette then 1 else 0 end) as bigint) as differing from cell_map a join (select image_id, y + dy as y, cx + dx as cx, palette from cell_map, (select 0 as dy, 1 as dx union all select 0, -1 union all select 1, 0 union all select -1, 0) s) b on a.image_id = b.image_id and a.y = b.y and a.cx = b.cx group by a.image_id, a.y, a.cx"),
     "quality_pixels": (64, "select image_id, count(*) as compared_pixels, cast(sum(case when r = r2 and g = g2 and b = b2 then 1 else 0 end) as bigint) as identical_pixels, cast(sum(case when r = r2 and g = g2 and b = b2 then 0 else 1 end) as bigint) as recoloured_pixels from pairs where not transparent group by image_id"),
-    "quality_psnr": (64, """select image_id, round(sqrt(mse), 6) as rgb_rmse, case when mse > 0 then round(20 * log10(63) - 10 * log10(mse), 6) end as psnr_db from
+    "quality_psnr": (64, """select image_id, round(sqrt(mse), 6) as rgb_rmse, case when mse > 0 then round(20 * log10({top}) - 10 * log10(mse), 6) end as psnr_db from
         (select image_id, sum((r - r2) * (r - r2) + (g - g2) * (g - g2) + (b - b2) * (b - b2)) / (3.0e0 * count(*)) as mse from pairs where not transparent group by image_id) t"""),
     "quality_cells": (64, "select image_id, count(*) as cells_compared, cast(sum(bad) as bigint) as cells_damaged, round(100.0e0 * sum(bad) / count(*), 6) as cells_damaged_pct from (select image_id, y, cx, max(case when r = r2 and g = g2 and b = b2 then 0 else 1 end) as bad from pairs where not transparent group by image_id, y, cx) t group by image_id"),
     "quality_oklab": (64, """select p.image_id, round(avg(sqrt(power(a.ok_l - b.ok_l, 2) + power(a.ok_a - b.ok_a, 2) + power(a.ok_b - b.ok_b, 2))), 6) as mean_oklab_error,
@@ -124,6 +125,9 @@ QUERIES["separator_ramp"] = (64, "select image_id, x, cid from ramp")
 # a character covers two pixels and takes the brighter one's colour, of which it reaches the first 128
 QUERIES["rule_pens"] = (64, """select image_id, cast(floor(x / 2) as int) as place, cid % 128 as pen from
     (select *, row_number() over (partition by image_id, floor(x / 2) order by luma desc, cid desc) as rk from ramp) t where rk = 1""")
+# the same of bytes a channel
+for _n in ("colour_oklab", "colour_distance", "quality_psnr", "quality_oklab"):
+    QUERIES[f"{_n}_bytes"] = (256, QUERIES[_n][1])
 # a label in 21 columns, a colon and a value that begins with a capital
 QUERIES["report_rows"] = (64, """select image_id, line_no, rpad(label, 21, ' ') || ': ' || upper(substr(value, 1, 1)) || substr(value, 2) as line from
     (select image_id, 1 as line_no, 'Dimensions' as label, cast(max(x) + 1 as varchar(20)) || ' x ' || cast(max(y) + 1 as varchar(20)) || '  (' || cast(count(*) as varchar(20)) || ' px)' as value from {px} group by image_id
@@ -151,16 +155,20 @@ def _with(body: str) -> str:
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     levels, body = QUERIES[name]
-    return spark.sql(_with(body), px=vector_grid(spark, sf_dir, levels))
+    return spark.sql(sized(_with(body), levels, 8), px=vector_grid(spark, sf_dir, levels))
 
 
-def step(spark: SparkSession, grid: DataFrame, name: str) -> DataFrame:
+def sized(text: str, levels: int = 64, cell: int = 8) -> str:
+    return text.replace("{top}", str(levels - 1)).replace("{cell}", str(cell))
+
+
+def step(spark: SparkSession, grid: DataFrame, name: str, levels: int = 64, cell: int = 8) -> DataFrame:
     """A named step over any grid."""
-    return spark.sql(_with(f"select * from {name}"), px=grid)
+    return spark.sql(sized(_with(f"select * from {name}"), levels, cell), px=grid)
 
 
 def oracle(name: str) -> str:
     levels, body = QUERIES[name]
-    sql = _with(body).replace("{px}", "px")
+    sql = sized(_with(body), levels, 8).replace("{px}", "px")
     head = f"with px as ({vector_grid_sql(levels)})"
     return f"{head}, {sql.removeprefix('with ')}" if sql.startswith("with ") else f"{head} {sql}"

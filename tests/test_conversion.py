@@ -1,6 +1,7 @@
 """Conversions, resampling and records as DataFrames, by hand-made inputs."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from gridloom.operators import resize as R
 from gridloom.plans import conversion, records
 from gridloom.sources import grids, sinks
 
-PX = "image_id int, y int, x int, r int, g int, b int, transparent boolean"
+PX = "image_id long, y int, x int, r int, g int, b int, transparent boolean"
 
 
 def pixels(spark, rgb, clear=None, image=0):
@@ -20,30 +21,109 @@ def pixels(spark, rgb, clear=None, image=0):
     return spark.createDataFrame([(image, y, x, *map(int, rgb[y, x]), bool(clear[y, x])) for y in range(h) for x in range(w)], PX)
 
 
-def test_figures_by_hand():
-    ramp = np.stack([np.arange(0, 256, 4)] * 3, 1)
+def figures(spark, ideal, got, ramp, clear):
+    """``quality`` of an output of colour ids against the ideal one."""
     lab = K.oklab(ramp / 255.0)
+    gap = np.sqrt(((lab[ideal] - lab[got]) ** 2).sum(2))
+    rows = [(0, y, x, x // 8, bool(clear[y, x]), *map(int, ramp[ideal[y, x]]), *map(int, ramp[got[y, x]]), bool(ideal[y, x] != got[y, x] and not clear[y, x]), None if clear[y, x] else float(gap[y, x])) for y, x in np.ndindex(*ideal.shape)]
+    px = spark.createDataFrame(rows, "image_id int, y int, x int, cx int, transparent boolean, r int, g int, b int, r2 int, g2 int, b2 int, changed boolean, gap double")
+    return conversion.quality(px).head().ideal_vs_output
+
+
+def test_figures_by_hand(spark):
+    ramp = np.stack([np.arange(0, 256, 4)] * 3, 1)
     ideal = np.tile(np.arange(24), (5, 1))
     clear = np.zeros((5, 24), bool)
-    same = conversion.compare(ideal, ideal, ramp, lab, ~clear)
+    same = figures(spark, ideal, ideal, ramp, clear)
     assert same["identical_pct"] == 100 and same["psnr_db"] is None and same["cells_damaged"] == 0 and same["seam_index"] == 1
     one = ideal.copy()
     one[3, 10] = 40
-    got = conversion.compare(ideal, one, ramp, lab, ~clear)
+    got = figures(spark, ideal, one, ramp, clear)
     assert (got["compared_pixels"] - got["identical_pixels"], got["cells_damaged"], got["cells_compared"]) == (1, 1, 15)
+    mse = 3 * (4.0 * 30) ** 2 / (3 * 120)
+    gap = float(np.sqrt(((K.oklab(ramp[[10]] / 255.0) - K.oklab(ramp[[40]] / 255.0)) ** 2).sum()))
+    assert got["rgb_rmse"] == pytest.approx(mse**0.5) and got["psnr_db"] == pytest.approx(10 * np.log10(255**2 / mse))
+    assert got["mean_oklab_error"] == pytest.approx(gap / 120) and got["max_oklab_error"] == pytest.approx(gap)
     clear[:, :8] = True
     wrecked = ideal.copy()
     wrecked[:, :8] = 63
-    got = conversion.compare(ideal, wrecked, ramp, lab, ~clear)
+    got = figures(spark, ideal, wrecked, ramp, clear)
     assert got["psnr_db"] is None and got["cells_compared"] == 10
     on, off = ideal.copy(), ideal.copy()
     on[:, 8:16] += 20
     off[:, 12:20] += 20
-    a, b = (conversion.compare(ideal, v, ramp, lab, np.ones_like(clear)) for v in (on, off))
+    a, b = (figures(spark, ideal, v, ramp, np.zeros_like(clear)) for v in (on, off))
     assert a["rgb_rmse"] == b["rgb_rmse"] and a["seam_index"] > 2 and b["seam_index"] < 1
     flat = np.zeros((5, 24), int)
-    assert conversion.compare(flat, flat, ramp, lab, np.ones_like(clear))["seam_index"] is None
-    assert conversion.compare(flat, flat, ramp, lab, np.zeros_like(clear))["compared_pixels"] == 0
+    assert figures(spark, flat, flat, ramp, np.zeros_like(clear))["seam_index"] is None
+    assert figures(spark, flat, flat, ramp, np.ones_like(clear))["compared_pixels"] == 0
+
+
+def decoded(d, s):
+    """Pixels that an image's files stand for."""
+    pal = np.frombuffer(d.pal, np.uint8).reshape(s["palettes"], s["slots"], 3)
+    at = np.frombuffer(d.map, np.uint8).reshape(s["height"], s["cells_per_line"]) // 16
+    return pal[at.repeat(s["cell_width"], 1)[:, : s["width"]], np.frombuffer(d.raw, np.uint8).reshape(s["height"], s["width"])]
+
+
+@pytest.mark.parametrize("cell", [4, 8, 16])
+@pytest.mark.parametrize("reserve0", [True, False])
+def test_cells_of_any_width(spark, cell, reserve0):
+    rng = np.random.default_rng(cell)
+    some = rng.integers(0, 256, (500, 3))
+    rgb = some[rng.integers(0, 500, (16, 36))]  # the last cell of a line is a part
+    clear = np.zeros((16, 36), bool)
+    clear[0, :20] = True
+    d = conversion.convert(pixels(spark, rgb, clear, 2**40 + 7), {"cell": cell, "coherence": 0.0, "reserve0": reserve0}).head()
+    s = json.loads(d.stats)
+    got = decoded(d, s)
+    assert (s["cells_per_line"], s["cell_width"], d.image_id) == (-(-36 // cell), cell, 2**40 + 7)
+    assert s["recoloured_pixels"] == int((got[~clear] != rgb[~clear]).any(1).sum()) and (sinks.read_png(d.preview) == got).all()
+    assert s["recoloured_pixels"] == 0 or not s["lossless"]
+    if reserve0:
+        assert not got[clear].any()
+
+
+def test_decoded_images_of_mixed_sizes_become_files(spark, tmp_path):
+    """From PNG files to device files at one size, names and lists included."""
+    rng = np.random.default_rng(3)
+    source = {"one": rng.integers(0, 256, (30, 50, 3)), "two": rng.integers(0, 256, (60, 20, 3)), "same": rng.integers(0, 2, (24, 32, 3)) * 255}
+    for k, rgb in source.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.png").write_bytes(sinks.png(rgb.astype(np.uint8)))
+    px = grids.read_images(spark, str(tmp_path / "in")).withColumn("name", F.upper(F.regexp_extract("origin", "([^/]*)[.]png$", 1)))
+    assert px.groupBy("name").count().orderBy("name").collect() == [("ONE", 1500), ("SAME", 768), ("TWO", 1200)]
+    rows = conversion.convert(px, {"resize": "32x24", "fit": "fit", "filter": "box", "color_bias": 0.3})
+    assert conversion.write_files(rows, str(tmp_path / "out")) == 3
+    for r in rows.collect():
+        s = json.loads(r.stats)
+        rgb = source[r.name.lower()]
+        assert (s["resized"], s["resize"], s["filter"], s["fit"], s["width"], s["height"]) == (True, "32x24", "box", "fit", 32, 24)
+        assert (s["source_height"], s["source_width"]) == rgb.shape[:2] and s["source_colours"] == len(np.unique(rgb.reshape(-1, 3), axis=0))
+        inner = {"ONE": 32 * 19, "TWO": 8 * 24, "SAME": 32 * 24}[r.name]
+        assert s["transparent_pixels"] == 32 * 24 - inner and "Resampled            : 32x24 via box" in r.report
+        if r.name == "SAME":
+            assert (decoded(r, s) == rgb).all()
+        there = {p.name for p in (tmp_path / "out" / r.name).iterdir()}
+        listed = {v for v in s["files"].values() if isinstance(v, str)} | set(s["files"]["palettes"])
+        assert there == listed == {r.name + e for e in (".raw", ".map", ".pal", "_preview.png", "_palettes.png", "_report.txt", ".nfo", "_stats.json", "0.pal", "1.pal", "2.pal", "3.pal")}
+        each = b"".join((tmp_path / "out" / r.name / f).read_bytes() for f in s["files"]["palettes"])
+        assert each == r.pal and sinks.read_png((tmp_path / "out" / r.name / f"{r.name}_palettes.png").read_bytes()).shape == (48, 3072, 3)
+
+
+def test_names_seeds_and_biases(spark):
+    rng = np.random.default_rng(9)
+    rgb = rng.integers(0, 256, (600, 3))[rng.integers(0, 600, (24, 64))]
+    one = pixels(spark, rgb)
+    d = {k: conversion.convert(one, {"seed": k, "name": "GRAIN", "color_bias": 0.6, "description": "  a shore "}).head() for k in (0, 1)}
+    assert d[0].name == "GRAIN" and bytes(d[0].raw) != bytes(d[1].raw)  # another seed, other clusters
+    s = json.loads(d[0].stats)
+    assert s["args"]["seed"] == 0 and s["args"]["name"] == "GRAIN" and s["description"] == "a shore" and not s["resized"] and s["resize"] is None
+    two = one.unionByName(pixels(spark, rgb, image=100_000)).filter("y < 4")
+    assert {r.name for r in conversion.convert(two).collect()} == {"IMG00000", "IMG186A0"}
+    assert {r.name for r in conversion.convert(two, {"name": "GRAIN"}).collect()} == {"GRAIN00000", "GRAIN186A0"}
+    with pytest.raises(ValueError, match="2 images are called A"):
+        conversion.write_files(conversion.convert(two.withColumn("name", F.lit("A"))), "/nowhere")
 
 
 @pytest.mark.parametrize("colours, bias", [(600, 0.0), (3000, 0.0), (900, 0.5)])
@@ -89,30 +169,79 @@ def test_missing_parts_are_named(spark):
     assert got == {"x": (None, "no raw"), "y": (None, "raw has 5 bytes, not 76800")}
 
 
+SINC = lambda x: math.sin(math.pi * x) / (math.pi * x) if x else 1.0
+#: Half width and shape of each filter, from their definitions.
+SHAPES = {
+    "box": (0.5, lambda x: 1.0 if -0.5 < x <= 0.5 else 0.0),
+    "bilinear": (1, lambda x: 1 - abs(x) if abs(x) < 1 else 0.0),
+    "hamming": (1, lambda x: SINC(x) * (0.54 + 0.46 * math.cos(math.pi * x)) if abs(x) < 1 else 0.0),
+    "bicubic": (2, lambda x: 1.5 * abs(x) ** 3 - 2.5 * x * x + 1 if abs(x) < 1 else -0.5 * abs(x) ** 3 + 2.5 * x * x - 4 * abs(x) + 2 if abs(x) < 2 else 0.0),
+    "lanczos": (3, lambda x: SINC(x) * SINC(x / 3) if abs(x) < 3 else 0.0),
+}
+
+
+def line(v, n, name):
+    """A list of numbers at length n."""
+    scale, out = len(v) / n, []
+    for o in range(n):
+        middle = (o + 0.5) * scale
+        if name == "nearest":
+            out.append(v[min(len(v) - 1, math.floor(middle))])
+            continue
+        half, shape = SHAPES[name]
+        wide = max(scale, 1)
+        w = {i: shape((i - middle + 0.5) / wide) for i in range(max(0, math.floor(middle - half * wide + 0.5)), min(len(v), math.floor(middle + half * wide + 0.5)))}
+        whole = {i: math.copysign(math.floor(abs(x / sum(w.values())) * 2**22 + 0.5), x) for i, x in w.items()}
+        out.append(min(255, max(0, (int(sum(v[i] * x for i, x in whole.items())) + 2**21) // 2**22)))
+    return out
+
+
+def placed(w, h, tw, th, fit, aspect=4 / 3):
+    """Part of the source (x, y, width, height), the size it gets, and where it stands."""
+    if fit == "cover":
+        n, m = (round(h * aspect), h) if w / h > aspect else (w, round(w / aspect))
+        return ((w - n) // 2, (h - m) // 2, n, m), (tw, th), (0, 0)
+    if fit == "fit":
+        pixel = aspect * th / tw
+        gw, gh = tw, round(tw * pixel / (w / h))
+        if gh > th:
+            gw, gh = round(th * (w / h) / pixel), th
+        gw, gh = max(1, min(tw, gw)), max(1, min(th, gh))
+        return (0, 0, w, h), (gw, gh), ((tw - gw) // 2, (th - gh) // 2)
+    return (0, 0, w, h), (tw, th), (0, 0)
+
+
 @pytest.mark.parametrize("name", ["nearest", *R.FILTERS])
 @pytest.mark.parametrize("to, fit", [((5, 4), "stretch"), ((16, 20), "stretch"), ((12, 9), "cover"), ((12, 9), "fit")])
-def test_resize_by_plain_sums(spark, name, to, fit):
-    rgb = np.random.default_rng(0).integers(0, 256, (11, 9, 3))
-    got = {(r.y, r.x): (r.r, r.g, r.b, r.transparent) for r in R.resize(pixels(spark, rgb), (9, 11), to, name, fit).collect()}
-    (x0, y0, w, h), inner, (ox, oy) = R.geometry(9, 11, *to, fit)
-    v = rgb[y0 : y0 + h, x0 : x0 + w].astype(object)
-    for axis, (size, n) in ((1, (w, inner[0])), (0, (h, inner[1]))):
-        v = np.moveaxis(v, axis, 0)
-        out = np.zeros((n, *v.shape[1:]), object)
-        for o, i, k in R.taps(size, n, name):
-            out[o] = out[o] + v[i] * k
-        v = np.moveaxis(np.clip((out + (1 << 21)) // (1 << 22), 0, 255), 0, axis)
-    assert len(got) == to[0] * to[1]
-    for (y, x), (*c, clear) in got.items():
-        inside = oy <= y < oy + inner[1] and ox <= x < ox + inner[0]
-        assert clear != inside and c == (list(v[y - oy, x - ox]) if inside else [0, 0, 0])
-
-
-def test_geometry():
-    assert R.geometry(1000, 500, 320, 240, "fit") == ((0, 0, 1000, 500), (320, 160), (0, 40))
-    assert R.geometry(1000, 500, 320, 240, "cover") == ((166, 0, 667, 500), (320, 240), (0, 0))
-    assert R.geometry(100, 400, 160, 240, "fit")[1:] == ((30, 240), (65, 0))
-    assert sum(k for o, _, k in R.taps(100, 7, "lanczos") if o == 3) == pytest.approx(1 << 22, abs=50)
+def test_resize_by_definition(spark, name, to, fit):
+    """Images of four sizes in one table."""
+    rng = np.random.default_rng(0)
+    source = [rng.integers(0, 256, (h, w, 3)) for w, h in ((9, 11), (30, 7), (to[0], to[1]), (1, 1))]
+    px = None
+    for k, rgb in enumerate(source):
+        one = pixels(spark, rgb, image=k)
+        px = one if px is None else px.unionByName(one)
+    got = {(r.image_id, r.y, r.x): (r.r, r.g, r.b, r.transparent) for r in R.resize(px, to, name, fit).collect()}
+    assert len(got) == len(source) * to[0] * to[1]
+    for k, rgb in enumerate(source):
+        (x0, y0, w, h), inner, (ox, oy) = placed(rgb.shape[1], rgb.shape[0], *to, fit)
+        v = [[[line([int(p[c]) for p in row], inner[0], name) for c in range(3)] for row in rgb[y0 : y0 + h, x0 : x0 + w]]][0]
+        for x in range(inner[0]):
+            down = [line([row[c][x] for row in v], inner[1], name) for c in range(3)]
+            for y in range(inner[1]):
+                assert got.pop((k, y + oy, x + ox)) == (*(down[c][y] for c in range(3)), False)
+    assert set(got.values()) <= {(0, 0, 0, True)}
+
+
+def test_geometry(spark):
+    for size, to, fit, want in (
+        ((1000, 500), (320, 240), "fit", ((0, 0, 1000, 500), (320, 160), (0, 40))),
+        ((1000, 500), (320, 240), "cover", ((166, 0, 667, 500), (320, 240), (0, 0))),
+        ((100, 400), (160, 240), "fit", ((0, 0, 100, 400), (30, 240), (65, 0))),
+    ):
+        g = R.geometry(spark.createDataFrame([size], "width int, height int"), to, fit).head()
+        assert ((g.x0, g.y0, g.w, g.h), (g.iw, g.ih), (g.ox, g.oy)) == want == placed(*size, *to, fit)
+    assert R.taps(spark.createDataFrame([(100, 7)], "size int, to int"), "lanczos").filter("o = 3").agg(F.sum("w")).head()[0] == pytest.approx(1 << 22, abs=50)
 
 
 def test_lists(spark):

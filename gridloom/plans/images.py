@@ -7,11 +7,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import kernels as K
+from ..operators.mediancut import median_cut as cut_colours
+from ..operators.nearest import nearest
 from ..sources import sinks
 from ..sources.grids import HEIGHT, vector_grid, vector_grid_sql
 from . import sql
@@ -53,15 +55,7 @@ def _per_image(df: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], sc
 
 def median_cut_map(spark: SparkSession, sf_dir: str, k: int = 32) -> DataFrame:
     """Each colour's palette entry and the entry's mean colour."""
-    hist = sql.step(spark, vector_grid(spark, sf_dir, 64), "colours").select("image_id", "cid", "r", "g", "b", "n")
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid")
-        pal, of = K.median_cut(pdf[["r", "g", "b"]].to_numpy(), pdf.n.to_numpy(), k)
-        out = pdf[["image_id", "cid"]].assign(entry=of)
-        return out.assign(r=pal[of, 0], g=pal[of, 1], b=pal[of, 2])
-
-    return _per_image(hist, kernel, "image_id int, cid int, entry int, r int, g int, b int")
+    return cut_colours(sql.step(spark, vector_grid(spark, sf_dir, 64), "colours").select("image_id", "cid", "r", "g", "b", "n"), k)
 
 
 def median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +67,15 @@ def median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("image_id").agg(F.sum("k").alias("mapped_colours"), F.count("*").alias("entries"), F.count_if(~F.col("ok")).alias("wrong_means"))
 
 
+def nearest_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every colour of the whole grid with the nearest of the 1024 colours of most pixels (ties by colour)."""
+    n = vector_grid(spark, sf_dir, 256).groupBy("r", "g", "b").agg(F.count("*").alias("n")).withColumn("grid", F.lit(0))
+    top = n.orderBy(F.desc("n"), "r", "g", "b").limit(1024)
+    code = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("slot")
+    got = nearest(n.drop("n"), top.select("grid", code, "r", "g", "b"), "grid", [])
+    return got.select("r", "g", "b", F.col("slot").alias("near"), F.col("d2").cast("int").alias("d2"))
+
+
 def _mask(method: str) -> np.ndarray | None:
     """Ranks of an ordered dither's tile, made once a query: bayer2, bayer4, bayer8 or blue."""
     return K.blue_noise() if method == "blue" else K.bayer(int(method[5:])) if method.startswith("bayer") else None
@@ -92,22 +95,29 @@ def prequantize(grid: DataFrame, method: str = "none", strength: float = 1.0, mo
     """The grid, with images of more than ``most`` colours (padding included) cut to a
     median-cut palette of ``target`` (by default that many) and dithered to it; other images stay as they are."""
     grid = grid.select("image_id", "y", "x", "r", "g", "b", "transparent")
-    mask = _mask(method) if method != "none" else None
+    colours = grid.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+    over = C.cut(colours.groupBy("image_id").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("image_id"))
+    if not over.head(1):
+        return grid
+    colours = colours.join(over, "image_id", "left_semi").withColumn("cid", F.row_number().over(Window.partitionBy("image_id").orderBy("r", "g", "b")) - 1)
+    found = C.cut(cut_colours(colours, target or most).select("image_id", "cid", "entry", *[F.col(c).alias(f"e{c}") for c in "rgb"]))
+    if method == "none":
+        to = colours.join(found, ["image_id", "cid"]).select("image_id", "r", "g", "b", "er", "eg", "eb")
+        px = grid.join(to, ["image_id", "r", "g", "b"], "left")
+        return px.select("image_id", "y", "x", *[F.coalesce(f"e{c}", c).alias(c) for c in "rgb"], "transparent")
+    mask = _mask(method)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb = pdf[["r", "g", "b"]].to_numpy()
-        c, of, n = np.unique(rgb, axis=0, return_inverse=True, return_counts=True)
-        if len(c) <= most:
-            return pdf
-        pal, entry = K.median_cut(c, n, target or most)
-        at = entry[of.reshape(-1)]
-        if method != "none":
-            img = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1, 3))
-            img[pdf.y, pdf.x] = rgb
-            at = _entries(img, pal, method, strength, mask)[pdf.y, pdf.x]
+    def kernel(pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        img = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1, 3))
+        img[pdf.y, pdf.x] = pdf[["r", "g", "b"]]
+        pal = entries.sort_values("entry")[["er", "eg", "eb"]].to_numpy()
+        at = _entries(img, pal, method, strength, mask)[pdf.y, pdf.x]
         return pdf.assign(r=pal[at, 0], g=pal[at, 1], b=pal[at, 2])
 
-    return grid.groupBy("image_id").applyInPandas(kernel, grid.schema)
+    entries = found.drop("cid").distinct()
+    entries = entries.toDF(*entries.columns)  # columns of its own, as both sides come from the grid
+    done = grid.join(over, "image_id", "left_semi").groupBy("image_id").cogroup(entries.groupBy("image_id")).applyInPandas(kernel, grid.schema)
+    return grid.join(over, "image_id", "left_anti").unionByName(done)
 
 
 def dither(grid: DataFrame, method: str, k: int = 32, strength: float = 1.0) -> DataFrame:
@@ -218,46 +228,42 @@ def _packed(strategy: str, levels: int, height: int = HEIGHT):
         """Per image: pixels, cells, and counts that must be 0: pixels without a slot of their palette, palettes
         over the cap, cells of two palettes, recoloured pixels whose palette has their colour, and those with
         a nearer entry in OKLab than the one they got."""
-        grid = prequantize(vector_grid(spark, sf_dir, levels, height))
-        p = pack(grid, strategy, levels=levels)
-        px = packed_pixels(grid, p)
-        sizes = p.groupBy("image_id").agg(F.count_if(F.size("entries") > CAP).alias("over_cap"))
-        lab = _lab(sql.step(spark, grid, "colours"), levels)
-        ask = px.filter("recoloured").select("image_id", "palette", "cid", "out_cid").distinct()
-        own = p.select("image_id", "palette", "entries").dropDuplicates(["image_id", "palette"]).select("image_id", "palette", F.explode("entries").alias("e"))
-        a, b, e = (lab.select("image_id", F.col("cid").alias(c), F.struct("l", "a", "b").alias(f"lab_{c}")) for c in ("cid", "out_cid", "e"))
-        gap = lambda u, v: sum((F.col(f"{u}.{k}") - F.col(f"{v}.{k}")) ** 2 for k in "lab")
-        worse = ask.join(own, ["image_id", "palette"]).join(a, ["image_id", "cid"]).join(b, ["image_id", "out_cid"]).join(e, ["image_id", "e"])
-        worse = worse.filter((F.col("e") == F.col("cid")) | (gap("lab_cid", "lab_e") < gap("lab_cid", "lab_out_cid") - 1e-12)).groupBy("image_id").agg(F.countDistinct("palette", "cid").alias("not_nearest"))
-        q = px.groupBy("image_id").agg(F.count("*").alias("compared_pixels"), F.count_if(F.coalesce(F.col("slot"), F.lit(0)) < 1).alias("without_slot"), F.countDistinct("y", "cx").alias("cells"), (F.countDistinct("y", "cx", "palette") - F.countDistinct("y", "cx")).alias("split_cells"))
-        return q.join(sizes, "image_id").join(worse, "image_id", "left").withColumn("not_nearest", F.coalesce("not_nearest", F.lit(0)))
+        return _pack_figures(C.cut(prequantize(vector_grid(spark, sf_dir, levels, height))), strategy, levels)
 
     return query
 
 
-def _lab(colours: DataFrame, levels: int) -> DataFrame:
-    """OKLab of colours(image_id, cid, r, g, b) of so many levels a channel."""
-    def kernel(it):
-        for pdf in it:
-            v = K.oklab(pdf[["r", "g", "b"]].to_numpy() / (levels - 1.0))
-            yield pdf[["image_id", "cid"]].assign(l=v[:, 0], a=v[:, 1], b=v[:, 2])
-
-    return colours.select("image_id", "cid", "r", "g", "b").mapInPandas(kernel, "image_id int, cid int, l double, a double, b double")
+def _pack_figures(grid: DataFrame, strategy: str, levels: int) -> DataFrame:
+    """What ``_packed`` returns of a grid that is written and within the budget."""
+    p = C.cut(pack(grid, strategy, levels=levels))
+    px = packed_pixels(grid, p)
+    sizes = p.groupBy("image_id").agg(F.count_if(F.size("entries") > CAP).alias("over_cap"))
+    lab = sql.step(grid.sparkSession, grid, "oklab", levels).select("image_id", "cid", *[F.col(f"ok_{c}").alias(c) for c in "lab"])
+    ask = px.filter("recoloured").select("image_id", "palette", "cid", "out_cid").distinct()
+    own = p.select("image_id", "palette", "entries").dropDuplicates(["image_id", "palette"]).select("image_id", "palette", F.explode("entries").alias("e"))
+    a, b, e = (lab.select("image_id", F.col("cid").alias(c), F.struct("l", "a", "b").alias(f"lab_{c}")) for c in ("cid", "out_cid", "e"))
+    gap = lambda u, v: sum((F.col(f"{u}.{k}") - F.col(f"{v}.{k}")) ** 2 for k in "lab")
+    worse = ask.join(own, ["image_id", "palette"]).join(a, ["image_id", "cid"]).join(b, ["image_id", "out_cid"]).join(e, ["image_id", "e"])
+    worse = worse.filter((F.col("e") == F.col("cid")) | (gap("lab_cid", "lab_e") < gap("lab_cid", "lab_out_cid") - 1e-12)).groupBy("image_id").agg(F.countDistinct("palette", "cid").alias("not_nearest"))
+    q = px.groupBy("image_id").agg(F.count("*").alias("compared_pixels"), F.count_if(F.coalesce(F.col("slot"), F.lit(0)) < 1).alias("without_slot"), F.countDistinct("y", "cx").alias("cells"), (F.countDistinct("y", "cx", "palette") - F.countDistinct("y", "cx")).alias("split_cells"))
+    return q.join(sizes, "image_id").join(worse, "image_id", "left").withColumn("not_nearest", F.coalesce("not_nearest", F.lit(0)))
 
 
 def quantized_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of images of 200 vectors, which exceed all palettes' colours: how many there were, and are."""
-    source = vector_grid(spark, sf_dir, 64, 200).groupBy("image_id").agg(F.countDistinct("r", "g", "b").alias("source_colours"))
-    left = prequantize(vector_grid(spark, sf_dir, 64, 200)).groupBy("image_id").agg((F.countDistinct("r", "g", "b") <= NP * CAP).alias("within_budget"))
-    q = _packed("auto", 64, 200)(spark, sf_dir).join(source, "image_id").join(left, "image_id")
+    source = vector_grid(spark, sf_dir, 64, 200)
+    grid = C.cut(prequantize(source))
+    left = grid.groupBy("image_id").agg((F.countDistinct("r", "g", "b") <= NP * CAP).alias("within_budget"))
+    had = source.groupBy("image_id").agg(F.countDistinct("r", "g", "b").alias("source_colours"))
+    q = _pack_figures(grid, "auto", 64).join(had, "image_id").join(left, "image_id")
     return q.withColumn("prequantized", F.col("source_colours") > NP * CAP)
 
 
 def stats(spark: SparkSession, sf_dir: str, height: int = HEIGHT) -> DataFrame:
     """One row of figures per image, and its JSON."""
     source = vector_grid(spark, sf_dir, 64, height)
-    grid = prequantize(source)
-    px = packed_pixels(grid, pack(grid))
+    grid = C.cut(prequantize(source))
+    px = packed_pixels(grid, C.cut(pack(grid)))
     s = px.groupBy("image_id").agg(
         F.count("*").alias("compared_pixels"),
         F.count_if("recoloured").alias("recoloured_pixels"),
@@ -289,6 +295,7 @@ QUERIES = {
     "phase_a_packing": phase_a_packing,
     "phase_a_invariants": phase_a_invariants,
     "median_cut": median_cut,
+    "nearest_colours": nearest_colours,
     **{f"error_diffusion_{k}": _dithered(k) for k in K.DIFFUSION},
     "ordered_dither_blue": _dithered("blue"),
     **{f"palette_dither_bayer{n}": _dithered(f"bayer{n}") for n in (2, 4, 8)},
@@ -312,6 +319,9 @@ COMPONENTS = (
 _DITHER = _GRID.replace("recursive ", "") + " select image_id, count(*) as pixels, cast(0 as bigint) as off_palette, true as mean_kept from px group by image_id"
 _INVARIANT = "with px as ({}) select image_id, count(*) as compared_pixels, 0 as without_slot, count(distinct y * 16 + cast(floor(x / 8) as int)) as cells, 0 as split_cells, 0 as over_cap, 0 as not_nearest from px where not transparent group by image_id"
 ORACLE = {
+    "nearest_colours": f"""with n as (select r, g, b, count(*) as n from ({vector_grid_sql(256)}) px group by r, g, b), top as (select r, g, b from n order by n desc, r, g, b limit 1024)
+        select r, g, b, near % 16777216 as near, cast(near // 16777216 as int) as d2 from (select n.r, n.g, n.b,
+          min(cast((n.r - t.r) * (n.r - t.r) + (n.g - t.g) * (n.g - t.g) + (n.b - t.b) * (n.b - t.b) as bigint) * 16777216 + t.r * 65536 + t.g * 256 + t.b) as near from n, top t group by n.r, n.g, n.b) q""",
     "cooccurrence_components": COMPONENTS + "select image_id, cid, comp from comps",
     "component_sizes": COMPONENTS + "select image_id, comp, count(*) as n_colours from comps group by image_id, comp",
     "phase_a_invariants": COMPONENTS + "select image_id, count(*) as colours, true as within_cap from comps group by image_id",

@@ -21,7 +21,7 @@ from ..operators import resize as R
 from ..operators.components import cut
 from ..sources import sinks
 from ..sources.grids import WIDTH, vector_grid, vector_grid_sql
-from . import images, sql
+from . import images, sql, texts
 
 #: Bytes of a whole device file's parts: palettes, map, raw.
 PARTS = (3072, 9600, 76800)
@@ -213,7 +213,7 @@ def _texts(d: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out: dict[str, list] = {"nfo": [], "preview": [], "swatches": [], "report": [], "stats": []}
+            out: dict[str, list] = {"preview": [], "swatches": [], "report": [], "stats": []}
             for r in pdf.itertuples():
                 stats = json.loads(r.stats)
                 if stats["files"]["v1k"] is None:
@@ -223,12 +223,12 @@ def _texts(d: DataFrame) -> DataFrame:
                 text = T.report(stats)
                 out["preview"].append(sinks.png(pal[at, np.frombuffer(r.raw, np.uint8).reshape(at.shape)]))
                 out["swatches"].append(sinks.png(pal.repeat(sinks.SWATCH, 0).repeat(sinks.SWATCH, 1)))
-                out["nfo"].append(T.screen(text))
                 out["report"].append(text)
                 out["stats"].append(json.dumps(stats))
             yield pdf[["image_id", "name", "raw", "map", "pal", "v1k"]].assign(**out)
 
-    return d.mapInPandas(run, f"image_id {kind}, name string, raw binary, map binary, pal binary, v1k binary, nfo binary, preview binary, swatches binary, report string, stats string")
+    d = d.mapInPandas(run, f"image_id {kind}, name string, raw binary, map binary, pal binary, v1k binary, preview binary, swatches binary, report string, stats string")
+    return d.withColumn("nfo", texts.screen(F.col("report")))
 
 
 def join_parts(files: DataFrame) -> DataFrame:

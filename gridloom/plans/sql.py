@@ -137,7 +137,7 @@ QUERIES["report_rows"] = (64, """select image_id, line_no, rpad(label, 21, ' ')
      union all select image_id, 5, 'Identical pixels', cast(sum(case when r = r2 and g = g2 and b = b2 then 1 else 0 end) as varchar(20)) || ' / ' || cast(count(*) as varchar(20)) from pairs where not transparent group by image_id) t""")
 
 
-def _with(body: str) -> str:
+def with_steps(body: str) -> str:
     """``body`` behind the steps it needs, in order."""
     import re
 
@@ -155,7 +155,7 @@ def _with(body: str) -> str:
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     levels, body = QUERIES[name]
-    return spark.sql(sized(_with(body), levels, 8), px=vector_grid(spark, sf_dir, levels))
+    return spark.sql(sized(with_steps(body), levels, 8), px=vector_grid(spark, sf_dir, levels))
 
 
 def sized(text: str, levels: int = 64, cell: int = 8) -> str:
@@ -164,11 +164,11 @@ def sized(text: str, levels: int = 64, cell: int = 8) -> str:
 
 def step(spark: SparkSession, grid: DataFrame, name: str, levels: int = 64, cell: int = 8) -> DataFrame:
     """A named step over any grid."""
-    return spark.sql(sized(_with(f"select * from {name}"), levels, cell), px=grid)
+    return spark.sql(sized(with_steps(f"select * from {name}"), levels, cell), px=grid)
 
 
 def oracle(name: str) -> str:
     levels, body = QUERIES[name]
-    sql = sized(_with(body), levels, 8).replace("{px}", "px")
+    sql = sized(with_steps(body), levels, 8).replace("{px}", "px")
     head = f"with px as ({vector_grid_sql(levels)})"
     return f"{head}, {sql.removeprefix('with ')}" if sql.startswith("with ") else f"{head} {sql}"

@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions import names as N
 from gridloom.functions import screen as T
 from gridloom.functions import settings as S
+from gridloom.plans import texts as TX
 
 
 def test_lines_round_trip():
@@ -33,20 +35,27 @@ def test_records():
     assert S.parse_size("320X240") == (320, 240) and S.parse_aspect("16:9") == 16 / 9 and S.parse_aspect("1.5") == 1.5 and S.parse_colour("#0aFF10") == (10, 255, 16)
 
 
-def test_pens():
-    line = T.pens("Result               : Lossless - x (y) <- z")
-    assert line[0] == T.LABEL and line[21] == T.COLON_PEN and line[23:31] == bytes([T.GOOD] * 8) and line[36] == T.NOTE and line[-1] == T.PLAIN
-    assert T.pens("Heading:")[:8] == bytes([T.TITLE] * 8) and T.pens("===ab===")[3:5] == bytes([T.TITLE] * 2) and T.pens("===ab===")[0] == T.RULE[0]
-    assert T.pens("  ") == bytes([T.PLAIN] * 80) and T.pens("a: b")[:3] == bytes([T.LABEL, T.COLON_PEN, T.VALUE])
+def test_pens(spark):
+    text = ["Result               : Lossless - x (y) <- z", "Heading:", "===ab===", "  ", "a: b", "Result               : Lossyish (a(b)c) d)e", " " * 23 + "v) (w", "Label                : 1 (2" + "x" * 90]
+    got = [r.p for r in spark.createDataFrame([(i, v) for i, v in enumerate(text)], "i int, v string").orderBy("i").select(TX.pens(F.col("v")).alias("p")).collect()]
+    assert all(len(p) == 80 for p in got)
+    row = got[0]
+    assert row[:21] == [T.LABEL] * 21 and row[21:23] == [T.COLON_PEN, T.PLAIN] and row[23:31] == [T.GOOD] * 8 and row[31:36] == [T.VALUE] * 5 and row[36:44] == [T.NOTE] * 3 + [T.VALUE] + [T.NOTE] * 4 and row[44:] == [T.PLAIN] * 36
+    assert got[1][:8] == [T.TITLE] * 8 and got[2][:8] == T.RULE[:3] + [T.TITLE] * 2 + T.RULE[5:8] and got[3] == [T.PLAIN] * 80
+    assert got[4][:5] == [T.LABEL, T.COLON_PEN, T.VALUE, T.VALUE, T.PLAIN]
+    at = text[5].index("(")
+    assert got[5][22:at] == [T.VALUE] * (at - 22) and got[5][at : at + 7] == [T.NOTE] * 7 and got[5][at + 7 : at + 11] == [T.VALUE] * 4
+    assert got[6][23:28] == [T.VALUE] * 3 + [T.NOTE] * 2 and got[7][25:] == [T.NOTE] * 55
     assert [T.cap_first(x) for x in ("abc", "  n/a (x)", "", " é")] == ["Abc", "  N/A (x)", "", " É"]
 
 
-def test_screen():
-    raw = T.screen("ab\r\n" + "x" * 90 + "\n\n")
-    assert len(raw) == 3 * 160 and N.nfo_decode(raw) == ["ab", "x" * 80] and not any(raw[-160:])
-    assert len(T.screen("")) == 160
-    with pytest.raises(ValueError):
-        T.screen("x\n" * 128)
+def test_screen(spark):
+    t = ["ab\r\n" + "x" * 90 + "\n\n", "", "\n", "a\n\nÿ€"]
+    got = [bytes(r.s) for r in spark.createDataFrame(list(enumerate(t)), "i int, v string").orderBy("i").select(TX.screen(F.col("v")).alias("s")).collect()]
+    assert len(got[0]) == 3 * 160 and N.nfo_decode(got[0]) == ["ab", "x" * 80] and not any(got[0][-160:])
+    assert got[1] == got[2] == bytes(160) and N.nfo_decode(got[3]) == ["a", "", "ÿ\xac"]
+    with pytest.raises(Exception, match="128 lines"):
+        spark.createDataFrame([("x\n" * 128,)], "v string").select(TX.screen(F.col("v"))).collect()
 
 
 def test_summaries_carry_their_settings():

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators.order import numbered
 
 TABLES = ("pages", "documents", "conversations", "benchmark", "events", "labels", "embeddings")
 
@@ -85,6 +86,14 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(body, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
+def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in a listing: folders (here every 7th page) first, then by the first eight characters of the name."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    by = [(F.col("page_id") % 7 != 0).cast("int"), F.substring("url", 8, 8), F.col("page_id")]
+    keyed = p.select("page_id", *[c.alias(f"k{i}") for i, c in enumerate(by[:2])])
+    return numbered(keyed, ["k0", "k1", "page_id"]).select("page_id", F.col("position").cast("int").alias("position"))
+
+
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short names in page order, each made unique within its directory (here the host).
 
@@ -124,4 +133,4 @@ def nfo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.mapInPandas(kernel, "item_id long, n_lines int, n_bytes int, same boolean, rejected boolean")
 
 
-QUERIES = {"unique_names": unique_names, "nfo_roundtrip": nfo_roundtrip}
+QUERIES = {"listing_order": listing_order, "unique_names": unique_names, "nfo_roundtrip": nfo_roundtrip}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+
 from collections.abc import Iterator
 
 import numpy as np

@@ -6,9 +6,6 @@ point of 128 or more; A-Z are lower-cased. Null texts have no words.
 
 from __future__ import annotations
 
-import ctypes
-import functools
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,22 +95,6 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes(data, s, e), at
 
 
-@functools.cache
-def _trim():
-    """The C library's call that gives free memory back, where it has one."""
-    try:
-        return ctypes.CDLL(None).malloc_trim
-    except (OSError, AttributeError):
-        return lambda _: 0
-
-
-def release() -> None:
-    """Give memory that is free back to the system: workers live on from stage to stage, and what one stage
-    has freed would count against the executor in the next."""
-    pa.default_memory_pool().release_unused()
-    _trim()(0)
-
-
 def pieces(batch: pa.RecordBatch | pa.Table, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of whole rows with about ``most`` bytes of text each, one row at least."""
     import pyarrow.compute as pc
@@ -126,5 +107,3 @@ def pieces(batch: pa.RecordBatch | pa.Table, column: str, most: int = 2 << 20) -
         b = max(a + 1, int(np.searchsorted(total, total[a] + most, side="right")) - 1)
         yield batch.slice(a, b - a)
         a = b
-    release()
-

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators.order import numbered
+from ..operators.unique import unique_names as uniquely
 
 TABLES = ("pages", "documents", "conversations", "benchmark", "events", "labels", "embeddings")
 
@@ -95,23 +96,9 @@ def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names in page order, each made unique within its directory (here the host).
-
-    A counter never takes a name's first character, so names that begin alike are a task of
-    their own; those of one host that begin alike (say, all of IMG) stay in one task.
-    """
+    """Short names in page order, each made unique within its directory (here the host)."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("folder"), N.short_name(F.regexp_extract("url", "([^/]*)$", 1)).alias("short"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        last: dict[str, int] = {}
-        out = []
-        for name in pdf.sort_values("page_id").short:
-            out.append(N.unique_name(name, taken, last))
-            taken.add(out[-1])
-        return pdf.sort_values("page_id").assign(unique_name=out)[["page_id", "folder", "unique_name"]]
-
-    return p.groupBy("folder", F.substring("short", 1, 1)).applyInPandas(kernel, "page_id long, folder string, unique_name string")
+    return uniquely(p, ["folder"], "short", ["page_id"]).select("page_id", "folder", "unique_name")
 
 
 def nfo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """Operator 7: token ids in binary files by an adaptive context-mixing range coder.
 
-Ids are cut into blocks of ``BLOCK``, each coded by itself from a reset model and kept with
-a CRC-32 of its ids, so a block can be read alone and damage is found. For each id, order 2
+A segment lists its ids met twice or more, often met ones first, and codes an id as its rank in
+that list. Ids are cut into blocks of ``BLOCK``, each coded from a reset model and kept with
+a CRC-32 of its ids, so a block can be read with the list alone and damage is found. For each id, order 2
 (the two ids before) and order 1 name the id that last followed, with a confidence; whether
-they are right is coded first. Any other id goes bit by bit down a tree of adaptive chances:
-order 0 throughout, mixed with those of order 1 in the first bits. Chances of two contexts are
+they are right is coded first. Of any other id the bin of its rank (four bins an octave) goes bit by
+bit down a tree of adaptive chances of order 0, mixed with those of order 1 in the first bit; its place in
+the bin is plain bits. Rank 0 says that the id isn't listed, and its own bin follows. Chances of two contexts are
 mixed in the logistic domain under weights that follow which did better, and a binary range
 coder of 32 bits codes each decision. Ids must lie below 2^17.
 
-The coder is integer Java (``id_coder``), as an id takes some 20 decisions and Python's would
+The coder is integer Java (``id_coder``), as an id takes some 8 decisions and Python's would
 take microseconds each; ``jvm`` compiles it. Python runs the tokenizer alone.
 
 A segment is a byte string: magic, counts, ids' offset in its partition, a checksum, the index
-of documents (doc_id, length), then the table of blocks (bytes, checksum) and their code.
+of documents (doc_id, length), then the table of blocks (bytes, checksum), the list of ids and the blocks' code.
 Segments hold whole documents. They are rows of Parquet files, as executors have no other shared
 writer; ``read_segments`` and ``read_ids`` need nothing but those bytes.
 
@@ -42,7 +44,7 @@ from .token_ids import default_tokenizer, encoder
 BLOCK = 65536
 #: Ids of a segment, about; a longer document is a segment by itself.
 SEGMENT = 16 * BLOCK
-MAGIC = b"GLTI2\0\0\0"
+MAGIC = b"GLTI3\0\0\0"
 NULL_ID = -(2**63)
 
 

@@ -213,6 +213,26 @@ def test_coder_comes_near_the_entropy_or_below(spark):
         assert 8 * len(segment_of(spark, x, 65536)) / len(x) < -(p * np.log2(p)).sum() + more
 
 
+def test_coder_ranks_ids_by_how_often_they_are_met(spark):
+    """Few decisions an id: its rank's bin is coded, and the segment lists the ids met twice or more."""
+    rng = np.random.default_rng(2)
+    x = rng.permutation(1 << 17)[np.minimum(rng.zipf(1.3, 200_000), 1 << 17) - 1]
+    p = np.bincount(x)[np.unique(x)] / len(x)
+    raw = bytearray(segment_of(spark, x, 65536))
+    assert 8 * len(raw) / len(x) < -(p * np.log2(p)).sum() + 0.6
+    back = token_file.read_ids(spark.createDataFrame([(0, 0, raw)], "part int, segment int, data binary")).head().ids
+    assert bytes(back) == x.astype("<u4").tobytes()
+    code = 28 + 12 * 2
+    listed, table = np.frombuffer(bytes(raw[code + 8 : code + 16]), "<i4")
+    assert listed == (np.bincount(x) > 1).sum() and table < 4 * listed
+    for at in (code + 8, code + 16 + 12 * 4 + table // 2, len(raw) - 2000):  # the list's length, the list, a block's plain bits
+        bad = bytearray(raw)
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="damaged|cut off"):
+            token_file.read_ids(spark.createDataFrame([(0, 0, bad)], "part int, segment int, data binary")).collect()
+
+
+
 def best_then_sides(x, a, b):
     """Maximal segments by definition: the best one, then those on its sides."""
     c = np.concatenate([[0], np.cumsum(x)])

@@ -69,10 +69,10 @@ def median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every colour of the whole grid with the nearest of the 1024 colours of most pixels (ties by colour)."""
-    n = vector_grid(spark, sf_dir, 256).groupBy("r", "g", "b").agg(F.count("*").alias("n")).withColumn("grid", F.lit(0))
-    top = n.orderBy(F.desc("n"), "r", "g", "b").limit(1024)
+    n = C.written(vector_grid(spark, sf_dir, 256).groupBy("r", "g", "b").agg(F.count("*").alias("n"))).withColumn("grid", F.lit(0))
     code = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("slot")
-    got = nearest(n.drop("n"), top.select("grid", code, "r", "g", "b"), "grid", [])
+    top = C.written(n.orderBy(F.desc("n"), "r", "g", "b").limit(1024).select("grid", code, "r", "g", "b"))
+    got = nearest(n.drop("n"), top, "grid", [], distinct=True)
     return got.select("r", "g", "b", F.col("slot").alias("near"), F.col("d2").cast("int").alias("d2"))
 
 

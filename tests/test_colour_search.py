@@ -58,3 +58,18 @@ def test_median_cut_by_the_kernel(spark, k):
     got = {(r.image_id, r.cid): (r.entry, r.r, r.g, r.b) for r in median_cut(d, k).collect()}
     assert got == want
     assert median_cut(d.limit(0), k).count() == 0
+
+
+def test_few_entries_go_to_the_points(spark, monkeypatch):
+    """Points aren't shuffled then, and the results are those of the shuffle."""
+    from gridloom.operators import nearest as N
+
+    rng = np.random.default_rng(3)
+    x, e = rng.integers(0, 256, (300, 3)), rng.integers(0, 256, (50, 3))
+    plans, plain = [], N.written
+    monkeypatch.setattr(N, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    find = lambda: sorted(map(tuple, nearest(table(spark, x), table(spark, e, extra="slot"), "image_id", ["cid"], distinct=True).collect()))
+    few = find()
+    assert plans and not any("Exchange hashpartitioning" in line and "cid#" in line for p in plans for line in p.splitlines())
+    monkeypatch.setattr(N, "FEW", 0)
+    assert few == find() and len(few) == 300

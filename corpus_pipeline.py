@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written and read by the next.
 
 Language ID, toxicity, near duplicates and decontamination keep rows of documents with all
-their columns; packing turns what is left into pieces of sequences.
+their columns, language ID adds the language it finds; packing turns what is left into pieces of sequences.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from gridloom.llm.common import materialize, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what language ID calls ``und``: null texts and those without a letter."""
+    """Adds each text's language as ``lang_pred``, and drops what is ``und``: null texts and those without a letter."""
     return language.keep_known(spark, docs, sf_dir)
 
 
@@ -33,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Concatenates and cuts what is left into sequences of 2048 ids."""
-    return packing.piece_rows(docs)
+    """Concatenates and cuts what is left into sequences of 2048 ids, each of one language."""
+    return packing.piece_rows(docs, "lang_pred" if "lang_pred" in docs.columns else None)
 
 
 STAGES = [

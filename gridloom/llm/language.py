@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import words as W
 from .common import crc32_of_id, least_by_hash, materialize, read
@@ -294,17 +295,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.0) -> DataFrame:
     """The rows whose text has a language, with a share of at least ``least``, all columns kept.
     What is ``und`` goes: a null text, or one without a letter. A text that mixes languages is
-    no worse for that, so by default no share is asked for."""
-    return filter_rows(docs, spark.sparkContext.broadcast(trained(spark, sf_dir)), least)
+    no worse for that, so by default no share is asked for. ``lang_pred``, the language found, is
+    added (in place of a column of that name), for later stages to go by."""
+    return filter_rows(docs, spark.sparkContext.broadcast(trained(spark, sf_dir)), least, "lang_pred")
 
 
-def filter_rows(docs: DataFrame, shared, least: float) -> DataFrame:
-    text = docs.columns.index("text")
+def filter_rows(docs: DataFrame, shared, least: float, found: str | None = None) -> DataFrame:
+    """Rows as ``keep_known`` keeps them; their language goes to a column ``found``, if given."""
+    docs = docs.drop(found) if found else docs
+    text, schema = docs.columns.index("text"), StructType([*docs.schema.fields, *([StructField(found, StringType())] if found else [])])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for b in W.pieces(big, "text", 1 << 19):
                 lang, score = label(shared.value, b.column(text).to_pylist())
+                if found:
+                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string())], [*b.schema.names, found])
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)

@@ -140,6 +140,28 @@ def test_packing_stage(spark):
     assert all(b[:2] == ((a[0], a[1] + a[2]) if a[1] + a[2] < 2048 else (a[0] + 1, 0)) for a, b in zip(places, places[1:], strict=False))
 
 
+def test_languages_are_packed_apart(spark, tmp_path):
+    """The language that the first stage finds decides which sequence a text goes to."""
+    docs = [(i, (EN, DE)[i % 2] * (3 + i % 40), ("en", "de")[i % 2], "s", 1, 1) for i in range(200)]
+    d = written(spark, tmp_path / "a", docs, [])
+    known = language.keep_known(spark, spark.read.parquet(f"{d}/documents.parquet").repartition(3), d)
+    assert known.columns[-1] == "lang_pred"
+    lang = {r.doc_id: r.lang_pred for r in known.collect()}
+    assert lang == {i: l for i, _, l, *_ in docs}
+    got = corpus_pipeline.pack(spark, known, d).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.sequence_id, set()).add(lang[r.doc_id])
+    assert len(of) > 4 and all(len(x) == 1 for x in of.values()) and set().union(*of.values()) == {"de", "en"}
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    cuts = [(a, b) for a, b in zip(places, places[1:], strict=False) if b[:2] != ((a[0], a[1] + a[2]) if a[1] + a[2] < 2048 else (a[0] + 1, 0))]
+    assert [b[:2] == (a[0] + 1, 0) for a, b in cuts] == [True]  # one border, between the languages
+    sizes = {}
+    for r in got:
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
+    assert len(sizes) == 200 and all(sizes[r.doc_id] == r.doc_tokens for r in got)
+
+
 def test_pipeline_runs_whole(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_duplicates", "decontamination", "packing"]
